@@ -3,7 +3,27 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import bpe, leak, spans
+from . import bpe, components, leak, overlap, spans, split
+
+
+def p3_found(spark, sf):
+    return overlap.heavy_pairs(overlap.members(table(spark, sf, "labels"), "label_name", "labels"))
+
+
+def p3_overlaps(spark, sf):
+    return overlap.overlaps(overlap.members(table(spark, sf, "labels"), "label_name", "labels"))
+
+
+def p4_found(spark, sf):
+    return split.split_tiles(table(spark, sf, "tiles"))
+
+
+def p4_text_pieces(spark, sf):
+    return split.split_texts(table(spark, sf, "documents"))
+
+
+def p5_found(spark, sf):
+    return components.groups(table(spark, sf, "pairs"), table(spark, sf, "staged"))
 
 
 def p7_ids(spark, sf):
@@ -22,9 +42,40 @@ def p9_passages(spark, sf):
     return spans.passages(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p9_found, p9_passages)}
+QUERIES = {
+    f.__name__: f
+    for f in (p3_found, p3_overlaps, p4_found, p4_text_pieces, p5_found, p7_ids, p8_found, p9_found, p9_passages)
+}
 
 SQL = {
+    "p3_found": """
+WITH s AS (SELECT DISTINCT lower(trim(label_name)) AS name, labels AS id FROM labels WHERE label_name IS NOT NULL AND labels IS NOT NULL AND labels <> 0),
+n AS (SELECT name, count(*) AS size FROM s GROUP BY name),
+p AS (SELECT a.name AS name_a, b.name AS name_b, count(*) AS shared FROM s a JOIN s b ON a.id = b.id AND a.name < b.name GROUP BY ALL)
+SELECT name_a, name_b FROM p JOIN n x ON x.name = name_a JOIN n y ON y.name = name_b WHERE 2 * shared >= least(x.size, y.size)
+""",
+    "p4_found": r"""
+WITH RECURSIVE t AS (SELECT DISTINCT manifest_id, tile_shape AS s, chunk_shape AS c, max_voxels AS m, overlap AS o, len(tile_shape) AS d,
+    list_product(tile_shape)::BIGINT AS vol, list_position(tile_shape, list_max(tile_shape)) AS ax FROM tiles WHERE max_voxels IS NOT NULL),
+u AS (SELECT *, CASE WHEN o IS NULL THEN 0 WHEN regexp_full_match(trim(o), '[0-9]+') THEN trim(o)::BIGINT
+    WHEN regexp_full_match(trim(o), '\[ *[0-9]+( *, *[0-9]+)* *\]') AND len(string_split(o, ',')) = d THEN trim(string_split(trim(o, ' []'), ',')[ax])::BIGINT END AS h
+    FROM t WHERE vol > m),
+v AS (SELECT manifest_id, ['z', 'y', 'x'][3 - d + ax] AS axis, s[ax]::BIGINT AS n, m // (vol // s[ax]) AS w, c[ax]::BIGINT AS c, h FROM u WHERE h IS NOT NULL),
+p AS (
+  SELECT manifest_id, axis, n, w, c, h, 1 AS piece_no, 0::BIGINT AS a,
+    CASE WHEN n <= w THEN n WHEN c IS NOT NULL AND (w // c) * c > h THEN (w // c) * c ELSE w END AS e FROM v WHERE w > h
+  UNION ALL
+  SELECT manifest_id, axis, n, w, c, h, piece_no + 1, e - h,
+    CASE WHEN n - (e - h) <= w THEN n WHEN c IS NOT NULL AND ((e - h + w) // c) * c > e THEN ((e - h + w) // c) * c ELSE e - h + w END FROM p WHERE e < n)
+SELECT manifest_id, piece_no, axis, a AS piece_from, e AS piece_to FROM p
+""",
+    "p5_found": """
+WITH RECURSIVE k AS (SELECT DISTINCT labels AS id FROM staged WHERE labels IS NOT NULL AND labels <> 0),
+e AS (SELECT DISTINCT lo, hi FROM pairs WHERE lo <> hi AND lo IN (FROM k) AND hi IN (FROM k)),
+b AS (SELECT lo AS v, hi AS u FROM e UNION SELECT hi, lo FROM e),
+r AS (SELECT v, v AS m FROM b UNION SELECT b.v, r.m FROM r JOIN b ON b.u = r.v)
+SELECT v AS labels, min(m) AS group_id FROM r GROUP BY v
+""",
     "p8_found": """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS w FROM eval_items),
