@@ -100,7 +100,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; without statistics it is very large."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:

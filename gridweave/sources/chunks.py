@@ -1,0 +1,89 @@
+"""A Python data source for chunked arrays: a folder of ``.npy`` chunks with a small header.
+
+Layout: ``array.json`` with shape, chunks and dtype, and one file
+``i.j.k.npy`` per chunk that is not all 0. One input partition is one chunk.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+from pathlib import Path
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+AXES = "tczyx"
+
+
+class ChunkedArraySource(DataSource):
+    """``spark.read.format("chunked_array").load(path)``; option ``channel`` prunes whole chunks of other channels."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "chunked_array"
+
+    def _header(self) -> dict:
+        return json.loads(Path(self.options["path"], "array.json").read_text())
+
+    def schema(self) -> str:
+        h = self._header()
+        axes = h.get("axes") or AXES[-len(h["shape"]) :]
+        return ", ".join(f"{a} int" for a in axes) + (", value double" if "f" in h["dtype"] else ", value bigint")
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options["path"], self._header(), self.options.get("channel"))
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, path: str, header: dict, channel: str | None):
+        self.path, self.header, self.channel = path, header, channel
+
+    def partitions(self) -> list[InputPartition]:
+        h = self.header
+        axes = h.get("axes") or AXES[-len(h["shape"]) :]
+        grid = [math.ceil(s / c) for s, c in zip(h["shape"], h["chunks"])]
+        out = []
+        for n in range(math.prod(grid)):
+            index = []
+            for g in reversed(grid):
+                n, i = divmod(n, g)
+                index.append(i)
+            index = index[::-1]
+            if self.channel is not None and "c" in axes:
+                i = axes.index("c")
+                if int(self.channel) // h["chunks"][i] != index[i]:
+                    continue
+            if Path(self.path, ".".join(map(str, index)) + ".npy").exists():
+                out.append(InputPartition(tuple(index)))
+        return out
+
+    def read(self, partition: InputPartition):
+        import numpy as np
+        import pyarrow as pa
+
+        h = self.header
+        axes = h.get("axes") or AXES[-len(h["shape"]) :]
+        a = np.load(Path(self.path, ".".join(map(str, partition.value)) + ".npy"))
+        place = np.nonzero(a)
+        cols = [pa.array((p + i * c).astype(np.int32)) for p, i, c in zip(place, partition.value, h["chunks"])]
+        value = pa.array(a[place].astype(np.float64 if "f" in h["dtype"] else np.int64))
+        if self.channel is not None and "c" in axes:
+            import pyarrow.compute as pc
+
+            keep = pc.equal(cols[axes.index("c")], int(self.channel))
+            cols, value = [c.filter(keep) for c in cols], value.filter(keep)
+        yield pa.RecordBatch.from_arrays([*cols, value], names=[*axes, "value"])
+
+
+def write_chunks(path: str, a, chunks: tuple[int, ...], axes: str | None = None) -> None:
+    """Write a driver-side array in this layout; chunks of only 0 are left out."""
+    import numpy as np
+
+    from ..planner import tile_boxes
+
+    Path(path).mkdir(parents=True, exist_ok=True)
+    Path(path, "array.json").write_text(json.dumps({"shape": a.shape, "chunks": chunks, "dtype": a.dtype.str, "axes": axes}))
+    for box in tile_boxes(a.shape, chunks):
+        part = a[tuple(slice(*b) for b in box)]
+        if part.any():
+            np.save(Path(path, ".".join(str(lo // c) for (lo, _), c in zip(box, chunks)) + ".npy"), part)
