@@ -33,6 +33,7 @@ def stage_tiles(
     empty_threshold: float | None = None,
     empty_scope: str = "core",
     dtype: str = "float64",
+    tiles: DataFrame | None = None,
 ) -> DataFrame:
     """Labels of every tile: tile_id, the axes, local (1..n within the tile).
 
@@ -42,7 +43,8 @@ def stage_tiles(
     ``empty_threshold``, tiles whose greatest value (of the core, or of the
     haloed tile) does not exceed it do not run either: the test is an
     aggregate and a semi-join before the function. Rows with a null coordinate
-    or value, or outside the image, hold no voxel. A voxel that comes twice
+    or value, or outside the image, hold no voxel. With ``tiles`` (tile_id) only
+    those tiles run. A voxel that comes twice
     takes its greatest value.
     """
     axes = list(meta.axes)
@@ -53,6 +55,8 @@ def stage_tiles(
     for a, s in zip(axes, meta.shape):
         rows = rows.filter((F.col(a) >= 0) & (F.col(a) < s))
     rows = grid.assign_halo(rows, meta)
+    if tiles is not None:
+        rows = rows.join(tiles.select("tile_id"), "tile_id", "left_semi")
     if empty_threshold is not None:
         seen = rows.filter("is_core") if empty_scope == "core" else rows
         occupied = seen.groupBy("tile_id").agg(F.max("value").alias("m")).filter(F.col("m") > empty_threshold).select("tile_id")
