@@ -10,12 +10,26 @@ from functools import partial
 import numpy as np
 
 
-def connected_components(mask: np.ndarray, connectivity: str = "face") -> np.ndarray:
-    """Components numbered 1..n by their first voxel in row-major order; ``face`` or ``full`` adjacency.
+def least_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n vertices the least one it is linked with by the edges (a, b).
 
-    Hooking of the greater root under the lesser, with pointer jumping, on
-    whole edge arrays.
+    The greater root is hooked under the lesser, and pointers jump until they
+    stand on roots, until no edge joins two roots.
     """
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def connected_components(mask: np.ndarray, connectivity: str = "face") -> np.ndarray:
+    """Components numbered 1..n by their first voxel in row-major order; ``face`` or ``full`` adjacency."""
     out = np.zeros(mask.shape, dtype=np.int64)
     place = np.flatnonzero(mask)
     if not len(place):
@@ -32,16 +46,7 @@ def connected_components(mask: np.ndarray, connectivity: str = "face") -> np.nda
         both = (near >= 0) & (far >= 0)
         ends.append((near[both], far[both]))
     a, b = (np.concatenate(x) for x in zip(*ends)) if ends else (np.empty(0, np.int64),) * 2
-    root = np.arange(len(place))
-    while True:
-        ra, rb = root[a], root[b]
-        apart = ra != rb
-        if not apart.any():
-            break
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while not np.array_equal(up := root[root], root):
-            root = up
+    root = least_linked(a, b, len(place))
     out.ravel()[place] = np.unique(root, return_inverse=True)[1] + 1
     return out
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..meta import ImageMeta
 from ..runtime import Materialized, materialize, small
-from . import grid
+from . import grid, kernels
 
+#: Edges contracted together within a partition.
+CHUNK_EDGES = 1 << 21
 #: Rows per range of the two-level running sums and ranks.
 RANGE = 1 << 16
 
@@ -87,14 +92,40 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(own).filter("v <> u").select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct()
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace the edges of each chunk of a partition by stars around the least vertex of each piece."""
+    held: list[pa.RecordBatch] = []
+
+    def stars() -> pa.RecordBatch:
+        edges = pa.Table.from_batches(held)
+        v, u = (edges.column(c).to_numpy() for c in ("v", "u"))
+        ids, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+        least = ids[kernels.least_linked(at[: len(v)], at[len(v) :], len(ids))]
+        moved = ids != least
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(least[moved])], names=["v", "u"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK_EDGES:
+            yield stars()
+            held = []
+    if held:
+        yield stars()
+
+
 def components(pairs: DataFrame, lo: str = "lo", hi: str = "hi", max_rounds: int = 50) -> DataFrame:
     """The least id that each paired id is linked with, directly or through others: old, rep.
 
-    Alternating large-star and small-star steps; both keep one row per edge, so
-    a large component is spread over many tasks. Ids without a pair are not in
+    Ids that lie close together are mostly linked closely, so the edges are
+    range-partitioned once and contracted within each partition, in chunks of
+    bounded size; what is left are few, short chains. Alternating large-star
+    and small-star steps join them; both keep one row per edge, so a large
+    component is spread over many tasks. Ids without a pair are not in
     the result; they stand for themselves.
     """
-    edges = pairs.filter(F.col(lo) != F.col(hi)).select(F.greatest(lo, hi).alias("v"), F.least(lo, hi).alias("u")).distinct()
+    edges = pairs.filter(F.col(lo) != F.col(hi)).select(F.greatest(lo, hi).alias("v"), F.least(lo, hi).alias("u")).select(F.col("v").cast("bigint"), F.col("u").cast("bigint")).distinct()
+    edges = edges.repartitionByRange("u", "v").mapInArrow(_contract, "v bigint, u bigint")
     now, state = Materialized(edges, "edges"), None
     for _ in range(max_rounds):
         then = Materialized(_star(_star(now.df, True), False), "edges")

@@ -20,9 +20,9 @@ def _run(stream, spark, mode: str):
 
 
 def stream_arrivals(spark, sf):
-    rows = ingest.read_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+    rows = ingest.read_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
     return _run(ingest.arrivals(rows, "ts", "event_type"), spark, "complete")
 
 
 QUERIES = {"stream_arrivals": stream_arrivals}
-SQL = {"stream_arrivals": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMPTZ) AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL"}
+SQL = {"stream_arrivals": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL"}

@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 
-def read_stream(spark: SparkSession, path: str, schema, max_files: int = 64) -> DataFrame:
-    """Parquet files as they appear; ``max_files`` bounds a micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_stream(spark: SparkSession, folder: str, schema, files: str = "*.parquet", max_files: int = 64) -> DataFrame:
+    """Parquet files as they appear in a folder; ``max_files`` bounds a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", files).parquet(folder)
 
 
 def arrivals(rows: DataFrame, at: str, key: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Rows per key and tumbling window; state is dropped once the watermark has passed a window."""
     timed = rows.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
-    return timed.groupBy(F.window("_at", window), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), key, "n")
+    return timed.groupBy(F.window("_at", window), key).agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), key, "n")
 
 
 def sessions(rows: DataFrame, at: str, key: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Rows per key and session; a session ends after ``gap`` without a row."""
     timed = rows.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
-    return timed.groupBy(F.session_window("_at", gap), key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("from_at"), F.col("session_window.end").alias("to_at"), key, "n")
+    return timed.groupBy(F.session_window("_at", gap), key).agg(F.count("*").alias("n")).select(F.col("session_window.start").cast("timestamp_ntz").alias("from_at"), F.col("session_window.end").cast("timestamp_ntz").alias("to_at"), key, "n")
 
 
 def append_staged(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
