@@ -191,7 +191,7 @@ def schema_changes(records: DataFrame) -> DataFrame:
         records.filter(F.col("attrs").isNotNull() & F.col("store_id").isNotNull())
         .select("store_id", F.col("written_at").cast("string").alias("_at"), "record_id", "attrs")
         .repartitionByRange("store_id", "_at", "record_id")
-        .sortWithinPartitions("store_id", "_at", "record_id")
+        .sortWithinPartitions("store_id", "_at", "record_id", "attrs")
     )
     found = materialize(rows.mapInArrow(_changes_in_partition, _OUT_DDL), "drift")
     inner = found.filter("edge is null").select("record_id", "change_kind", "old_path", "new_path")

@@ -16,7 +16,7 @@ from . import grid, kernels
 
 #: Edges contracted together within a partition.
 CHUNK_EDGES = 1 << 21
-#: Rows per range of the two-level running sums and ranks.
+#: Tile numbers per range of the two-level running sum.
 RANGE = 1 << 16
 
 
@@ -42,9 +42,15 @@ def offsets(counts: DataFrame, width: int = RANGE) -> DataFrame:
     return rows.join(base, "_p").select("tile_id", (F.col("_base") + F.coalesce(F.sum("n").over(within), F.lit(0))).cast("bigint").alias("offset"))
 
 
-def sequential(ids: DataFrame, column: str, width: int = RANGE) -> DataFrame:
-    """``column`` and seq = 1..n by value of the distinct ids, ranked range by range."""
-    rows = ids.select(F.col(column).cast("bigint").alias(column)).distinct().withColumn("_p", F.floor(F.col(column) / width))
+def sequential(ids: DataFrame, column: str) -> DataFrame:
+    """``column`` and seq = 1..n by value of the distinct ids.
+
+    The ids are range-partitioned and numbered within their partition; one row
+    per partition is summed in one task, however sparse the ids are. Nulls are
+    left out.
+    """
+    rows = ids.select(F.col(column).cast("bigint").alias(column)).filter(F.col(column).isNotNull()).distinct().repartitionByRange(column)
+    rows = materialize(rows.withColumn("_p", F.spark_partition_id()), "ranks")
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("_p").agg(F.count("*").alias("s")).select("_p", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_p").orderBy(column)

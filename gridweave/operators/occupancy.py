@@ -7,11 +7,15 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..meta import ImageMeta
 from ..planner import sampling_windows
 from . import grid
 
+#: Bins of a histogram; whole values within so wide a range have a bin each.
+MAX_BINS = 1 << 16
+
 
 def block_max(voxels: DataFrame, axes: Sequence[str], block: Sequence[int], value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Greatest value per brick: ``keep`` columns (as the channel), b<axis> per axis, vmax. Partial maxima come before the shuffle."""
@@ -48,9 +52,22 @@ def occupancy_summary(occupied: DataFrame, n_tiles: int, threshold: float) -> Da
     return occupied.agg(F.lit(float(threshold)).alias("threshold"), F.lit(n_tiles).cast("bigint").alias("n_tiles"), n.alias("n_occupied"), empty.cast("double").alias("empty_fraction"))
 
 
-def histogram(voxels: DataFrame, value: str = "value") -> DataFrame:
-    """v, n of each different value."""
-    return voxels.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+def histogram(voxels: DataFrame, value: str = "value", bins: int = MAX_BINS) -> DataFrame:
+    """v, n of each different value, or of ``bins`` equal bins (v is the middle) where whole values would need more.
+
+    Nulls and values that are not finite are left out. The bins are bounded
+    whatever the image holds, so what follows may sort them in one task.
+    """
+    rows = voxels.select(F.col(value).alias("v")).filter(F.col("v").isNotNull())
+    whole = not isinstance(voxels.schema[value].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
+    if not whole:
+        rows = rows.select(F.col("v").cast("double").alias("v")).filter((F.col("v") > float("-inf")) & (F.col("v") < float("inf")))
+    lo, hi = rows.agg(F.min("v"), F.max("v")).first()
+    if lo is None or lo == hi or (whole and hi - lo < bins):
+        return rows.groupBy("v").agg(F.count("*").alias("n"))
+    step = (float(hi) - float(lo)) / bins
+    place = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(step)), F.lit(bins - 1))
+    return rows.groupBy(place.alias("_b")).agg(F.count("*").alias("n")).select((F.lit(float(lo)) + (F.col("_b") + 0.5) * step).alias("v"), "n")
 
 
 def otsu(bins: DataFrame) -> DataFrame:

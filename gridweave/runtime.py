@@ -48,12 +48,27 @@ class Materialized:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path)
+        _written(self.spark).append(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         remove(self.spark, self.path)
 
 
+def _written(spark: SparkSession) -> list[str]:
+    """Folders of intermediate tables that this session wrote."""
+    if not hasattr(spark, "_gridweave_written"):
+        spark._gridweave_written = []
+    return spark._gridweave_written
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove this session's intermediate tables; results that were not read yet are lost with them."""
+    for path in _written(spark):
+        remove(spark, path)
+    _written(spark).clear()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage of ``df`` by a table written to the shared folder."""
     return Materialized(df, tag).df

@@ -115,7 +115,7 @@ def test_offsets_and_sequential_ranks_across_ranges(spark):
     counts = spark.createDataFrame(list(enumerate(n)), "tile_id bigint, n bigint")
     assert [r["offset"] for r in merge.offsets(counts, width=2).orderBy("tile_id").collect()] == [0, 3, 3, 5, 12]
     ids = spark.createDataFrame([(v,) for v in (500, 7, 1000, 7)], "v bigint")
-    assert {r["v"]: r["seq"] for r in merge.sequential(ids, "v", width=100).collect()} == {7: 1, 500: 2, 1000: 3}
+    assert {r["v"]: r["seq"] for r in merge.sequential(ids, "v").collect()} == {7: 1, 500: 2, 1000: 3}
 
 
 def test_components_of_chains_stars_and_repeats(spark):
@@ -153,6 +153,15 @@ def test_otsu_agrees_with_the_kernel(spark):
     assert occupancy.otsu(occupancy.histogram(df.filter("value = 1"))).first()["threshold"] == 0
 
 
+def test_histograms_are_bounded(spark):
+    df = spark.range(5000).select((F.col("id") * 0.5).alias("value")).unionByName(spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "value double"))
+    bins = occupancy.histogram(df, bins=100)
+    assert bins.count() == 100 and bins.agg(F.sum("n")).first()[0] == 5000
+    assert abs(occupancy.otsu(bins).first()["threshold"] - 1250) < 30
+    wide = spark.createDataFrame([(0,), (1,), (10**9,)], "value bigint")
+    assert occupancy.histogram(wide).count() == 2
+
+
 def test_relations_majority_ties_and_totals(spark):
     a = np.zeros((4, 10), int)
     b = np.zeros((4, 10), int)
@@ -233,3 +242,18 @@ def test_halo_rows(spark):
     meta = ImageMeta(("y", "x"), (6, 6), (3, 3), 1)
     rows = grid.assign_halo(spark.createDataFrame([(2, 2), (0, 0)], "y int, x int"), meta)
     assert sorted((r["y"], r["tile_id"], r["is_core"]) for r in rows.collect()) == [(0, 0, True), (2, 0, True), (2, 1, False), (2, 2, False), (2, 3, False)]
+
+
+def test_chunk_tables_give_the_labels_of_voxel_tables(spark):
+    from gridweave.operators import dense as dense_tables
+
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 9, (5, 13, 17)) * (rng.random((5, 13, 17)) > 0.6)
+    rows = files.from_array(spark, a, "zyx")
+    for halo in (0, (1, 2, 2)):
+        meta = ImageMeta(("z", "y", "x"), a.shape, (2, 6, 8), halo)
+        want = sorted(tuple(r) for r in staged.stage_tiles(rows, fn, meta).collect())
+        chunks = dense_tables.to_chunks(rows, meta)
+        assert sorted(tuple(r) for r in dense_tables.stage_chunks(chunks, fn, meta).collect()) == want
+    assert dense_tables.stage_chunks(chunks, fn, meta, empty_threshold=99).count() == 0
+    assert dense_tables.stage_chunks(chunks.limit(0), fn, meta).count() == 0
