@@ -8,17 +8,69 @@ vertex of each group holds the group, every other vertex only the least one.
 The sets are kept as rows (v, u), never as one array per vertex, so a group
 that holds a third of all records is spread over many tasks. A round is one
 aggregation and one join by v, both of which split hot vertices, and a distinct.
+
+The rounds run on two levels: first on the pairs of each partition alone, as a
+combiner before anything is shuffled by vertex, then on what the partitions
+leave. Identifiers that lie close together are mostly linked closely, so the
+pairs are range-partitioned, and few, short chains are left for the second.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Materialized
+from ..runtime import Materialized, materialize
 
 #: Rounds after which the loop gives up; hash-to-min needs about twice the logarithm of the longest chain.
 MAX_ROUNDS = 100
+#: Rounds after which groups that are done are taken out again.
+SETTLE_EVERY = 4
+#: Pairs that the first level takes together.
+CHUNK_PAIRS = 1 << 18
+
+
+def local_rounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash-to-min on the pairs (a, b) alone, until stable: each vertex but the least of its group, and the least."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n = len(ids)
+    a, b = at[: len(a)], at[len(a) :]
+    rows = np.unique(np.concatenate([a * n + b, b * n + a]))  # v * n + u, sorted by v and u
+    while True:
+        v, u = np.divmod(rows, n)
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        own = v[first]
+        least = np.minimum(own, u[first])
+        to = np.repeat(least, np.diff(np.append(first, len(v))))
+        sent, led = u != to, own != least
+        to, u, least, own = to[sent], u[sent], least[led], own[led]
+        then = np.unique(np.concatenate([to * n + u, u * n + to, least * n + own, own * n + least]))
+        if np.array_equal(then, rows):
+            v, u = np.divmod(rows, n)
+            return ids[v[u < v]], ids[u[u < v]]
+        rows = then
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        v, u = local_rounds(*(pa.chunked_array([b.column(i) for b in held]).to_numpy() for i in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], names=["v", "u"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK_PAIRS:
+            yield out()
+            held = []
+    if held:
+        yield out()
 
 
 def _state(rows: DataFrame) -> tuple[int, int]:
@@ -27,6 +79,26 @@ def _state(rows: DataFrame) -> tuple[int, int]:
     return r["n"], int(r["h"])
 
 
+def settled_leaders(rows: DataFrame) -> DataFrame:
+    """The least vertices of the groups that are done: id.
+
+    A group is done if its rows are exactly those between its least vertex and
+    each other member, in both directions, and no other row names a member.
+    Then no later round changes it, and it needs no part in them. Sets are
+    compared by their size and an additive hash.
+    """
+    sides = F.explode(
+        F.array(F.struct(F.col("v").alias("id"), F.col("u").alias("o"), F.lit(1).alias("out")), F.struct(F.col("u").alias("id"), F.col("v").alias("o"), F.lit(0).alias("out")))
+    ).alias("s")
+    hashed = F.xxhash64("o").cast("decimal(38,0)")
+    per_id = rows.select(sides).select("s.*").groupBy("id").agg(
+        F.sum("out").alias("n_out"), F.sum(1 - F.col("out")).alias("n_in"), F.min("o").alias("least"), F.sum(hashed * (2 * F.col("out") - 1)).alias("differ")
+    )
+    even = per_id.filter("n_out = n_in and differ = 0")
+    leaves = even.filter("n_out = 1 and least < id").groupBy(F.col("least").alias("id")).agg(F.count("*").alias("n_leaves"))
+    return even.filter("least > id").join(leaves, "id").filter("n_out = n_leaves").select("id")
+
+
 def hash_to_min(pairs: DataFrame, a: str = "lo", b: str = "hi", max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(id, group_id) of every identifier that is linked with another; group_id is the least of its group.
 
@@ -34,10 +106,23 @@ def hash_to_min(pairs: DataFrame, a: str = "lo", b: str = "hi", max_rounds: int
     equal ends link nothing. No pairs: no rows.
     """
     ends = pairs.select(F.col(a).cast("bigint").alias("v"), F.col(b).cast("bigint").alias("u")).filter("v <> u")
+    ends = ends.repartitionByRange("v", "u").mapInArrow(_combine, "v bigint, u bigint")
     # A vertex always belongs to its own cluster; the row (v, v) is left implicit.
-    now = Materialized(ends.unionByName(ends.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "clusters")
-    state = _state(now.df)
-    for _ in range(max_rounds):
+    both = F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("s")
+    now = Materialized(ends.select(both).select("s.*").distinct(), "clusters")
+    done, state = [], None
+    for turn in range(max_rounds):
+        if turn % SETTLE_EVERY == 0:
+            leaders = Materialized(settled_leaders(now.df), "leaders")
+            lead = F.least("v", "u") == F.col("id")
+            done.append(materialize(now.df.filter("u < v").join(leaders.df, F.col("u") == F.col("id")).select("v", "u"), "groups"))
+            rest = Materialized(now.df.join(leaders.df, lead, "left_anti"), "clusters")
+            now.drop()
+            leaders.drop()
+            now, state = rest, None
+        before, state = state, _state(now.df)
+        if state == before or state[0] == 0:
+            break
         least = now.df.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         sent = now.df.join(least, "v").select(
             F.explode(
@@ -51,13 +136,13 @@ def hash_to_min(pairs: DataFrame, a: str = "lo", b: str = "hi", max_rounds: int
         own = least.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("v").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("s"))
         then = Materialized(sent.unionByName(own).select("s.*").filter("v <> u").distinct(), "clusters")
         now.drop()
-        now, before = then, state
-        state = _state(now.df)
-        if state == before:
-            break
+        now = then
     else:
         raise RuntimeError(f"not stable after {max_rounds} rounds")
-    return now.df.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("m")).select("id", F.least("id", "m").alias("group_id"))
+    done.append(now.df.filter("u < v"))
+    # Each vertex with the least one of its group, and the least ones with themselves.
+    member = reduce(DataFrame.unionByName, done)
+    return member.select(F.col("v").alias("id"), F.col("u").alias("group_id")).unionByName(member.select(F.col("u").alias("id"), F.col("u").alias("group_id")).distinct())
 
 
 def valid_pairs(pairs: DataFrame, staged: DataFrame, a: str = "lo", b: str = "hi", identifier: str = "labels") -> DataFrame:
