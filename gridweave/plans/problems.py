@@ -45,6 +45,42 @@ def p6_found(spark, sf):
 QUERIES = {f.__name__: f for f in (p1_found, p1_union_schema, p1_branches, p1_appearing, p2_found, p2_decoded, p6_found)}
 
 SQL = {
+    "p1_found": r"""
+WITH r AS (SELECT DISTINCT record_id, store_id, written_at, attrs FROM store_attrs WHERE attrs IS NOT NULL AND json_valid(attrs) AND store_id IS NOT NULL),
+o AS (SELECT record_id, lag(record_id) OVER (PARTITION BY store_id ORDER BY written_at NULLS FIRST, record_id) AS prev FROM r),
+t AS (SELECT record_id, t.id, regexp_replace(regexp_replace(t.fullkey, '\[[0-9]+\]', '[]', 'g'), '^\$\.?', '') AS path, t.type, t.atom FROM r, json_tree(r.attrs) AS t),
+v AS (SELECT record_id, id, replace(path, '"', '') AS path, CASE WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind, atom FROM t WHERE atom IS NOT NULL AND type NOT IN ('NULL', 'OBJECT', 'ARRAY')),
+p AS (SELECT record_id, path, list_sort(list_distinct(list(kind))) AS types, list(kind || CASE WHEN kind = 'number' THEN CAST(CAST(atom AS DOUBLE) AS VARCHAR) ELSE CAST(atom AS VARCHAR) END ORDER BY id) AS vals FROM v GROUP BY ALL),
+a AS (SELECT o.record_id, path, types, vals FROM o JOIN p ON p.record_id = o.prev),
+b AS (SELECT o.record_id, path, types, vals FROM o JOIN p ON p.record_id = o.record_id WHERE o.prev IS NOT NULL),
+g AS (SELECT *, count(*) OVER (PARTITION BY record_id, vals) AS n FROM a ANTI JOIN b USING (record_id, path)),
+c AS (SELECT *, count(*) OVER (PARTITION BY record_id, vals) AS n FROM b ANTI JOIN a USING (record_id, path)),
+m AS (SELECT g.record_id, g.path AS old_path, c.path AS new_path FROM g JOIN c ON g.record_id = c.record_id AND g.vals = c.vals AND g.n = 1 AND c.n = 1)
+SELECT a.record_id, 'retyped' AS change_kind, path AS old_path, path AS new_path FROM a JOIN b USING (record_id, path) WHERE a.types <> b.types
+UNION ALL SELECT record_id, 'renamed', old_path, new_path FROM m
+UNION ALL SELECT record_id, 'removed', path, '' FROM g ANTI JOIN m ON g.record_id = m.record_id AND g.path = m.old_path
+UNION ALL SELECT record_id, 'added', '', path FROM c ANTI JOIN m ON c.record_id = m.record_id AND c.path = m.new_path
+""",
+    "p2_found": r"""
+WITH f AS (SELECT DISTINCT file_id, coalesce(image_description, '') AS d, ij_spacing, ij_unit FROM tiff_meta),
+k AS (SELECT *, regexp_extract(d, '<(?:\w+:)?Pixels\b([^>]*)', 1) AS px, regexp_matches(d, '<(?:\w+:)?Pixels\b') AS ome, starts_with(ltrim(d), 'ImageJ=') AS ij FROM f),
+l AS (SELECT file_id, unnest(regexp_extract_all(d, '(?im)^[^\S\n]*(?:voxel|pixel) size:(.*)$', 1)) AS s FROM k WHERE NOT ome AND NOT ij),
+w AS (SELECT file_id, regexp_extract(s, '^\s*([-+0-9.,eE]+)\s*[x×*]\s*([-+0-9.,eE]+)(?:\s*[x×*]\s*([-+0-9.,eE]+))?(.*)$', ['x', 'y', 'z', 'u']) AS q FROM l),
+c AS (
+  SELECT file_id, a AS axis, 1 AS place, regexp_extract(px, '\bPhysicalSize' || upper(a) || '="([^"]*)"', 1) AS v, regexp_extract(px, '\bPhysicalSize' || upper(a) || 'Unit="([^"]*)"', 1) AS u FROM k, unnest(['x', 'y', 'z']) AS r(a) WHERE ome
+  UNION ALL SELECT file_id, 'z', 2, ij_spacing, ij_unit FROM k WHERE ij_spacing IS NOT NULL
+  UNION ALL SELECT file_id, 'z', 2, regexp_extract(d, '(?m)^spacing=(.*)$', 1), regexp_extract(d, '(?m)^unit=(.*)$', 1) FROM k WHERE ij_spacing IS NULL AND ij
+  UNION ALL SELECT file_id, 'x', 3, q['x'], q['u'] FROM w UNION ALL SELECT file_id, 'y', 3, q['y'], q['u'] FROM w UNION ALL SELECT file_id, 'z', 3, q['z'], q['u'] FROM w),
+n AS (SELECT file_id, axis, place, regexp_extract(v, '^\s*([-+]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:[eE][-+]?[0-9]+)?)(.*)$', ['x', 'own']) AS q, u FROM c),
+z AS (SELECT file_id, axis, place, try_cast(replace(q['x'], ',', '.') AS DECIMAL(38, 15)) AS x,
+  replace(replace(lower(trim(CASE WHEN trim(q['own']) <> '' THEN q['own'] ELSE coalesce(u, '') END)), '\u00b5', 'μ'), 'µ', 'μ') AS u FROM n WHERE q['x'] <> ''),
+e AS (SELECT file_id, axis, place, x, CASE
+  WHEN u IN ('pm', 'picometer', 'picometers', 'picometre', 'picometres') THEN 0.001 WHEN u IN ('å', 'angstrom', 'angstroms', 'ångström') THEN 0.1
+  WHEN u IN ('nm', 'nanometer', 'nanometers', 'nanometre', 'nanometres') THEN 1 WHEN u IN ('', 'um', 'μm', 'micron', 'microns', 'micrometer', 'micrometers', 'micrometre', 'micrometres') THEN 1000
+  WHEN u IN ('mm', 'millimeter', 'millimeters', 'millimetre', 'millimetres') THEN 1000000 WHEN u IN ('cm', 'centimeter', 'centimeters', 'centimetre', 'centimetres') THEN 10000000
+  WHEN u IN ('in', 'inch', 'inches') THEN 25400000 WHEN u IN ('m', 'meter', 'meters', 'metre', 'metres') THEN 1000000000 END AS nm FROM z WHERE x > 0)
+SELECT file_id, axis, CAST(first(round(CAST(x AS DECIMAL(27, 15)) * CAST(nm AS DECIMAL(13, 3)), 0) ORDER BY place) AS BIGINT) AS size_nm FROM e WHERE nm IS NOT NULL GROUP BY file_id, axis
+""",
     "p6_found": """
 WITH w AS (SELECT max(read_until) AS w FROM job_log WHERE lower(trim(status)) = 'succeeded'),
 c AS (SELECT counts.*, arrived_at <= w AS old FROM counts, w WHERE n IS NOT NULL AND run_id IS NOT NULL AND tile_id IS NOT NULL),

@@ -227,7 +227,16 @@ def otsu_threshold(spark, sf):
     return occupancy.otsu(occupancy.histogram(rasters.emb2d(spark, sf)))
 
 
-@query()
+def _sql_window(f: float) -> str:
+    low = "greatest(0, least(CAST(floor(s{a} * {f}) AS INTEGER) - least(s{a}, 64) // 2, s{a} - least(s{a}, 64)))"
+    return " AND ".join(f"{a} >= {low.format(a=a, f=f)} AND {a} < {low.format(a=a, f=f)} + least(s{a}, 64)" for a in "zyx")
+
+
+# A voxel in several windows counts once for each.
+_SQL_SAMPLE = " UNION ALL ".join(f"SELECT value FROM l, g WHERE {_sql_window(f)}" for f in (0.33, 0.5, 0.66))
+
+
+@query(f"WITH {SQL_3D}, {SQL_GRID_3D}, q AS ({_SQL_SAMPLE}), " + _SQL_OTSU.format(src="q"))
 def auto_threshold(spark, sf):
     return occupancy.auto_threshold(rasters.li3d(spark, sf), rasters.meta3d(spark, sf))
 
@@ -356,10 +365,16 @@ def object_count(spark, sf):
     return merge.object_count(_merged2d(spark, sf)[1])
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SQL_3D}, {SQL_GRID_3D}, f AS (SELECT z, y, x, (CAST(z AS BIGINT) * sy + y) * sx + x AS id FROM l, g WHERE value > 0),
+n AS (SELECT a.id AS u, b.id AS v FROM f a JOIN f b ON b.z = a.z AND b.y = a.y AND b.x = a.x + 1 UNION ALL SELECT a.id, b.id FROM f a JOIN f b ON b.z = a.z AND b.y = a.y + 1 AND b.x = a.x
+UNION ALL SELECT a.id, b.id FROM f a JOIN f b ON b.z = a.z + 1 AND b.y = a.y AND b.x = a.x), b2 AS (SELECT u, v FROM n UNION SELECT v, u FROM n),
+r AS (SELECT id AS u, id AS m FROM f UNION SELECT b2.u, r.m FROM r JOIN b2 ON b2.v = r.u WHERE r.m < b2.u), c AS (SELECT u AS id, min(m) AS comp FROM r GROUP BY u)
+SELECT z, y, x, comp FROM f JOIN c USING (id)"""
+)
 def merged_labels_3d(spark, sf):
     meta = rasters.meta3d(spark, sf, halo=0)
-    return merge.tile_process(rasters.li3d(spark, sf), _solid_fn, meta, sequential_ids=True)
+    return merge.canonical(merge.tile_process(rasters.li3d(spark, sf), _solid_fn, meta), meta)
 
 
 @query(f"WITH RECURSIVE {_WHOLE}, s AS (SELECT comp, count(*) AS area, min(y) AS y_min, max(y) AS y_max FROM f JOIN c USING (id) GROUP BY 1) SELECT * FROM s")

@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     if path:
         return path.rstrip("/")
     master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local") or master.startswith("local-cluster"):
+    if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark, "_gridweave_dir", None)
     if own is None:
