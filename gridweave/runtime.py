@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,3 +125,18 @@ def estimated_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Broadcast ``df`` if its estimated size is under ``limit``, else leave the join to the optimizer."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="gridweave-package-")) / "gridweave.zip"
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._gridweave_shipped = True
