@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Materialized, materialize
-from .winnow import Hashes, _mix, seeds
+from .winnow import Hashes, _mix, run_hash, seeds
 
 SPAN = 240
 #: Length of the k-mers that seed.
@@ -79,20 +79,33 @@ _OUT_DDL = ", ".join(f"{n} {t}" for n, t in _OUT)
 _KEYS = [n for n, _ in _OUT]
 
 
-def _context_map(span: int):
-    """The text of the runs of each document: text[pos - a : pos - a + n + span]."""
+def _context_map(span: int, rows_at_once: int = 8192):
+    """The text of the runs of each document: text[pos - a : pos - a + n + span].
+
+    Where several texts share a doc_id, a run is taken from the texts that hold it.
+    """
     schema = pa.schema([*((n, {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in _OUT), ("text", pa.string())])
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        lens = np.array([len(r[-1]) for r in rows], dtype=np.int64)
+        stop = np.cumsum(lens)
+        held = run_hash(Hashes(_chars([r[-1] for r in rows])), stop - lens, stop) == np.array([r[_KEYS.index("run")] for r in rows])
+        kept = [r for r, ok in zip(rows, held) if ok]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept) if kept else [[]] * len(schema), schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            cols: list[list] = [[] for _ in schema]
             for text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for s in spots:
-                    for col, key in zip(cols, _KEYS):
-                        col.append(s[key])
                     at = s["lo_pos"] - s["a"]
-                    cols[-1].append(text[at : at + s["n"] + span])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+                    if text is not None and at + s["n"] + span <= len(text):
+                        rows.append((*(s[k] for k in _KEYS), text[at : at + s["n"] + span]))
+                    if len(rows) >= rows_at_once:
+                        yield out(rows)
+                        rows = []
+        if rows:
+            yield out(rows)
 
     return run
 

@@ -50,6 +50,11 @@ class Hashes:
         return (self.sums[k:] - self.sums[:n]) * self.down[:n]
 
 
+def run_hash(hashes: Hashes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The hash that stands for the whole text of a run, wherever it stands."""
+    return _mix(hashes.pieces(start, stop), 0x2127599BF4325C37).view(np.int64)
+
+
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Least value of each w consecutive ones."""
     n = len(x)
@@ -98,5 +103,5 @@ def seeds(chars: np.ndarray, starts: np.ndarray, stops: np.ndarray, span: int, k
         "pos": pos - starts[t],
         "first": first - starts[t],
         "last": last - starts[t],
-        "run": _mix(hashes.pieces(first, last + span), 0x2127599BF4325C37).view(np.int64),
+        "run": run_hash(hashes, first, last + span),
     }

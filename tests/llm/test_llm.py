@@ -121,6 +121,14 @@ def test_shared_characters_equal_brute_force(spark, hot):
     assert got == brute_shared(texts, 40)
 
 
+def test_texts_that_share_an_id_are_one_document(spark):
+    texts = shared_texts(3)
+    df = docs(spark, texts + [(d, t[::-1]) for d, t in texts[:20]] + [(texts[9][0], None)])
+    got = {r["doc_id"]: r["shared_chars"] for r in spans.shared_chars(df, span=40, seed=8).collect()}
+    want = brute_shared(texts, 40)
+    assert all(got[d] == want[d] for d in want if d >= 20)
+
+
 def test_passages_and_empty_input(spark):
     a, b = "q" * 5 + "".join(map(chr, range(300, 400))), "".join(map(chr, range(500, 560)))
     texts = [(1, a + "inserted" + b), (2, a + b)]
