@@ -31,7 +31,7 @@ def p2_found(spark, sf):
 def p2_decoded(spark, sf):
     """Units of the bare ImageJ spacings of each image, decoded from their jumps."""
     rows = table(spark, sf, "tiff_meta").select("image_id", "acquired_at", "ij_spacing", "ij_unit").distinct()
-    unit = F.udf(lambda s: (units.unit_of(s) or None) if s is not None else None)
+    unit = F.pandas_udf(lambda s: s.map(lambda t: units.unit_of(t) or None, na_action="ignore"), "string")
     bare = F.expr("try_cast(replace(trim(ij_spacing), ',', '.') AS double)")
     return units.decode_units(
         rows.select("image_id", "acquired_at", bare.alias("value"), unit("ij_unit").alias("unit")), "image_id", "acquired_at", "value", "unit"
