@@ -277,3 +277,96 @@ def appearing_alternatives(flat: DataFrame) -> DataFrame:
     alt = union_schema(flat)
     first = alt.groupBy("path").agg(F.min("first_at").alias("path_from"))
     return alt.join(first, "path").filter((F.col("n_types") > 1) & (F.col("first_at") > F.col("path_from"))).select("path", "type", "first_at", "n_records")
+
+
+# --- one consistent table -----------------------------------------------------
+
+#: Names that a field of the metadata table has had, the present one first (fixed values).
+ALIASES = {
+    "multiscales": ("multiscales", "ome.multiscales"),
+    "n_objects": ("n_objects", "nObjects", "object_count"),
+    "sequential": ("sequential_labels", "sequential"),
+    "axis": ("name", "label"),
+    "transforms": ("coordinateTransformations", "coordinate_transformations", "transformations"),
+}
+
+
+def _first(doc, field: str):
+    """The value under the first of a field's names that is there and not null."""
+    for name in ALIASES[field]:
+        x = doc
+        for key in name.split("."):
+            x = x.get(key) if isinstance(x, dict) else None
+        if x is not None:
+            return x
+    return None
+
+
+def _number(x) -> float | None:
+    """A number or the text of one; NaN and infinities are none."""
+    try:
+        v = float(x) if isinstance(x, str) else None
+    except ValueError:
+        return None
+    return v if v is not None and abs(v) < float("inf") else None
+
+
+def _truth(x) -> bool | None:
+    if isinstance(x, bool):
+        return x
+    return {"true": True, "yes": True, "1": True, "false": False, "no": False, "0": False}.get(x.strip().lower()) if isinstance(x, str) else None
+
+
+def _list(x) -> list:
+    return x if isinstance(x, list) else []
+
+
+def _text(x) -> str | None:
+    return _clean(str(x)) if isinstance(x, str) else None
+
+
+def metadata_rows(doc) -> list[tuple]:
+    """(name, level, axis, scale, unit, n_objects, sequential) of a document in any of its layouts.
+
+    A level without a scale for an axis has none; a document without levels
+    gives one row for its counts, if it has any.
+    """
+    n, seq = _number(_first(doc, "n_objects")), _truth(_first(doc, "sequential"))
+    n = int(n) if n is not None and abs(n) < 2**63 else None
+    rows = []
+    for image in _list(_first(doc, "multiscales")):
+        image = image if isinstance(image, dict) else {}
+        axes = [(_text(a), None) if isinstance(a, str) else (_text(_first(a, "axis")), _text(a.get("unit")) if isinstance(a, dict) else None) for a in _list(image.get("axes"))]
+        for level, data in enumerate(_list(image.get("datasets"))):
+            data = data if isinstance(data, dict) else {}
+            scale = next((t["scale"] for t in _list(_first(data, "transforms")) if isinstance(t, dict) and isinstance(t.get("scale"), list)), _list(data.get("scale")))
+            for i, (axis, unit) in enumerate(axes):
+                rows.append((_text(image.get("name")), level, axis, _number(scale[i]) if i < len(scale) else None, unit, n, seq))
+    return rows or ([(None, None, None, None, None, n, seq)] if n is not None or seq is not None else [])
+
+
+_META = pa.schema(
+    [("record_id", pa.int64()), ("store_id", pa.int64()), ("written_at", pa.string()), ("name", pa.string()), ("level", pa.int32()), ("axis", pa.string()), ("scale", pa.float64()), ("unit", pa.string()), ("n_objects", pa.int64()), ("sequential", pa.bool_())]
+)
+
+
+def _metadata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[list] = [[] for _ in _META]
+        for record, store, at, attrs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            doc, ok = parse(attrs)
+            for row in metadata_rows(doc) if ok and isinstance(doc, dict) else ():
+                for col, v in zip(out, (record, store, at, *row)):
+                    col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _META)], schema=_META)
+
+
+def metadata_table(records: DataFrame) -> DataFrame:
+    """All layouts in one table: record_id, store_id, written_at, name, level, axis, scale, unit, n_objects, sequential.
+
+    Conflicting types take the canonical one: numbers and truth values are read
+    from text. Unreadable documents give no rows; a repeated row counts once.
+    """
+    rows = records.select("record_id", "store_id", F.col("written_at").cast("string").alias("written_at"), "attrs").dropDuplicates()
+    ddl = "record_id bigint, store_id bigint, written_at string, name string, level int, axis string, scale double, unit string, n_objects bigint, sequential boolean"
+    return rows.mapInArrow(_metadata, ddl).withColumn("written_at", F.col("written_at").cast("timestamp_ntz"))

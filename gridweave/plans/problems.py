@@ -12,6 +12,10 @@ def p1_found(spark, sf):
     return drift.schema_changes(table(spark, sf, "store_attrs"))
 
 
+def p1_meta(spark, sf):
+    return drift.metadata_table(table(spark, sf, "store_attrs"))
+
+
 def p1_union_schema(spark, sf):
     return drift.union_schema(drift.flatten(table(spark, sf, "store_attrs")))
 
@@ -42,7 +46,7 @@ def p6_found(spark, sf):
     return incremental.changed_items(table(spark, sf, "counts"), table(spark, sf, "tiles"), table(spark, sf, "job_log"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_union_schema, p1_branches, p1_appearing, p2_found, p2_decoded, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_meta, p1_union_schema, p1_branches, p1_appearing, p2_found, p2_decoded, p6_found)}
 
 SQL = {
     "p1_found": r"""

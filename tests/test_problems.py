@@ -80,6 +80,16 @@ def test_union_schema_keeps_alternatives(spark):
     assert {(r["path"], r["type"]) for r in drift.appearing_alternatives(flat).collect()} == {("v", "number"), ("t", "boolean")}
 
 
+def test_all_layouts_come_into_one_table(spark):
+    old = {"multiscales": [{"name": "a", "axes": ["y", "x"], "datasets": [{"path": "0", "coordinate_transformations": [{"type": "scale", "scale": ["0.5", 0.25]}]}]}], "nObjects": "7", "sequential": "yes"}
+    new = {"ome": {"multiscales": [{"name": "a", "axes": [{"label": "y", "unit": "nm"}, {"name": "x"}], "datasets": [{"name": 0, "scale": [1, 2]}, {}]}]}, "n_objects": 7.0, "sequential_labels": 0}
+    rows = [(1, 1, 0, json.dumps(old)), (2, 1, 1, json.dumps(new)), (2, 1, 1, json.dumps(new)), (3, 1, 2, '{"object_count": 3}'), (4, 1, 3, "[1]"), (5, 1, 4, None), (6, 1, 5, '{"multiscales": [1, {"axes": 3, "datasets": [2]}]}')]
+    got = [(r["record_id"], r["level"], r["axis"], r["scale"], r["unit"], r["n_objects"], r["sequential"]) for r in drift.metadata_table(records(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(
+        [(1, 0, "y", 0.5, None, 7, True), (1, 0, "x", 0.25, None, 7, True), (2, 0, "y", 1.0, "nm", 7, False), (2, 0, "x", 2.0, None, 7, False), (2, 1, "y", None, "nm", 7, False), (2, 1, "x", None, None, 7, False), (3, None, None, None, None, 3, None)], key=str
+    )
+
+
 @pytest.mark.parametrize(
     "value, unit, nm",
     [
