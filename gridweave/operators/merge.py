@@ -58,8 +58,12 @@ def sequential(ids: DataFrame, column: str) -> DataFrame:
 
 
 def global_ids(staged: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Staged rows with label = local + offset of the tile."""
-    base = offsets(counts if counts is not None else tile_counts(staged))
+    """Staged rows with label = local + offset of the tile.
+
+    The offsets, one row per tile, are written once: every later scan of the
+    labels joins them, and their size is then known.
+    """
+    base = materialize(offsets(counts if counts is not None else tile_counts(staged)), "offsets")
     return staged.join(small(base), "tile_id").withColumn("label", F.col("local") + F.col("offset")).drop("offset")
 
 
@@ -167,7 +171,7 @@ def merge_labels(staged: DataFrame, meta: ImageMeta, counts: DataFrame | None =
     staged input is read from where it was materialised.
     """
     labels = global_ids(staged, counts)
-    merged = relabel(labels, lookup_table(touching_pairs(labels, meta)))
+    merged = relabel(labels, materialize(lookup_table(touching_pairs(labels, meta)), "lookup"))
     if sequential_ids:
         seq = sequential(merged, "label")
         merged = merged.join(small(seq.withColumnRenamed("label", "_l")), F.col("label") == F.col("_l")).withColumn("label", F.col("seq")).drop("_l", "seq")
