@@ -9,8 +9,11 @@
    many texts share a seed, and no shared window is lost.
 3. The matches of a text with one partner are joined to blocks along their
    diagonals, and the blocks are chained in order under gap costs through a
-   Fenwick tree. Chains are the (fuzzy) passages; the gaps between the blocks
-   of a chain are its edits, and its blocks are verbatim.
+   Fenwick tree.
+
+Fuzzy passages (``passages``) need all partners: every pair of texts that share
+a k-mer is joined, its common pieces are extended and chained, and the gaps
+between the pieces of a chain are its edits.
 """
 
 from __future__ import annotations
@@ -335,34 +338,187 @@ def _by_document(documents: DataFrame, span: int, **options) -> DataFrame:
     return rows.repartition("doc").sortWithinPartitions("doc")
 
 
-def passages(documents: DataFrame, span: int = SPAN, gap_cost: float = GAP_COST, **options) -> DataFrame:
-    """The fuzzy passages that documents share with their witnesses.
+def copies(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, rep_id, n_chars: each document with the least document that holds the same text.
 
-    Columns: doc_id, other_id, from_char, to_char, other_from, other_to, score,
-    n_blocks, exact_chars, identity (verbatim share of the longer side).
+    Documents that share an id have a row for each of their texts.
     """
+    docs = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).dropna()
+    rows = docs.select("doc_id", F.sha2("text", 256).alias("_t"), F.length("text").cast("bigint").alias("n_chars")).distinct()
+    reps = rows.groupBy("_t").agg(F.min("doc_id").alias("rep_id"))
+    return rows.join(reps, "_t").select("doc_id", "rep_id", "n_chars")
+
+
+def _linked_seeds(span: int, k: int):
+    """tid, h, pos and ``sub`` of every seed; sub stands for the seed before it and its distance, null without one."""
+    names = ["tid", "h", "pos", "sub"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for doc, partners in _documents(batches):
-            for other, matched in partners.items():
-                for score, path in chain(blocks_of(matched), gap_cost):
-                    (p, q, _), (p2, q2, k) = path[0], path[-1]
-                    exact = sum(b[2] for b in path)
-                    rows.append((doc, other, p, p2 + k, q, q2 + k, score, len(path), exact, exact / max(p2 + k - p, q2 + k - q)))
-            if len(rows) > 10_000:
-                yield _rows(rows)
-                rows = []
-        yield _rows(rows)
-
-    types = [pa.int64()] * 6 + [pa.float64(), pa.int32(), pa.int64(), pa.float64()]
-    names = ["doc_id", "other_id", "from_char", "to_char", "other_from", "other_to", "score", "n_blocks", "exact_chars", "identity"]
-
-    def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
-
-    ddl = "doc_id bigint, other_id bigint, from_char bigint, to_char bigint, other_from bigint, other_to bigint, score double, n_blocks int, exact_chars bigint, identity double"
-    return _by_document(documents, span, **options).mapInArrow(run, ddl)
+        for found in _seed_map(span, k)(batches):
+            tid, h, pos = (found.column(c).to_numpy() for c in ("doc", "h", "pos"))
+            sub, none = np.zeros(len(h), np.uint64), np.ones(len(h), bool)
+            step = pos[1:] - pos[:-1]
+            none[1:] = (tid[1:] != tid[:-1]) | (step <= 0)
+            sub[1:] = _mix(h[:-1].view(np.uint64) ^ _mix(step.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(h), pa.array(pos), pa.array(sub.view(np.int64), mask=none)], names=names)
+
+    return run
+
+
+def _same(a: str, i: int, b: str, j: int) -> int:
+    """How many characters are equal from a[i] and b[j] on."""
+    n, done, k, grow = min(len(a) - i, len(b) - j), 0, 64, True
+    while done < n and k:
+        k = min(k, n - done)
+        if a[i + done : i + done + k] == b[j + done : j + done + k]:
+            done += k
+            k = 2 * k if grow else k
+        else:
+            k, grow = k // 2, False
+    return done
+
+
+def _same_before(a: str, i: int, b: str, j: int) -> int:
+    """How many characters are equal just before a[i] and b[j]."""
+    n, done, k, grow = min(i, j), 0, 16, True
+    while done < n and k:
+        k = min(k, n - done)
+        if a[i - done - k : i - done] == b[j - done - k : j - done]:
+            done += k
+            k = 2 * k if grow else k
+        else:
+            k, grow = k // 2, False
+    return done
+
+
+def extended(a: str, b: str, spots: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+    """The maximal equal pieces of ``least`` characters or more around common places of two texts, in order."""
+    seen: dict[int, int] = {}  # diagonal: the stop of its last piece
+    out = []
+    for i, j in sorted(spots):
+        if i < seen.get(j - i, 0):
+            continue
+        back = _same_before(a, i, b, j)
+        n = back + _same(a, i, b, j)
+        seen[j - i] = i - back + n
+        if n >= least:
+            out.append((i - back, j - back, n))
+    return sorted(out)
+
+
+def chained(pieces: list[tuple[int, int, int]], gap_cost: float) -> Iterator[tuple[float, list[tuple[int, int, int]]]]:
+    """``chain`` for pieces in order that may overlap on one side, as they do where an edit repeats the text beside it.
+
+    The later piece is cut there to follow the earlier one, and is whole again where a chain starts with it.
+    """
+    cut, blocks, last = {}, [], None
+    for p, q, n in pieces:
+        over = max(last[0] + last[2] - p, last[1] + last[2] - q) if last and last[0] < p and last[1] < q else 0
+        over = over if 0 < over < n else 0
+        last = (p + over, q + over, n - over)
+        cut[last] = max(over, cut.get(last, 0))
+        blocks.append(last)
+    for score, path in chain(blocks, gap_cost):
+        (p, q, n), over = path[0], cut[path[0]]
+        yield score + over, [(p - over, q - over, n + over), *path[1:]]
+
+
+_PASSAGE = {
+    "doc_id": "bigint", "other_id": "bigint", "from_char": "bigint", "to_char": "bigint", "other_from": "bigint", "other_to": "bigint",
+    "score": "double", "n_blocks": "int", "exact_chars": "bigint", "identity": "double",
+}
+_PASSAGE_DDL = ", ".join(f"{n} {t}" for n, t in _PASSAGE.items())
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
+
+def _passage_map(least: int, gap_cost: float, rows_at_once: int = 20_000):
+    """Passages of the text pairs of each cell; its rows are sorted: the texts first, then the places by pair."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*rows) if rows else [[]] * len(_PASSAGE)
+        return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(cols, _PASSAGE.values())], names=list(_PASSAGE))
+
+    def pair(x: tuple[str, int, int], y: tuple[str, int, int], spots: list[tuple[int, int]]) -> Iterator[tuple]:
+        (a, lo, hi), (b, lo2, hi2) = x, y
+        # Texts of one document may be held by others too.
+        doc, other = next(((d, o) for d in (lo, hi) for o in (lo2, hi2) if d != o), (None, None))
+        blocks = extended(a, b, spots, least) if doc is not None else []
+        if not blocks:
+            return
+        for score, path in chained(blocks, gap_cost):
+            (p, q, _), (p2, q2, k) = path[0], path[-1]
+            exact = sum(s[2] for s in path)
+            same = exact
+            rest = (score, len(path), exact, same / max(p2 + k - p, q2 + k - q))
+            yield (doc, other, p, p2 + k, q, q2 + k, *rest)
+            yield (other, doc, q, q2 + k, p, p2 + k, *rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, texts, key, spots, rows = None, {}, None, [], []
+        for batch in batches:
+            for c, ta, tb, i, j, text, lo, hi in zip(*(col.to_pylist() for col in batch.columns)):
+                if (ta, tb) != key or c != cell:
+                    if spots:
+                        rows.extend(pair(texts[key[0]], texts[key[1]], spots))
+                    key, spots = (ta, tb), []
+                    if len(rows) >= rows_at_once:
+                        yield batch_of(rows)
+                        rows = []
+                if c != cell:
+                    cell, texts = c, {}
+                if text is not None:
+                    texts[ta] = (text, lo, hi)
+                else:
+                    spots.append((i, j))
+        if spots:
+            rows.extend(pair(texts[key[0]], texts[key[1]], spots))
+        yield batch_of(rows)
+
+    return run
+
+
+def passages(documents: DataFrame, span: int = SPAN, gap_cost: float = GAP_COST, seed: int = SEED, text: str = "text", key: str = "doc_id", cell_chars: int = 16 << 20) -> DataFrame:
+    """The fuzzy passages that any two documents share, in both directions.
+
+    Columns: doc_id, other_id, from_char, to_char, other_from, other_to, score,
+    n_blocks, exact_chars, identity (share of the longer side that is alike).
+
+    Every k-mer of ``seed`` characters that stands in two texts seeds: windows
+    of that length have the same minimizer in both. A place whose seed before
+    is shared at the same distance too lies in a piece found from there, so
+    each maximal common piece of two texts is joined once. Pieces are extended
+    on the text and chained. ``span`` is the rule of ``shared_chars`` alone.
+
+    All pairs of different texts are there, however many share a piece, so the
+    result grows with the pairs. Copies of a text are linked with the least
+    document that holds it, which has their other links (``copies``).
+    """
+    docs = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).dropna()
+    held = docs.groupBy(F.sha2("text", 256).alias("_t")).agg(F.first("text").alias("text"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    texts = materialize(held.filter(F.length("text") >= seed).select(F.conv(F.substring("_t", 1, 15), 16, 10).cast("bigint").alias("tid"), "text", "lo", "hi"), "texts")
+    # k-mers no shorter than the greatest distance of two minimizers: what lies between equal neighbours is equal.
+    k = seed // 2 + 1
+    found = Materialized(texts.select("tid", "text").mapInArrow(_linked_seeds(seed, k), "tid bigint, h bigint, pos bigint, sub bigint"), "linked-seeds")
+    shared = found.df.groupBy("h").agg(F.min("tid").alias("_lo"), F.max("tid").alias("_hi")).filter("_lo <> _hi").select("h")
+    common = materialize(found.df.join(shared, "h", "left_semi"), "shared-linked-seeds")
+    found.drop()
+
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(3, -(-chars // cell_chars))
+    side = lambda x: common.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("tid", "pos", "sub")), F.pmod("tid", F.lit(n)).alias(f"g_{x}"))
+    known = F.col("sub_a").eqNullSafe(F.col("sub_b")) & F.col("sub_a").isNotNull()
+    pairs = side("a").join(side("b"), "h").filter((F.struct("g_a", "tid_a") < F.struct("g_b", "tid_b")) & ~known)
+    pairs = materialize(pairs.select((F.col("g_a") * n + F.col("g_b")).alias("cell"), "tid_a", "tid_b", "pos_a", "pos_b"), "places")
+    used = pairs.select("cell", F.col("tid_a").alias("tid")).union(pairs.select("cell", "tid_b")).distinct()
+    sent = used.join(texts, "tid").selectExpr("cell", "tid AS tid_a", "CAST(NULL AS bigint) AS tid_b", "CAST(NULL AS bigint) AS pos_a", "CAST(NULL AS bigint) AS pos_b", "text", "lo", "hi")
+    rows = sent.unionByName(pairs, allowMissingColumns=True)
+    rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("text").isNull(), "tid_a", "tid_b")
+    linked = rows.mapInArrow(_passage_map(seed, gap_cost), _PASSAGE_DDL)
+
+    same = copies(documents, text, key).filter((F.col("doc_id") != F.col("rep_id")) & (F.col("n_chars") >= seed))
+    for a, b in (("doc_id", "rep_id"), ("rep_id", "doc_id")):
+        linked = linked.union(same.selectExpr(a, b, "0L", "n_chars", "0L", "n_chars", "double(n_chars)", "1", "n_chars", "1D"))
+    return linked
 
 
 def shared_chars(documents: DataFrame, span: int = SPAN, gap_cost: float = GAP_COST, **options) -> DataFrame:

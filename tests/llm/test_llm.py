@@ -138,6 +138,40 @@ def test_passages_and_empty_input(spark):
     assert spans.shared_chars(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_passages_link_all_partners(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, left, right = word(60), word(50), word(50)
+    long_ = left + core + right
+    # 1 holds only the middle of what 5 and 9 share; 7 is a copy of 9.
+    texts = [(1, word(30) + core + word(30)), (5, word(20) + long_ + word(40)), (9, word(35) + long_ + word(10))]
+    texts.append((7, texts[2][1]))
+    got = {(r["doc_id"], r["other_id"]): r for r in spans.passages(docs(spark, texts), span=40, seed=16).collect()}
+    assert set(got) == {(a, b) for a, b in ((1, 5), (1, 7), (5, 7), (7, 9)) for a, b in ((a, b), (b, a))}
+    r = got[5, 7]
+    assert texts[1][1][r["from_char"] : r["to_char"]] == texts[2][1][r["other_from"] : r["other_to"]]
+    assert r["exact_chars"] >= len(long_) and long_ in texts[1][1][r["from_char"] : r["to_char"]] and r["n_blocks"] == 1 and r["identity"] == 1
+    assert {(r["doc_id"], r["rep_id"]) for r in spans.copies(docs(spark, texts)).collect()} == {(1, 1), (5, 5), (7, 7), (9, 7)}
+
+
+def test_passages_find_every_common_piece(spark):
+    texts = [(d, t) for d, t in shared_texts(5) if len(t) >= 20]
+    got = {}
+    for r in spans.passages(docs(spark, texts), seed=20).collect():
+        a, b = dict(texts)[r["doc_id"]], dict(texts)[r["other_id"]]
+        assert a[r["from_char"]] == b[r["other_from"]] and a[r["to_char"] - 1] == b[r["other_to"] - 1]
+        got.setdefault((r["doc_id"], r["other_id"]), []).append((r["from_char"], r["to_char"]))
+    rep = {}
+    for d, t in texts:
+        rep.setdefault(t, d)
+    for x, (t, d) in enumerate(rep.items()):
+        for u, e in list(rep.items())[x + 1 :]:
+            grams = {u[i : i + 20] for i in range(len(u) - 19)}
+            hits = [i for i in range(len(t) - 19) if t[i : i + 20] in grams]
+            assert bool(hits) == ((d, e) in got) == ((e, d) in got)
+            assert all(any(p <= i + 19 and i < q for p, q in got[d, e]) for i in hits)
+
+
 def test_very_long_text_in_parts(spark, monkeypatch):
     monkeypatch.setattr(spans, "SLICE_CHARS", 64)
     rng = random.Random(2)
