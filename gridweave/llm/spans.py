@@ -423,6 +423,46 @@ def chained(pieces: list[tuple[int, int, int]], gap_cost: float) -> Iterator[tup
         yield score + over, [(p - over, q - over, n + over), *path[1:]]
 
 
+def alike(a: str, b: str) -> int:
+    """Characters that an alignment of two texts matches at most: their longest common subsequence, by bits."""
+    if not a or not b:
+        return 0
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full
+    for c in b:
+        u = free & at.get(c, 0)
+        free = (free + u | free - u) & full
+    return len(a) - free.bit_count()
+
+
+def beyond(a: str, i: int, b: str, j: int, reach: int, gap_cost: float) -> list[tuple[int, int, int]]:
+    """Shorter equal pieces that follow a[i] and b[j], each after an edit of less than ``reach`` that it outweighs."""
+    out, least = [], max(4, reach // 4)
+    while True:
+        for x in range(i, min(i + reach, len(a) - least + 1)):
+            y = b.find(a[x : x + least], j, j + reach + least)
+            if y >= 0 and (n := _same(a, x, b, y)) > gap_cost * (x - i + y - j):
+                break
+        else:
+            return out
+        out.append((x, y, n))
+        i, j = x + n, y + n
+
+
+def widened(a: str, b: str, score: float, path: list[tuple[int, int, int]], reach: int, gap_cost: float) -> tuple[float, list[tuple[int, int, int]]]:
+    """A chain with the shorter equal pieces beside its ends."""
+    (p, q, _), (p2, q2, k) = path[0], path[-1]
+    after = beyond(a, p2 + k, b, q2 + k, reach, gap_cost)
+    before = [(p - x - n, q - y - n, n) for x, y, n in reversed(beyond(a[:p][::-1], 0, b[:q][::-1], 0, reach, gap_cost))]
+    for side in ([*before, path[0]], [path[-1], *after]):
+        for (x, y, n), (x2, y2, _) in zip(side, side[1:]):
+            score -= gap_cost * (x2 - x - n + y2 - y - n)
+    return score + sum(s[2] for s in before + after), before + path + after
+
+
 _PASSAGE = {
     "doc_id": "bigint", "other_id": "bigint", "from_char": "bigint", "to_char": "bigint", "other_from": "bigint", "other_to": "bigint",
     "score": "double", "n_blocks": "int", "exact_chars": "bigint", "identity": "double",
@@ -446,9 +486,10 @@ def _passage_map(least: int, gap_cost: float, rows_at_once: int = 20_000):
         if not blocks:
             return
         for score, path in chained(blocks, gap_cost):
+            score, path = widened(a, b, score, path, least, gap_cost)
             (p, q, _), (p2, q2, k) = path[0], path[-1]
             exact = sum(s[2] for s in path)
-            same = exact
+            same = exact + sum(alike(a[x + m : x2], b[y + m : y2]) for (x, y, m), (x2, y2, _) in zip(path, path[1:]))
             rest = (score, len(path), exact, same / max(p2 + k - p, q2 + k - q))
             yield (doc, other, p, p2 + k, q, q2 + k, *rest)
             yield (other, doc, q, q2 + k, p, p2 + k, *rest)
@@ -481,13 +522,15 @@ def passages(documents: DataFrame, span: int = SPAN, gap_cost: float = GAP_COST,
     """The fuzzy passages that any two documents share, in both directions.
 
     Columns: doc_id, other_id, from_char, to_char, other_from, other_to, score,
-    n_blocks, exact_chars, identity (share of the longer side that is alike).
+    n_blocks, exact_chars, identity (share of the longer side that is alike,
+    in the blocks and in the alignment of the gaps between them).
 
     Every k-mer of ``seed`` characters that stands in two texts seeds: windows
     of that length have the same minimizer in both. A place whose seed before
     is shared at the same distance too lies in a piece found from there, so
     each maximal common piece of two texts is joined once. Pieces are extended
-    on the text and chained. ``span`` is the rule of ``shared_chars`` alone.
+    on the text and chained; shorter pieces beside a chain
+    join it, and its gaps are aligned. ``span`` is the rule of ``shared_chars`` alone.
 
     All pairs of different texts are there, however many share a piece, so the
     result grows with the pairs. Copies of a text are linked with the least

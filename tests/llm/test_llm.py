@@ -154,6 +154,31 @@ def test_passages_link_all_partners(spark):
     assert {(r["doc_id"], r["rep_id"]) for r in spans.copies(docs(spark, texts)).collect()} == {(1, 1), (5, 5), (7, 7), (9, 7)}
 
 
+def test_near_copies_without_a_long_verbatim_piece(spark):
+    rng = random.Random(6)
+    lines = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(80)) for _ in range(25)]
+    texts = [(d, "\n".join(f"{x[:40]}{w} {x[40:]}" for x in lines)) for d, w in ((1, "token"), (2, "taken"))]
+    (r,) = spans.passages(docs(spark, texts)).filter("doc_id = 1").collect()
+    n = len(texts[0][1])
+    assert (r["from_char"], r["to_char"], r["n_blocks"]) == (0, n, 26)
+    assert r["exact_chars"] == n - 25 and r["identity"] == r["exact_chars"] / n
+    changed = [(1, texts[0][1]), (2, texts[0][1].replace("token", "t0k3n"))]
+    (r,) = spans.passages(docs(spark, changed)).filter("doc_id = 1").collect()
+    assert r["exact_chars"] == n - 75 and r["identity"] == (n - 50) / n
+
+
+def test_alignment_of_gaps():
+    rng = random.Random(7)
+    for _ in range(50):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            up = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = up[j] + 1 if x == y else max(up[j + 1], row[j])
+        assert spans.alike(a, b) == row[-1]
+
+
 def test_passages_find_every_common_piece(spark):
     texts = [(d, t) for d, t in shared_texts(5) if len(t) >= 20]
     got = {}
