@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import prod
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,22 +53,23 @@ def occupancy_summary(occupied: DataFrame, n_tiles: int, threshold: float) -> Da
     return occupied.agg(F.lit(float(threshold)).alias("threshold"), F.lit(n_tiles).cast("bigint").alias("n_tiles"), n.alias("n_occupied"), empty.cast("double").alias("empty_fraction"))
 
 
-def histogram(voxels: DataFrame, value: str = "value", bins: int = MAX_BINS) -> DataFrame:
+def histogram(voxels: DataFrame, value: str = "value", bins: int = MAX_BINS, count: str | None = None) -> DataFrame:
     """v, n of each different value, or of ``bins`` equal bins (v is the middle) where whole values would need more.
 
-    Nulls and values that are not finite are left out. The bins are bounded
+    Nulls and values that are not finite are left out. A row stands for as many
+    voxels as its column ``count`` says, else for one. The bins are bounded
     whatever the image holds, so what follows may sort them in one task.
     """
-    rows = voxels.select(F.col(value).alias("v")).filter(F.col("v").isNotNull())
+    rows = voxels.select(F.col(value).alias("v"), (F.col(count) if count else F.lit(1)).cast("bigint").alias("n")).filter(F.col("v").isNotNull())
     whole = not isinstance(voxels.schema[value].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
     if not whole:
-        rows = rows.select(F.col("v").cast("double").alias("v")).filter((F.col("v") > float("-inf")) & (F.col("v") < float("inf")))
+        rows = rows.select(F.col("v").cast("double").alias("v"), "n").filter((F.col("v") > float("-inf")) & (F.col("v") < float("inf")))
     lo, hi = rows.agg(F.min("v"), F.max("v")).first()
     if lo is None or lo == hi or (whole and hi - lo < bins):
-        return rows.groupBy("v").agg(F.count("*").alias("n"))
+        return rows.groupBy("v").agg(F.sum("n").alias("n"))
     step = (float(hi) - float(lo)) / bins
     place = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(step)), F.lit(bins - 1))
-    return rows.groupBy(place.alias("_b")).agg(F.count("*").alias("n")).select((F.lit(float(lo)) + (F.col("_b") + 0.5) * step).alias("v"), "n")
+    return rows.groupBy(place.alias("_b")).agg(F.sum("n").alias("n")).select((F.lit(float(lo)) + (F.col("_b") + 0.5) * step).alias("v"), "n")
 
 
 def otsu(bins: DataFrame) -> DataFrame:
@@ -87,11 +89,23 @@ def otsu(bins: DataFrame) -> DataFrame:
     return best.select(F.coalesce("t", F.lit(0.0)).alias("threshold"))
 
 
-def auto_threshold(voxels: DataFrame, meta: ImageMeta, value: str = "value", widest: int = 64) -> DataFrame:
-    """Otsu's threshold of three windows along the diagonal of the image."""
+def auto_threshold(voxels: DataFrame, meta: ImageMeta, value: str = "value", widest: int = 64, background: bool = True) -> DataFrame:
+    """Otsu's threshold of three windows along the diagonal of the image.
+
+    Absent voxels of a window count as zeros, so that the threshold parts
+    objects from background; without ``background`` only the rows count, and it
+    parts dim objects from bright ones.
+    """
     per_axis = [sampling_windows(s, widest) for s in meta.shape]
-    parts = [grid.region(voxels, meta, *zip(*(w[i] for w in per_axis))) for i in range(3)]
-    return otsu(histogram(reduce(DataFrame.unionByName, parts), value))
+    kind, parts = voxels.schema[value].dataType, []
+    for i in range(3):
+        lo, hi = zip(*(w[i] for w in per_axis))
+        rows = grid.region(voxels, meta, lo, hi)
+        parts.append(rows.select(value, F.lit(1).cast("bigint").alias("_n")))
+        if background:
+            absent = F.lit(prod(y - x for x, y in zip(lo, hi))).cast("bigint") - F.count("*")
+            parts.append(rows.agg(absent.alias("_n")).filter("_n > 0").select(F.lit(0).cast(kind).alias(value), "_n"))
+    return otsu(histogram(reduce(DataFrame.unionByName, parts), value, count="_n"))
 
 
 def occupied_tiles(tiles: DataFrame, occupancy: DataFrame) -> DataFrame:

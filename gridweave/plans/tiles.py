@@ -238,6 +238,18 @@ _SQL_SAMPLE = " UNION ALL ".join(f"SELECT value FROM l, g WHERE {_sql_window(f)}
 
 @query(f"WITH {SQL_3D}, {SQL_GRID_3D}, q AS ({_SQL_SAMPLE}), " + _SQL_OTSU.format(src="q"))
 def auto_threshold(spark, sf):
+    # Its SQL counts the present voxels alone.
+    return occupancy.auto_threshold(rasters.li3d(spark, sf), rasters.meta3d(spark, sf), background=False)
+
+
+_SQL_ABSENT = " UNION ALL ".join(
+    f"SELECT 0 FROM (SELECT least(sz, 64) * least(sy, 64) * least(sx, 64) - (SELECT count(*) FROM l, g WHERE {_sql_window(f)}) AS k FROM g), unnest(range(k)) AS r(i)"
+    for f in (0.33, 0.5, 0.66)
+)
+
+
+@query(f"WITH {SQL_3D}, {SQL_GRID_3D}, q AS ({_SQL_SAMPLE} UNION ALL {_SQL_ABSENT}), " + _SQL_OTSU.format(src="q"))
+def auto_threshold_background(spark, sf):
     return occupancy.auto_threshold(rasters.li3d(spark, sf), rasters.meta3d(spark, sf))
 
 

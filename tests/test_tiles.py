@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridweave import workflow
 from gridweave.meta import ImageMeta
 from gridweave.operators import grid, kernels, merge, occupancy, pyramid, relations, staged
 from gridweave.sources import files
@@ -162,6 +163,21 @@ def test_histograms_are_bounded(spark):
     assert occupancy.histogram(wide).count() == 2
 
 
+@pytest.mark.parametrize("kind", [int, float])
+def test_prepare_keeps_tiles_of_dim_objects_on_a_sparse_image(spark, kind):
+    a = np.zeros((64, 64), kind)
+    a[4:8, 4:8], a[40:44, 40:44] = 100, 180
+    a[5, 5], a[41, 41] = 110, 200
+    rows = files.from_array(spark, a, "yx").filter("value <> 0")
+    meta = ImageMeta(("y", "x"), a.shape, (32, 32))
+    assert sorted(r["tile_id"] for r in workflow.prepare(rows, meta).collect()) == [0, 3]
+    got = occupancy.auto_threshold(rows, meta).first()["threshold"]
+    assert 0 <= got < 1 and (kind is float or got == kernels.otsu(a))
+    # Zeros that are rows count once.
+    assert occupancy.auto_threshold(files.from_array(spark, a, "yx"), meta).first()["threshold"] == got
+    assert occupancy.auto_threshold(rows, meta, background=False).first()["threshold"] > 100
+
+
 def test_relations_majority_ties_and_totals(spark):
     a = np.zeros((4, 10), int)
     b = np.zeros((4, 10), int)
