@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 from html import unescape
 
@@ -70,31 +70,33 @@ def number_of(text: str) -> Decimal | None:
         return None
 
 
-def size_nm(value: str | None, unit: str | None) -> int | None:
-    """Whole nanometres, rounded half up, or None if value or unit is unusable.
+def reading(value: str | None, unit: str | None) -> tuple[Decimal, str] | None:
+    """The number and the unit of a size, "" if no unit is given, or None if either is unusable.
 
-    A unit in the value's own text goes before ``unit``; without either the
-    value is in micrometres. Sizes beyond BIGINT are unusable.
+    A unit in the value's own text goes before ``unit``.
     """
     if value is None or not (m := _VALUE.match(unescape(value))):
         return None
     own = unit_of(m[2])
     name = own if own != "" else unit_of(unescape(unit)) if unit is not None else ""
     x = number_of(m[1])
-    if x is None or name is None:
+    return None if x is None or name is None else (x, name)
+
+
+def size_nm(value: str | None, unit: str | None) -> int | None:
+    """Whole nanometres, rounded half up, or None if value or unit is unusable.
+
+    A value without a unit is in micrometres. Sizes beyond BIGINT are unusable.
+    """
+    if (found := reading(value, unit)) is None:
         return None
+    x, name = found
     nm = (x * NM[name or "um"]).to_integral_value(ROUND_HALF_UP)
     return int(nm) if nm < 2**63 else None
 
 
-def plane_sizes(description: str | None, ij_spacing: str | None, ij_unit: str | None) -> dict[str, int]:
-    """axis -> nanometres of one file, by the order of precedence of the places."""
-    out: dict[str, int] = {}
-
-    def offer(axis: str, nm: int | None) -> None:
-        if nm is not None:
-            out.setdefault(axis, nm)
-
+def size_texts(description: str | None, ij_spacing: str | None, ij_unit: str | None) -> Iterator[tuple[str, str, str | None, str | None]]:
+    """axis, place, value and unit as text of every size of one file, by the order of precedence of the places."""
     text = description or ""
     pixels = _PIXELS.search(text)
     imagej = text.lstrip().startswith("ImageJ=")
@@ -102,17 +104,25 @@ def plane_sizes(description: str | None, ij_spacing: str | None, ij_unit: str |
         attrs = {m[1]: m[2] if m[2] is not None else m[3] for m in _ATTR.finditer(pixels[1])}
         for axis in "xyz":
             key = f"PhysicalSize{axis.upper()}"
-            offer(axis, size_nm(attrs.get(key), attrs.get(key + "Unit")))
+            yield axis, "ome", attrs.get(key), attrs.get(key + "Unit")
     if ij_spacing is not None:
-        offer("z", size_nm(ij_spacing, ij_unit))
+        yield "z", "ij_spacing", ij_spacing, ij_unit
     elif imagej:
         spacing, unit = _SPACING.search(text), _UNIT.search(text)
-        offer("z", size_nm(spacing and spacing[1], unit and unit[1]))
+        yield "z", "imagej", spacing and spacing[1], unit and unit[1]
     if not pixels and not imagej:
         for line in _SIZE_LINE.finditer(text):
             if m := _SIZES.match(line[1]):
                 for axis, value in zip("xyz", m.groups()[:3]):
-                    offer(axis, size_nm(value, m[4]))
+                    yield axis, "text", value, m[4]
+
+
+def plane_sizes(description: str | None, ij_spacing: str | None, ij_unit: str | None) -> dict[str, int]:
+    """axis -> nanometres of one file, by the order of precedence of the places."""
+    out: dict[str, int] = {}
+    for axis, _, value, unit in size_texts(description, ij_spacing, ij_unit):
+        if (nm := size_nm(value, unit)) is not None:
+            out.setdefault(axis, nm)
     return out
 
 
@@ -138,6 +148,31 @@ def voxel_sizes(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sizes, "file_id bigint, axis string, size_nm bigint").distinct()
 
 
+def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
+    names = ["file_id", "image_id", "acquired_at", "axis", "place", "value", "unit"]
+    for batch in batches:
+        out: list[tuple] = []
+        for i, (file, image, *texts) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5)))):
+            for axis, place, value, unit in size_texts(*texts):
+                if (found := reading(value, unit)) is not None:
+                    out.append((file, image, i, axis, place, float(found[0]), found[1] or None))
+        cols = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), kinds)]
+        cols[2] = batch.column(2).take(cols[2])  # of the row that the size is from
+        yield pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def size_readings(files: DataFrame) -> DataFrame:
+    """Every size of every file and axis, from all its places: file_id, image_id, acquired_at, axis, place, value, unit.
+
+    ``unit`` is null where no text gives one. Sizes whose unit names no length
+    (px, arb, ...) are not lengths and are left out. Repeated rows count once.
+    """
+    rows = files.select("file_id", "image_id", "acquired_at", "image_description", "ij_spacing", "ij_unit")
+    kind = files.schema["acquired_at"].dataType.simpleString()
+    return rows.mapInArrow(_readings, f"file_id bigint, image_id bigint, acquired_at {kind}, axis string, place string, value double, unit string").distinct()
+
+
 # --- hidden Markov model over the unit -------------------------------------
 
 _LOG = np.log10(np.array([float(v) for v in NM.values()]))
@@ -190,14 +225,17 @@ def decode_units(
     switch: float = 8.0,
     default: str = "um",
     block_seconds: int = 86_400,
+    keep: Sequence[str] = (),
+    untimed: bool = False,
 ) -> DataFrame:
     """Name the unit of every reading by the Viterbi path of its series.
 
     ``readings`` holds a series key, a time, a positive number and a unit name
     of ``STATES`` or null where none is recorded. Result: series, at, value,
     state, size_nm (double). Rows with null series, time or value, or a value
-    that is not positive and finite, are not readings and are left out; equal
-    times are ordered by value. A series without any recorded unit starts at
+    that is not positive and finite, are not readings and are left out; with
+    ``untimed`` null times stay and come last, as one block. Equal times are
+    ordered by value. ``keep`` names columns that the result has besides. A series without any recorded unit starts at
     ``default`` rather than elsewhere by a prior of one switch.
 
     A long series is cut into blocks of time. Each block is reduced to a small
@@ -207,9 +245,10 @@ def decode_units(
     """
     n = len(STATES)
     rows = readings.select(
-        F.col(series).cast("string").alias("series"), F.col(at).alias("at"), F.col(value).cast("double").alias("value"), F.col(unit).alias("unit")
-    ).filter("series is not null and at is not null and value > 0 and value < double('inf')")
-    rows = rows.withColumn("block", F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / block_seconds))
+        F.col(series).cast("string").alias("series"), F.col(at).alias("at"), F.col(value).cast("double").alias("value"), F.col(unit).alias("unit"),
+        *(F.col(c).cast("string").alias(c) for c in keep),
+    ).filter(f"series is not null and {'true' if untimed else 'at is not null'} and value > 0 and value < double('inf')")
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / block_seconds), F.lit(1 << 62)))
     prior = np.where(np.arange(n) == STATES.index(default), 0.0, -switch)
 
     def load(pdf):
@@ -248,11 +287,13 @@ def decode_units(
         start = np.full(n, _NEG)
         start[first] = 0.0
         path = viterbi(y, known, start, sigma, switch, last)
-        return pdf[["series", "at", "value"]].assign(state=[STATES[s] for s in path], size_nm=[v * 10 ** _LOG[s] for v, s in zip(pdf["value"], path)])
+        return pdf[["series", "at", "value", *keep]].assign(state=[STATES[s] for s in path], size_nm=[v * 10 ** _LOG[s] for v, s in zip(pdf["value"], path)])
 
     blocks = rows.groupBy("series", "block").applyInPandas(reduce_block, "series string, block bigint, y0 double, y1 double, m array<double>")
     borders = blocks.groupBy("series").applyInPandas(chain, "series string, block bigint, first int, last int")
     kind = readings.schema[at].dataType.simpleString()
-    return rows.join(borders, ["series", "block"]).groupBy("series", "block").applyInPandas(
-        decode, f"series string, at {kind}, value double, state string, size_nm double"
+    kept = "".join(f"{c} string, " for c in keep)
+    out = rows.join(borders, ["series", "block"]).groupBy("series", "block").applyInPandas(
+        decode, f"series string, at {kind}, value double, {kept}state string, size_nm double"
     )
+    return out.withColumns({c: F.col(c).cast(readings.schema[c].dataType) for c in keep})

@@ -33,13 +33,15 @@ def p2_found(spark, sf):
 
 
 def p2_decoded(spark, sf):
-    """Units of the bare ImageJ spacings of each image, decoded from their jumps."""
-    rows = table(spark, sf, "tiff_meta").select("image_id", "acquired_at", "ij_spacing", "ij_unit").distinct()
-    unit = F.pandas_udf(lambda s: s.map(lambda t: units.unit_of(t) or None, na_action="ignore"), "string")
-    bare = F.expr("try_cast(replace(trim(ij_spacing), ',', '.') AS double)")
-    return units.decode_units(
-        rows.select("image_id", "acquired_at", bare.alias("value"), unit("ij_unit").alias("unit")), "image_id", "acquired_at", "value", "unit"
-    )
+    """Units of all sizes of each file and axis, decoded from the jumps in the series of its image; units in text pin them.
+
+    A file without an image is a series of its own; sizes without a time come last.
+    """
+    rows = units.size_readings(table(spark, sf, "tiff_meta"))
+    image = F.coalesce(F.col("image_id").cast("string"), F.concat(F.lit("file "), "file_id"))
+    rows = rows.withColumn("series", F.concat_ws("/", image, "axis"))
+    out = units.decode_units(rows, "series", "acquired_at", "value", "unit", block_seconds=366 * 86_400, keep=["file_id", "image_id", "axis", "place"], untimed=True)
+    return out.drop("series")
 
 
 def p6_found(spark, sf):

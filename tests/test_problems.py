@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave.operators import drift, incremental, units
+from gridweave.plans import problems
 
 T0 = dt.datetime(2025, 1, 1)
 ATTRS = "record_id bigint, store_id bigint, written_at timestamp_ntz, attrs string, part string, edge string"
@@ -181,6 +182,22 @@ def test_runs_resume_without_skipping_or_repeating(spark, tmp_path, step):
     assert run.run(df(rows + later + last), "2025-01-01 23:30:00").count() == 0
 
 
+def test_all_sizes_of_all_places_are_decoded(spark, tmp_path):
+    at = dt.datetime(2025, 1, 1)
+    ome = '<OME><Pixels PhysicalSizeX="0.5" PhysicalSizeY="500 nm" PhysicalSizeZ="2" PhysicalSizeZUnit="pixel"/></OME>'
+    rows = [
+        (1, 7, ome, "2.0", None, at), (2, 7, ome, "2000 nm", None, at + dt.timedelta(hours=1)), (3, 7, None, "2000", "px", at), (4, 7, "ImageJ=1\nspacing=2000\n", None, None, None),
+        (5, 7, "Voxel size: 0.5 x 0.5 x 2 um", None, None, at), (5, 7, "Voxel size: 0.5 x 0.5 x 2 um", None, None, at), (6, None, None, "3", None, at),
+    ]
+    df = spark.createDataFrame(rows, "file_id bigint, image_id bigint, image_description string, ij_spacing string, ij_unit string, acquired_at timestamp")
+    df.write.parquet(f"{tmp_path}/tiff_meta.parquet")
+    got = {(r["file_id"], r["axis"], r["place"]): (r["state"], round(r["size_nm"])) for r in problems.p2_decoded(spark, str(tmp_path)).collect()}
+    assert got == {
+        (1, "x", "ome"): ("um", 500), (1, "y", "ome"): ("nm", 500), (1, "z", "ij_spacing"): ("um", 2000), (2, "x", "ome"): ("um", 500), (2, "y", "ome"): ("nm", 500),
+        (2, "z", "ij_spacing"): ("nm", 2000), (4, "z", "imagej"): ("nm", 2000), (5, "x", "text"): ("um", 500), (5, "y", "text"): ("um", 500), (5, "z", "text"): ("um", 2000), (6, "z", "ij_spacing"): ("um", 3000),
+    }
+
+
 def test_fingerprints_see_any_change(spark):
     df = spark.createDataFrame([(1, 1, None, 2), (1, 2, 2, None)], "k int, i int, a int, b int")
     both = [incremental.fingerprints(x, F.col("k"), F.lit(False), ["a", "b"]).first()["h_new"] for x in (df.filter("i = 1"), df.filter("i = 2"))]
