@@ -126,7 +126,7 @@ def changed_items(counts: DataFrame, tiles: DataFrame, jobs: DataFrame, partitio
 
 
 class IncrementalRun:
-    """One resumable run over a count log, publishing states and changes in ``base``.
+    """Resumable runs over a count log and, if given, a tile log, publishing states and changes in ``base``.
 
     A run writes its plan (``read_until``) first, then the changes of this run,
     then the states of the changed partitions by dynamic partition overwrite,
@@ -142,8 +142,12 @@ class IncrementalRun:
         path = f"{self.base}/{name}.json"
         return json.loads(read_text(self.spark, path)) if exists(self.spark, path) else None
 
-    def run(self, counts: DataFrame, read_until: str, fail_after: str | None = None) -> DataFrame:
-        """Process the rows arrived up to ``read_until``; returns the changes of the run.
+    def run(self, counts: DataFrame, read_until: str, fail_after: str | None = None, tiles: DataFrame | None = None) -> DataFrame:
+        """Process the rows arrived up to ``read_until``; returns the changed counts of the run.
+
+        Rows without an arrival time are in every run and new in each, as in
+        ``changed_items``. With ``tiles``, the changed batches are in
+        ``changes("tiles")`` afterwards and their states in ``state("tiles")``.
 
         ``fail_after`` ("plan", "changes" or "state") breaks the run off after
         that step; it exists for recovery tests.
@@ -154,7 +158,8 @@ class IncrementalRun:
             plan = {"run": last["run"] + 1, "read_until": read_until}
             write_text(self.spark, f"{self.base}/plan.json", json.dumps(plan))
         self._step("plan", fail_after)
-        now = counts.filter(seen(counts, "arrived_at", plan["read_until"])).filter(F.col("n").isNotNull())
+        known = lambda log: log.filter(seen(log, "arrived_at", plan["read_until"]) | F.col("arrived_at").isNull())
+        now = known(counts).filter(F.col("n").isNotNull())
         states = changed_states(
             now, ["run_id", "tile_id"], ["updated_at", "arrived_at"], ["n", "batch"], "arrived_at", last["read_until"], self.partitions
         )
@@ -165,15 +170,14 @@ class IncrementalRun:
             .write.mode("overwrite")
             .parquet(out)
         )
+        if tiles is not None:
+            changed = changed_batches(known(tiles), last["read_until"], self.partitions)
+            changed.select("run_id", "item_no").write.mode("overwrite").parquet(f"{self.base}/tiles/changes/run={plan['run']}")
         self._step("changes", fail_after)
-        (
-            states.select("run_id", "tile_id", "new.n", "new.batch", "part")
-            .repartition("part")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("part")
-            .parquet(f"{self.base}/state")
-        )
+        self._replace(states.select("run_id", "tile_id", "new.n", "new.batch", "part"), "counts")
+        if tiles is not None:
+            batches = changed_states(known(tiles), ["run_id"], ["written_at", "arrived_at"], ["batches"], "arrived_at", last["read_until"], self.partitions)
+            self._replace(batches.select("run_id", "new.batches", "part"), "tiles")
         self._step("state", fail_after)
         write_text(self.spark, f"{self.base}/commit.json", json.dumps(plan))
         return self.spark.read.parquet(out)
@@ -183,8 +187,24 @@ class IncrementalRun:
         if name == fail_after:
             raise RuntimeError(f"broken off after {name}")
 
-    def state(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/state")
+    def _path(self, log: str) -> str:
+        return self.base if log == "counts" else f"{self.base}/{log}"
+
+    def _replace(self, states: DataFrame, log: str) -> None:
+        (
+            states.repartition("part")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("part")
+            .parquet(f"{self._path(log)}/state")
+        )
+
+    def changes(self, log: str = "counts") -> DataFrame:
+        """The changes of the last run that ended."""
+        return self.spark.read.parquet(f"{self._path(log)}/changes/run={self._doc('commit')['run']}")
+
+    def state(self, log: str = "counts") -> DataFrame:
+        return self.spark.read.parquet(f"{self._path(log)}/state")
 
     def reset(self) -> None:
         remove(self.spark, self.base)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import drift, incremental, units
-from ..runtime import table
+from ..runtime import shared_dir, table
 
 
 def p1_found(spark, sf):
@@ -48,7 +50,23 @@ def p6_found(spark, sf):
     return incremental.changed_items(table(spark, sf, "counts"), table(spark, sf, "tiles"), table(spark, sf, "job_log"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_meta, p1_union_schema, p1_branches, p1_appearing, p2_found, p2_decoded, p6_found)}
+def p6_resumed(spark, sf):
+    """``p6_found`` by stored runs: one up to the watermark, then one over the rest that breaks off and is resumed."""
+    counts, tiles = table(spark, sf, "counts"), table(spark, sf, "tiles")
+    until = incremental.watermark(table(spark, sf, "job_log"))
+    run = incremental.IncrementalRun(spark, f"{shared_dir(spark)}/gridweave/run-{uuid.uuid4().hex}")
+    if until is not None:
+        run.run(counts, until, tiles=tiles)
+    end = counts.select("arrived_at").union(tiles.select("arrived_at")).agg(F.max("arrived_at").cast("string").alias("t")).first()["t"]
+    try:
+        run.run(counts, end, fail_after="changes", tiles=tiles)
+    except RuntimeError:
+        run.run(counts, end, tiles=tiles)
+    kind = lambda log, no: run.changes(log).select(F.lit(log).alias("item_kind"), "run_id", F.col(no).alias("item_no"))
+    return kind("counts", "tile_id").unionByName(kind("tiles", "item_no"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_meta, p1_union_schema, p1_branches, p1_appearing, p2_found, p2_decoded, p6_found, p6_resumed)}
 
 SQL = {
     "p1_found": r"""

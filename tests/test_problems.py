@@ -182,6 +182,17 @@ def test_runs_resume_without_skipping_or_repeating(spark, tmp_path, step):
     assert run.run(df(rows + later + last), "2025-01-01 23:30:00").count() == 0
 
 
+def test_resumed_runs_of_both_logs_find_what_one_pass_finds(spark, tmp_path):
+    at = lambda h: None if h is None else T0 + dt.timedelta(hours=h)
+    counts = [(1, 1, 5, 0, 1), (1, 1, 6, 0, 9), (1, 2, 5, 0, 1), (2, 1, 7, 0, None), (3, 1, 1, 0, 2)]
+    tiles = [(1, [[1, 2], [3]], 1), (1, [[2, 1], [4]], 9), (2, [[5]], None), (3, [[6]], 2)]
+    spark.createDataFrame([(r, t, n, b, at(h), at(h)) for r, t, n, b, h in counts], "run_id bigint, tile_id bigint, n bigint, batch int, updated_at timestamp, arrived_at timestamp").write.parquet(f"{tmp_path}/counts.parquet")
+    spark.createDataFrame([(r, b, at(h), at(h)) for r, b, h in tiles], "run_id bigint, batches array<array<bigint>>, written_at timestamp, arrived_at timestamp").write.parquet(f"{tmp_path}/tiles.parquet")
+    spark.createDataFrame([("succeeded", at(4))], "status string, read_until timestamp").write.parquet(f"{tmp_path}/job_log.parquet")
+    got, want = (sorted(tuple(r) for r in q(spark, str(tmp_path)).collect()) for q in (problems.p6_resumed, problems.p6_found))
+    assert got == want == [("counts", 1, 1), ("counts", 2, 1), ("tiles", 1, 1), ("tiles", 2, 0)]
+
+
 def test_all_sizes_of_all_places_are_decoded(spark, tmp_path):
     at = dt.datetime(2025, 1, 1)
     ome = '<OME><Pixels PhysicalSizeX="0.5" PhysicalSizeY="500 nm" PhysicalSizeZ="2" PhysicalSizeZUnit="pixel"/></OME>'
