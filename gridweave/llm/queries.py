@@ -42,13 +42,17 @@ def p9_passages(spark, sf):
     return spans.passages(table(spark, sf, "documents"))
 
 
+def p9_members(spark, sf):
+    return spans.passage_members(table(spark, sf, "documents"))
+
+
 def p9_copies(spark, sf):
     return spans.copies(table(spark, sf, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_overlaps, p4_found, p4_text_pieces, p5_found, p7_ids, p8_found, p9_found, p9_passages, p9_copies)
+    for f in (p3_found, p3_overlaps, p4_found, p4_text_pieces, p5_found, p7_ids, p8_found, p9_found, p9_passages, p9_members, p9_copies)
 }
 
 SQL = {

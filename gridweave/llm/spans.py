@@ -1,19 +1,19 @@
-"""Long exact spans shared between records, by collinear chaining of shared k-mer seeds.
-
-1. Every window of ``span`` characters of every text has a minimizer; the
-   minimizers are the seeds (``winnow``). Seeds that occur in two texts are joined.
-2. A seed stands for a run of windows. Runs equal as a whole in two texts match
-   at once, by their hash. The others, at the ends of shared stretches, fetch
-   their text and are matched window by window within the seed. Each run gets a
-   witness per stretch, not all partners: work is linear in the runs, however
-   many texts share a seed, and no shared window is lost.
-3. The matches of a text with one partner are joined to blocks along their
-   diagonals, and the blocks are chained in order under gap costs through a
-   Fenwick tree.
-
-Fuzzy passages (``passages``) need all partners: every pair of texts that share
-a k-mer is joined, its common pieces are extended and chained, and the gaps
-between the pieces of a chain are its edits.
+"""Long spans shared between records, by collinear chaining of shared k-mer seeds.
+
+1. Seeds: every window of ``span`` characters of every text has a minimizer;
+   the minimizers that occur in two texts are joined (``seed_pairs``). A seed
+   stands for a run of windows; equal runs are one class, and each run is joined
+   with witnesses of its windows instead of all partners, so that work is linear
+   in the runs, however many texts share a seed, and no shared window is lost.
+2. Chains: the joined seeds of two texts are chained in order, under a gap cost,
+   through a Fenwick tree (``chain``).
+3. Alignment: the text under each chain is fetched from both sides, and the
+   seeds are extended on the characters themselves (``extended``). The verbatim
+   pieces of ``span`` characters or more are the shared spans (``shared_chars``).
+
+Fuzzy passages (``passages``) need all partners. Stretches of consecutive shared
+seeds are classes with members (``stretches``); the classes are joined with each
+other, chained, aligned, and the gaps between their pieces are the edits.
 """
 
 from __future__ import annotations
@@ -31,8 +31,14 @@ from .winnow import Hashes, _mix, run_hash, seeds
 SPAN = 240
 #: Length of the k-mers that seed.
 SEED = 48
-#: Score lost per character of gap, on either side, between the blocks of a chain.
+#: Score lost per character of gap, on either side, between the pieces of a fuzzy passage.
 GAP_COST = 0.5
+#: The same between seeds: those of one verbatim piece lie at most span - seed characters apart and must stay chained.
+SEED_GAP_COST = 0.1
+#: Every common piece of so many characters seeds a fuzzy passage; shorter ones join it beside and between its pieces.
+PIECE = 96
+#: Characters without a shared seed that end a stretch.
+REACH = 240
 #: A seed with more different runs is matched by a distributed aggregation instead of within one task.
 HOT_RUNS = 4096
 #: Characters hashed together; a longer text is cut into parts that overlap by ``span`` - 1.
@@ -195,18 +201,29 @@ def _match_map(span: int, rows_at_once: int = 8192):
     return run
 
 
-def matches(documents: DataFrame, span: int = SPAN, seed: int = SEED, hot_runs: int = HOT_RUNS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Verbatim matches of each document with witnesses: doc, pos, w_doc, w_pos, r0, r1.
+def shared_seeds(found: Materialized, unit: str, tag: str) -> DataFrame:
+    """The seeds whose k-mer occurs in two units, written; ``found`` is dropped.
 
-    doc[pos + r0 : pos + r1 + span] stands at the same offsets from w_pos in
-    w_doc, another document. Every window of ``span`` characters that another
-    document holds lies in a match.
+    The k-mers are written before the join, so that no aggregate stands between
+    its shuffle and it, and a k-mer that a third of all texts hold is split.
+    """
+    shared = Materialized(found.df.groupBy("h").agg(F.min(unit).alias("_lo"), F.max(unit).alias("_hi")).filter("_lo <> _hi").select("h"), f"{tag}-keys")
+    common = materialize(found.df.join(shared.df, "h", "left_semi"), tag)
+    found.drop()
+    shared.drop()
+    return common
+
+
+def seed_pairs(documents: DataFrame, span: int = SPAN, seed: int = SEED, hot_runs: int = HOT_RUNS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Shared seeds of each document with witnesses: doc, pos, w_doc, w_pos.
+
+    The k-mer at pos of doc stands at w_pos of w_doc, another document. For
+    every window of ``span`` characters that another document holds, its
+    minimizer is joined with a document that holds the whole window.
     """
     docs = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     found = Materialized(docs.mapInArrow(_seed_map(span, seed), _SEED_DDL), "seeds")
-    shared = found.df.groupBy("h").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).filter("_lo <> _hi").select("h")
-    common = materialize(found.df.join(shared, "h", "left_semi"), "shared-seeds")
-    found.drop()
+    common = shared_seeds(found, "doc", "shared-seeds")
 
     spot = F.struct("doc", "pos")
     runs = common.groupBy(*_CLASS).agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).select(
@@ -241,8 +258,8 @@ def matches(documents: DataFrame, span: int = SPAN, seed: int = SEED, hot_runs:
     )
     every = whole.unionByName(ends).unionByName(hot)
     other = F.col("w1_doc") != F.col("doc")
-    return common.join(every, _CLASS).select(
-        "doc", "pos", F.when(other, F.col("w1_doc")).otherwise(F.col("w2_doc")).alias("w_doc"), F.when(other, F.col("w1_pos")).otherwise(F.col("w2_pos")).alias("w_pos"), "r0", "r1"
+    return common.join(every.select(*_CLASS, "w1_doc", "w1_pos", "w2_doc", "w2_pos"), _CLASS).select(
+        "doc", "pos", F.when(other, F.col("w1_doc")).otherwise(F.col("w2_doc")).alias("w_doc"), F.when(other, F.col("w1_pos")).otherwise(F.col("w2_pos")).alias("w_pos")
     )
 
 
@@ -318,24 +335,82 @@ def chain(blocks: list[tuple[int, int, int]], gap_cost: float = GAP_COST) -> lis
     return out
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[tuple[int, int, int]]]]]:
-    """The matches of each document by partner; the input is sorted by document."""
-    doc, held = None, {}
-    for batch in batches:
-        for d, p, w, q, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if d != doc:
-                if held:
-                    yield doc, held
-                doc, held = d, {}
-            held.setdefault(w, []).append((p, q, n))
-    if held:
-        yield doc, held
+_CHAIN = [("doc", pa.int64()), ("w_doc", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64()), ("q0", pa.int64()), ("q1", pa.int64()), ("spots", pa.list_(pa.int64()))]
+_CHAIN_DDL = "doc bigint, w_doc bigint, p0 bigint, p1 bigint, q0 bigint, q1 bigint, spots array<bigint>"
+
+
+def _chain_map(seed: int, gap_cost: float, rows_at_once: int = 8192):
+    """The chains of the seeds that two documents share; the input is sorted by both and place.
+
+    A chain has the ranges of its seeds' starts on both sides and, as ``spots``,
+    the offsets of the seeds from them, in turn.
+    """
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows) if rows else [[]] * len(_CHAIN), _CHAIN)], names=[n for n, _ in _CHAIN])
 
-def _by_document(documents: DataFrame, span: int, **options) -> DataFrame:
-    m = matches(documents, span, **options)
-    rows = m.select("doc", (F.col("pos") + F.col("r0")).alias("p"), "w_doc", (F.col("w_pos") + F.col("r0")).alias("q"), (F.col("r1") - F.col("r0") + span).alias("len"))
-    return rows.repartition("doc").sortWithinPartitions("doc")
+    def chains(key: tuple[int, int], spots: list[tuple[int, int]]) -> Iterator[tuple]:
+        for _, path in chained([(p, q, seed) for p, q in sorted(set(spots))], gap_cost):
+            (p0, q0, _), (p1, q1, _) = path[0], path[-1]
+            yield (*key, p0, p1, q0, q1, [x for p, q, _ in path for x in (p - p0, q - q0)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, spots, rows = None, [], []
+        for batch in batches:
+            for doc, w, p, q in zip(*(col.to_pylist() for col in batch.columns)):
+                if (doc, w) != key:
+                    if spots:
+                        rows.extend(chains(key, spots))
+                    key, spots = (doc, w), []
+                    if len(rows) >= rows_at_once:
+                        yield out(rows)
+                        rows = []
+                spots.append((p, q))
+        if spots:
+            rows.extend(chains(key, spots))
+        yield out(rows)
+
+    return run
+
+
+def seed_chains(pairs: DataFrame, seed: int = SEED, gap_cost: float = SEED_GAP_COST) -> DataFrame:
+    """Collinear chains of joined seeds: doc, w_doc, p0, p1, q0, q1, spots; every seed is in one chain."""
+    rows = pairs.select("doc", "w_doc", "pos", "w_pos").repartition("doc", "w_doc").sortWithinPartitions("doc", "w_doc")
+    return rows.mapInArrow(_chain_map(seed, gap_cost), _CHAIN_DDL)
+
+
+def _align_map(span: int):
+    """Verbatim pieces of ``span`` or more under each chain: doc, start, stop."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[int]] = [[], [], []]
+            for doc, p0, q0, a_from, b_from, spots, a, b in zip(*(col.to_pylist() for col in batch.columns)):
+                dp, dq = p0 - a_from, q0 - b_from
+                # Of several texts under one id only some hold the place.
+                held = [(dp + x, dq + y) for x, y in zip(spots[::2], spots[1::2]) if dp + x < len(a) and dq + y < len(b)]
+                for p, _, n in extended(a, b, held, span):
+                    for col, v in zip(out, (doc, a_from + p, a_from + p + n)):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc", "start", "stop"])
+
+    return run
+
+
+def verbatim_pieces(documents: DataFrame, chains: DataFrame, span: int = SPAN, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Align chains on the text of both sides: doc, start, stop of the pieces of ``span`` or more that are equal, character by character.
+
+    A verbatim piece reaches at most ``span`` characters beyond the first and
+    the last of its seeds that lie in one window with its ends, so that much
+    text is fetched around each chain.
+    """
+    docs = documents.select(F.col(key).cast("bigint").alias("_d"), F.col(text).alias("_text")).dropna()
+    chains = materialize(chains.withColumn("a_from", F.greatest(F.col("p0") - span, F.lit(0))).withColumn("b_from", F.greatest(F.col("q0") - span, F.lit(0))).withColumn("cid", F.expr("uuid()")), "chains")
+    cut = lambda start, last: F.substring("_text", (F.col(start) + 1).cast("int"), (F.col(last) - F.col(start) + 2 * span).cast("int"))
+    left = docs.join(chains, F.col("_d") == F.col("doc")).select("cid", "doc", "p0", "q0", "a_from", "b_from", "spots", cut("a_from", "p1").alias("a"))
+    right = docs.join(chains.select("cid", "w_doc", "b_from", "q1"), F.col("_d") == F.col("w_doc")).select("cid", cut("b_from", "q1").alias("b"))
+    both = left.join(right, "cid").select("doc", "p0", "q0", "a_from", "b_from", "spots", "a", "b")
+    return both.mapInArrow(_align_map(span), "doc bigint, start bigint, stop bigint")
 
 
 def copies(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -349,22 +424,91 @@ def copies(documents: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return rows.join(reps, "_t").select("doc_id", "rep_id", "n_chars")
 
 
-def _linked_seeds(span: int, k: int):
-    """tid, h, pos and ``sub`` of every seed; sub stands for the seed before it and its distance, null without one."""
-    names = ["tid", "h", "pos", "sub"]
+_STRETCH = ["cid", "tid", "first", "stop", "h", "rel", "sub"]
+_STRETCH_DDL = "cid bigint, tid bigint, first bigint, stop bigint, h bigint, rel bigint, sub bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _seed_map(span, k)(batches):
-            tid, h, pos = (found.column(c).to_numpy() for c in ("doc", "h", "pos"))
-            sub, none = np.zeros(len(h), np.uint64), np.ones(len(h), bool)
-            step = pos[1:] - pos[:-1]
-            none[1:] = (tid[1:] != tid[:-1]) | (step <= 0)
-            sub[1:] = _mix(h[:-1].view(np.uint64) ^ _mix(step.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(tid), pa.array(h), pa.array(pos), pa.array(sub.view(np.int64), mask=none)], names=names)
+
+def _stretch_map(piece: int, k: int, reach: int, least: int):
+    """Cut the shared seeds of each text, sorted by text and place, into stretches and name their classes.
+
+    A stretch whose pieces could not hold ``least`` characters together is left
+    out: common characters lie at most ``piece`` - ``k`` away from a seed.
+    ``sub`` stands for the seed before and its distance, null without one
+    within reach of a window.
+    """
+
+    def out(tid: np.ndarray, h: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        step = np.diff(pos, prepend=pos[:1])
+        new = np.ones(len(pos), bool)
+        new[1:] = (tid[1:] != tid[:-1]) | (step[1:] > reach)
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(pos)))
+        held = np.where(new, 2 * piece - k, np.minimum(step, 2 * piece - k))
+        whole = np.repeat(np.add.reduceat(held, first) >= least, size)
+        rel = pos - np.repeat(pos[first], size)
+        name = np.add.reduceat(_mix(h.view(np.uint64) ^ _mix(rel.astype(np.uint64) + np.uint64(1))), first).view(np.int64)
+        sub = np.zeros(len(pos), np.uint64)
+        sub[1:] = _mix(h[:-1].view(np.uint64) ^ _mix(step[1:].astype(np.uint64)))
+        far = new | (step > piece - k + 1)
+        stop = np.repeat(pos[first + size - 1] + k, size)
+        cols = [np.repeat(name, size), tid, pos - rel, stop, h, rel]
+        return pa.RecordBatch.from_arrays([*(pa.array(c[whole]) for c in cols), pa.array(sub.view(np.int64)[whole], mask=far[whole])], names=_STRETCH)
+
+    def run(batches: Iterator[pa.RecordBatch], rows_at_once: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < rows_at_once:
+                continue
+            rows = pa.Table.from_batches(held)
+            tid = rows.column("tid").to_numpy()
+            whole = int(np.searchsorted(tid, tid[-1]))  # the last text may go on in the next batch
+            if whole:
+                yield out(*(rows.column(c).to_numpy()[:whole] for c in ("tid", "h", "pos")))
+            held = rows.slice(whole).to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield out(*(rows.column(c).to_numpy() for c in ("tid", "h", "pos")))
 
     return run
 
 
+def distinct_texts(documents: DataFrame, least: int, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The different texts of ``least`` characters or more (tid, text, lo, hi: least and greatest document) and who holds them (doc, tid)."""
+    docs = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).dropna().filter(F.length("text") >= least)
+    tid = F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("bigint").alias("tid")
+    held = docs.groupBy(tid).agg(F.first("text").alias("text"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    return materialize(held, "texts"), docs.select("doc", tid).distinct()
+
+
+def stretches(texts: DataFrame, piece: int = PIECE, reach: int = REACH, least: int = SPAN) -> DataFrame:
+    """The stretches of shared seeds of every text, one row per seed: cid, tid, first, stop, h, rel, sub.
+
+    A stretch is a row of seeds that other texts hold too, none more than
+    ``reach`` after the one before. Stretches with the same seeds at the same
+    distances have the same pieces and are one class, ``cid``; only a text
+    between the pieces may differ. Every common piece of ``piece`` characters
+    holds a seed.
+    """
+    # k-mers no shorter than the greatest distance of two minimizers: what lies between equal neighbours is equal.
+    k = piece // 2 + 1
+    found = Materialized(texts.select(F.col("tid").alias("doc"), "text").mapInArrow(_seed_map(piece, k), _SEED_DDL).select(F.col("doc").alias("tid"), "h", "pos").distinct(), "piece-seeds")
+    common = shared_seeds(found, "tid", "shared-piece-seeds")
+    rows = common.select("tid", "h", "pos").repartition("tid").sortWithinPartitions("tid", "pos")
+    return materialize(rows.mapInArrow(_stretch_map(piece, k, reach, least), _STRETCH_DDL), "stretches")
+
+
+def class_members(seeds: DataFrame, held: DataFrame) -> DataFrame:
+    """class_id, doc_id, from_char, to_char, n_members of every stretch in every document that holds it; copies of a text are all there."""
+    members = seeds.filter("rel = 0").select("cid", "tid", "first", "stop").distinct()
+    rows = members.join(held, "tid").select(F.col("cid").alias("class_id"), F.col("doc").alias("doc_id"), F.col("first").alias("from_char"), F.col("stop").alias("to_char"))
+    rows = materialize(rows.distinct(), "members")
+    size = materialize(rows.groupBy("class_id").agg(F.count("*").alias("n_members")), "member-counts")
+    return rows.join(size, "class_id")
+
+
 def _same(a: str, i: int, b: str, j: int) -> int:
     """How many characters are equal from a[i] and b[j] on."""
     n, done, k, grow = min(len(a) - i, len(b) - j), 0, 64, True
@@ -465,39 +609,47 @@ def widened(a: str, b: str, score: float, path: list[tuple[int, int, int]], reac
 
 _PASSAGE = {
     "doc_id": "bigint", "other_id": "bigint", "from_char": "bigint", "to_char": "bigint", "other_from": "bigint", "other_to": "bigint",
-    "score": "double", "n_blocks": "int", "exact_chars": "bigint", "identity": "double",
+    "score": "double", "n_blocks": "int", "exact_chars": "bigint", "identity": "double", "class_id": "bigint", "other_class": "bigint",
 }
 _PASSAGE_DDL = ", ".join(f"{n} {t}" for n, t in _PASSAGE.items())
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
 
 
-def _passage_map(least: int, gap_cost: float, rows_at_once: int = 20_000):
-    """Passages of the text pairs of each cell; its rows are sorted: the texts first, then the places by pair."""
+def _passage_map(shortest: int, gap_cost: float, least: int, rows_at_once: int = 20_000):
+    """Passages of the pairs of each cell; its rows are sorted: the texts first, then the places by pair.
+
+    Pieces have ``shortest`` characters or more, the pieces of a passage
+    ``least`` together. Other members of a class may share up to ``shortest``
+    characters more at either end of each piece, which counts for ``least``.
+    """
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         cols = zip(*rows) if rows else [[]] * len(_PASSAGE)
         return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(cols, _PASSAGE.values())], names=list(_PASSAGE))
 
-    def pair(x: tuple[str, int, int], y: tuple[str, int, int], spots: list[tuple[int, int]]) -> Iterator[tuple]:
-        (a, lo, hi), (b, lo2, hi2) = x, y
+    def pair(x: tuple, y: tuple, spots: list[tuple[int, int]]) -> Iterator[tuple]:
+        (a, at, lo, hi, c), (b, at2, lo2, hi2, c2) = x, y
         # Texts of one document may be held by others too.
         doc, other = next(((d, o) for d in (lo, hi) for o in (lo2, hi2) if d != o), (None, None))
-        blocks = extended(a, b, spots, least) if doc is not None else []
+        blocks = extended(a, b, spots, shortest) if doc is not None else []
         if not blocks:
             return
         for score, path in chained(blocks, gap_cost):
-            score, path = widened(a, b, score, path, least, gap_cost)
+            score, path = widened(a, b, score, path, shortest, gap_cost)
             (p, q, _), (p2, q2, k) = path[0], path[-1]
             exact = sum(s[2] for s in path)
+            if exact + 2 * shortest * len(path) < least:
+                continue
             same = exact + sum(alike(a[x + m : x2], b[y + m : y2]) for (x, y, m), (x2, y2, _) in zip(path, path[1:]))
             rest = (score, len(path), exact, same / max(p2 + k - p, q2 + k - q))
-            yield (doc, other, p, p2 + k, q, q2 + k, *rest)
-            yield (other, doc, q, q2 + k, p, p2 + k, *rest)
+            here, there = (at + p, at + p2 + k), (at2 + q, at2 + q2 + k)
+            yield (doc, other, *here, *there, *rest, c, c2)
+            yield (other, doc, *there, *here, *rest, c2, c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, texts, key, spots, rows = None, {}, None, [], []
         for batch in batches:
-            for c, ta, tb, i, j, text, lo, hi in zip(*(col.to_pylist() for col in batch.columns)):
+            for c, ta, tb, i, j, text, at, lo, hi, name in zip(*(col.to_pylist() for col in batch.columns)):
                 if (ta, tb) != key or c != cell:
                     if spots:
                         rows.extend(pair(texts[key[0]], texts[key[1]], spots))
@@ -508,7 +660,7 @@ def _passage_map(least: int, gap_cost: float, rows_at_once: int = 20_000):
                 if c != cell:
                     cell, texts = c, {}
                 if text is not None:
-                    texts[ta] = (text, lo, hi)
+                    texts[ta] = (text, at, lo, hi, name)
                 else:
                     spots.append((i, j))
         if spots:
@@ -518,70 +670,96 @@ def _passage_map(least: int, gap_cost: float, rows_at_once: int = 20_000):
     return run
 
 
-def passages(documents: DataFrame, span: int = SPAN, gap_cost: float = GAP_COST, seed: int = SEED, text: str = "text", key: str = "doc_id", cell_chars: int = 16 << 20) -> DataFrame:
-    """The fuzzy passages that any two documents share, in both directions.
+def passages(
+    documents: DataFrame, span: int = SPAN, gap_cost: float = GAP_COST, piece: int = PIECE, reach: int = REACH, text: str = "text", key: str = "doc_id", cell_chars: int = 2 << 20
+) -> DataFrame:
+    """The fuzzy passages between classes of stretches, in both directions, whose members may share ``span`` verbatim characters or more.
 
     Columns: doc_id, other_id, from_char, to_char, other_from, other_to, score,
     n_blocks, exact_chars, identity (share of the longer side that is alike,
-    in the blocks and in the alignment of the gaps between them).
+    in the pieces and in the alignment of the gaps between them), class_id,
+    other_class. Each class speaks through its least text, and every other
+    text of a class has a passage with that one; ``class_members`` names all
+    documents of a class. Two documents share a passage if they are members of
+    one class or of two classes with a passage.
 
-    Every k-mer of ``seed`` characters that stands in two texts seeds: windows
-    of that length have the same minimizer in both. A place whose seed before
+    Every common piece of ``piece`` characters seeds. A place whose seed before
     is shared at the same distance too lies in a piece found from there, so
-    each maximal common piece of two texts is joined once. Pieces are extended
-    on the text and chained; shorter pieces beside a chain
-    join it, and its gaps are aligned. ``span`` is the rule of ``shared_chars`` alone.
-
-    All pairs of different texts are there, however many share a piece, so the
-    result grows with the pairs. Copies of a text are linked with the least
-    document that holds it, which has their other links (``copies``).
+    each maximal common piece of two classes is joined once. Pieces are extended
+    on the text and chained; shorter pieces beside a chain join it, and its gaps
+    are aligned. Copies of a text are linked with the least document that
+    holds it, which has their other links (``copies``).
     """
-    docs = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).dropna()
-    held = docs.groupBy(F.sha2("text", 256).alias("_t")).agg(F.first("text").alias("text"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    texts = materialize(held.filter(F.length("text") >= seed).select(F.conv(F.substring("_t", 1, 15), 16, 10).cast("bigint").alias("tid"), "text", "lo", "hi"), "texts")
-    # k-mers no shorter than the greatest distance of two minimizers: what lies between equal neighbours is equal.
-    k = seed // 2 + 1
-    found = Materialized(texts.select("tid", "text").mapInArrow(_linked_seeds(seed, k), "tid bigint, h bigint, pos bigint, sub bigint"), "linked-seeds")
-    shared = found.df.groupBy("h").agg(F.min("tid").alias("_lo"), F.max("tid").alias("_hi")).filter("_lo <> _hi").select("h")
-    common = materialize(found.df.join(shared, "h", "left_semi"), "shared-linked-seeds")
-    found.drop()
-
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts, _ = distinct_texts(documents, piece, text, key)
+    seeds = stretches(texts, piece, reach, span)
+    # A class speaks through its least text; members with other text between the pieces are variants, aligned with that one.
+    found = seeds.filter("rel = 0").select("cid", "tid", "first", "stop").join(texts, "tid").withColumn("v", F.xxhash64(F.expr("substring(text, int(first + 1), int(stop - first))")))
+    found = found.groupBy("cid", "v").agg(F.min(F.struct("tid", "first", "stop")).alias("r")).select("cid", "v", "r.tid", "r.first", "r.stop")
+    found = materialize(found, "variants")
+    least = materialize(found.groupBy("cid").agg(F.min(F.struct("tid", "first")).alias("r")).select("cid", "r.tid", "r.first"), "classes")
+    leads = least.select("cid", F.col("tid").alias("_t"), F.col("first").alias("_f"))
+    found = found.join(leads, "cid").withColumn("lead", (F.col("tid") == F.col("_t")) & (F.col("first") == F.col("_f")))
+    # The text of a variant with as much on either side as a piece may reach.
+    start = F.greatest(F.col("first") - reach, F.lit(0))
+    cut = F.substring("text", (start + 1).cast("int"), (F.col("stop") - start + reach).cast("int"))
+    uid = F.when(F.col("lead"), F.col("cid")).otherwise(F.xxhash64("cid", "v"))
+    units = materialize(found.join(texts, "tid").select(uid.alias("uid"), "cid", "lead", cut.alias("text"), start.alias("at"), (F.col("first") - start).alias("_in"), "lo", "hi"), "class-texts")
+    own = materialize(seeds.join(least, ["cid", "tid", "first"], "left_semi").select("cid", "h", "sub", "rel", (F.col("rel") + F.least("first", F.lit(reach))).alias("pos")), "class-seeds")
+    common = shared_seeds(Materialized(own.select("cid", "h", "sub", "pos"), "own-seeds"), "cid", "shared-class-seeds")
+
+    chars = units.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(3, -(-chars // cell_chars))
-    side = lambda x: common.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("tid", "pos", "sub")), F.pmod("tid", F.lit(n)).alias(f"g_{x}"))
+    group = lambda c: F.pmod(F.col(c), F.lit(n))
+    side = lambda x: common.select("h", F.col("cid").alias(f"u_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("sub").alias(f"sub_{x}"), group("cid").alias(f"g_{x}"))
     known = F.col("sub_a").eqNullSafe(F.col("sub_b")) & F.col("sub_a").isNotNull()
-    pairs = side("a").join(side("b"), "h").filter((F.struct("g_a", "tid_a") < F.struct("g_b", "tid_b")) & ~known)
-    pairs = materialize(pairs.select((F.col("g_a") * n + F.col("g_b")).alias("cell"), "tid_a", "tid_b", "pos_a", "pos_b"), "places")
-    used = pairs.select("cell", F.col("tid_a").alias("tid")).union(pairs.select("cell", "tid_b")).distinct()
-    sent = used.join(texts, "tid").selectExpr("cell", "tid AS tid_a", "CAST(NULL AS bigint) AS tid_b", "CAST(NULL AS bigint) AS pos_a", "CAST(NULL AS bigint) AS pos_b", "text", "lo", "hi")
+    pairs = side("a").join(side("b"), "h").filter((F.struct("g_a", "u_a") < F.struct("g_b", "u_b")) & ~known).select("g_a", "g_b", "u_a", "u_b", "pos_a", "pos_b")
+    within = units.filter("not lead").select("cid", F.col("uid").alias("u_b"), group("uid").alias("g_b"), "_in").join(own.filter("sub is null"), "cid")
+    within = within.select(group("cid").alias("g_a"), "g_b", F.col("cid").alias("u_a"), "u_b", F.col("pos").alias("pos_a"), (F.col("rel") + F.col("_in")).alias("pos_b"))
+    pairs = materialize(pairs.unionByName(within).select((F.col("g_a") * n + F.col("g_b")).alias("cell"), "u_a", "u_b", "pos_a", "pos_b"), "places")
+    used = pairs.select("cell", F.col("u_a").alias("uid")).union(pairs.select("cell", "u_b")).distinct()
+    sent = used.join(units, "uid").selectExpr("cell", "uid AS u_a", "CAST(NULL AS bigint) AS u_b", "CAST(NULL AS bigint) AS pos_a", "CAST(NULL AS bigint) AS pos_b", "text", "at", "lo", "hi", "cid")
     rows = sent.unionByName(pairs, allowMissingColumns=True)
-    rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("text").isNull(), "tid_a", "tid_b")
-    linked = rows.mapInArrow(_passage_map(seed, gap_cost), _PASSAGE_DDL)
+    rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("text").isNull(), "u_a", "u_b")
+    linked = rows.mapInArrow(_passage_map(piece // 2, gap_cost, span), _PASSAGE_DDL)
 
-    same = copies(documents, text, key).filter((F.col("doc_id") != F.col("rep_id")) & (F.col("n_chars") >= seed))
+    same = copies(documents, text, key).filter((F.col("doc_id") != F.col("rep_id")) & (F.col("n_chars") >= span))
+    none = "CAST(NULL AS bigint)"
     for a, b in (("doc_id", "rep_id"), ("rep_id", "doc_id")):
-        linked = linked.union(same.selectExpr(a, b, "0L", "n_chars", "0L", "n_chars", "double(n_chars)", "1", "n_chars", "1D"))
+        linked = linked.union(same.selectExpr(a, b, "0L", "n_chars", "0L", "n_chars", "double(n_chars)", "1", "n_chars", "1D", none, none))
     return linked
 
 
-def shared_chars(documents: DataFrame, span: int = SPAN, gap_cost: float = GAP_COST, **options) -> DataFrame:
-    """doc_id and the number of its characters in verbatim blocks of ``span`` or more that another document holds.
+def passage_members(documents: DataFrame, span: int = SPAN, piece: int = PIECE, reach: int = REACH, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The members of the classes that ``passages`` links: class_id, doc_id, from_char, to_char, n_members."""
+    texts, held = distinct_texts(documents, piece, text, key)
+    return class_members(stretches(texts, piece, reach, span), held)
+
 
-    Documents that share nothing, null and short texts, and rows without a
-    doc_id are left out; rows of one doc_id are one document. The characters
-    are code points; those in several passages count once.
+def shared_chars(documents: DataFrame, span: int = SPAN, gap_cost: float = SEED_GAP_COST, seed: int = SEED, hot_runs: int = HOT_RUNS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id and the number of its characters in verbatim pieces of ``span`` or more that another document holds.
+
+    The pieces come from the aligned chains of shared seeds. Documents that
+    share nothing, null and short texts, and rows without a doc_id are left
+    out; rows of one doc_id are one document. The characters are code points;
+    those in several pieces count once.
     """
+    chains = seed_chains(seed_pairs(documents, span, seed, hot_runs, text, key), seed, gap_cost)
+    pieces = verbatim_pieces(documents, chains, span, text, key).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, sums = [], []
-        for doc, partners in _documents(batches):
-            exact = [(p, p + k) for matched in partners.values() for _, path in chain(blocks_of(matched), gap_cost) for p, _, k in path if k >= span]
-            total, upto = 0, 0
-            for start, stop in sorted(exact):
+        at, total, upto = None, 0, 0
+        for batch in batches:
+            docs, sums = [], []
+            for doc, start, stop in zip(*(col.to_pylist() for col in batch.columns)):
+                if doc != at:
+                    if at is not None:
+                        docs.append(at)
+                        sums.append(total)
+                    at, total, upto = doc, 0, 0
                 total += max(0, stop - max(start, upto))
                 upto = max(upto, stop)
-            docs.append(doc)
-            sums.append(total)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "shared_chars"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "shared_chars"])
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total], pa.int64())], names=["doc_id", "shared_chars"])
 
-    return _by_document(documents, span, **options).mapInArrow(run, "doc_id bigint, shared_chars bigint").filter("shared_chars > 0")
+    return pieces.repartition("doc").sortWithinPartitions("doc", "start", "stop").mapInArrow(run, "doc_id bigint, shared_chars bigint")
