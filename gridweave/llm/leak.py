@@ -1,19 +1,24 @@
-"""Held-out test items that leak into a corpus: BM25 over the items with block-max pruning, then verification.
-
-The test items are few and do not grow with the corpus; they are the index.
-Every document is cut into overlapping passages, every passage is a query, and
-every item whose BM25 score reaches the item's own threshold is a candidate.
-The threshold of an item is the least score that any of its runs of ``run``
-words can have, so a passage that holds such a run is always retrieved. Upper
-bounds per passage and per block of items cut off most of the scoring first;
-both bounds are exact, and no candidate is lost by them.
+"""Held-out test items that leak into a corpus: block-max WAND over a BM25 index of the items, then verification.
+
+The test items are the index, the corpus is the stream of queries: every
+document is cut into overlapping passages, and every item whose BM25 score
+reaches the item's own threshold is a candidate. The threshold of an item is
+the least score that any of its runs of ``run`` words can have, so a passage
+that holds such a run is always retrieved.
+
+The postings are walked item by item with pivots: the cursors of a passage's
+words are kept in order of their items, the greatest weights are summed until
+the least threshold is reached, and all items before that pivot are passed
+over; a block of items whose own greatest weights do not reach its threshold is
+passed over as a whole. Many passages are walked in step, as rows of an array.
+All bounds are exact, and no candidate is lost by them.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +27,21 @@ from pyspark.sql import functions as F
 
 #: Consecutive words of an item that make a leak.
 RUN = 12
-#: Items per block of the block-max bounds.
+#: Items per block of the block maxima.
 BLOCK = 16
-#: The items are an index held by every task; their total text may have at most so many bytes.
-MAX_ITEM_BYTES = 64 << 20
-#: Passages scored together.
-CHUNK = 1 << 16
+#: Text of the items in one index, which every task holds; more items make several indexes, each searched by a pass over the corpus.
+SHARD_BYTES = 4 << 20
+#: Passages walked in step.
+CHUNK = 1 << 13
 
 _WORDS = re.compile(rb"[0-9a-z]+")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = True
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
+#: Slack of the bounds against rounding in another order of summing.
+_SLACK = 1e-9
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,57 +49,124 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORDS.findall((text or "").encode("utf-8", "replace").translate(_LOWER.tobytes()))
 
 
+def _halves(low: np.ndarray, start: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes of words of a flat buffer as two numbers."""
+    padded = np.zeros(len(low) + 24, dtype=np.uint8)
+    padded[: len(low)] = low
+    eight = np.ndarray(len(low) + 16, dtype="<u8", buffer=padded, strides=(1,))
+    return eight[start] & _MASK[np.minimum(lens, 8)], eight[start + 8 * (lens > 8)] & _MASK[np.clip(lens - 8, 0, 8)]
+
+
+def _word_key(lo: np.ndarray, hi: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    return lo * np.uint64(0x9E3779B97F4A7C15) + (hi ^ (lo >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) + lens.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+
+
+class Words:
+    """Numbers of a set of words, looked up for whole arrays by binary search."""
+
+    def __init__(self, words: list[bytes]):
+        self.long = {w: i for i, w in enumerate(words) if len(w) > 16}
+        ids = np.array([i for i, w in enumerate(words) if len(w) <= 16], dtype=np.int32)
+        lens = np.array([len(words[i]) for i in ids], dtype=np.int64)
+        low = np.frombuffer(b"".join(words[i] for i in ids), np.uint8)
+        lo, hi = _halves(low, np.cumsum(lens) - lens, lens)
+        # Words of one key stand in the dictionary instead.
+        key, at, n = np.unique(_word_key(lo, hi, lens), return_index=True, return_counts=True)
+        self.key, self.lo, self.hi, self.lens, self.ids = key, lo[at], hi[at], lens[at], ids[at]
+        self.shared = {w: i for i, w in enumerate(words) if len(w) <= 16} if (n > 1).any() else {}
+
+    def numbers(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each word low[start : end], -1 for others."""
+        out = np.full(len(start), -1, dtype=np.int32)
+        lens = end - start
+        if len(self.key):
+            lo, hi = _halves(low, start, lens)
+            at = np.minimum(np.searchsorted(self.key, _word_key(lo, hi, lens)), len(self.key) - 1)
+            same = (self.lo[at] == lo) & (self.hi[at] == hi) & (self.lens[at] == lens)
+            out[same] = self.ids[at[same]]
+        for table, rest in ((self.long, np.flatnonzero(lens > 16)), (self.shared, np.flatnonzero((out < 0) & (lens <= 16)))):
+            if table and len(rest):
+                raw = low.tobytes()
+                out[rest] = [table.get(raw[i:j], -1) for i, j in zip(start[rest].tolist(), end[rest].tolist())]
+        return out
+
+
+def _run_hash(words: np.ndarray) -> np.ndarray:
+    """A hash of each row of words, in their order."""
+    x = np.zeros(len(words), np.uint64)
+    for k in range(words.shape[1]):
+        x = (x ^ words[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return x
+
+
 class ItemIndex:
-    """An inverted index of the items with BM25 weights, thresholds and block maxima.
+    """An inverted index of the items with BM25 weights, thresholds and sparse block maxima.
 
     Items of fewer than ``run`` words hold no run and can not leak; null and
-    empty items neither. Items of equal text leak together.
+    empty items neither. Items of equal text leak together. Its size is linear
+    in the words of the items.
     """
 
     def __init__(self, items: list[tuple[int, str | None]], run: int = RUN, k1: float = 1.2, b: float = 0.75, block: int = BLOCK):
-        self.run = run
+        self.run, self.block = run, block
         kept = sorted({(i, tuple(w)) for i, t in items if i is not None and len(w := words_of(t)) >= run})
         self.item_ids = np.array([i for i, _ in kept], dtype=np.int64)
-        texts = [w for _, w in kept]
-        n = len(texts)
-        self.vocab: dict[bytes, int] = {}
-        for w in sorted({x for t in texts for x in t}):
-            self.vocab[w] = len(self.vocab)
-        self.coded = [np.array([self.vocab[x] for x in t], dtype=np.int32) for t in texts]
-        mean = np.mean([len(t) for t in texts]) if n else 1.0
-        df = Counter(x for t in texts for x in set(t))
-        rows, cols, vals = [], [], []
-        for j, t in enumerate(texts):
-            for x, tf in Counter(t).items():
-                idf = np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5))
-                rows.append(self.vocab[x])
-                cols.append(j)
-                vals.append(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(t) / mean)))
-        order = np.lexsort((cols, rows))
-        self.post_item = np.array(cols, dtype=np.int32)[order] if n else np.empty(0, np.int32)
-        self.post_weight = np.array(vals, dtype=np.float64)[order] if n else np.empty(0)
-        self.post_start = np.searchsorted(np.array(rows, dtype=np.int64)[order] if n else np.empty(0), np.arange(len(self.vocab) + 1))
-        weight = {(w, j): v for w, j, v in zip(rows, cols, vals)}
-        # A hair below the least score, against rounding in another order of summing.
-        self.threshold = np.array(
-            [min(sum(weight[w, j] for w in set(t[i : i + run].tolist())) for i in range(len(t) - run + 1)) * (1 - 1e-9) for j, t in enumerate(self.coded)]
-        )
-        self.n_blocks = -(-n // block) if n else 0
-        self.block = block
-        #: Per word and block the greatest weight, and the least threshold per block.
-        self.block_max = np.zeros((len(self.vocab) + 1, max(1, self.n_blocks)))
-        np.maximum.at(self.block_max, (np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64) // block), vals) if n else None
+        self.n = n = len(kept)
+        vocabulary = sorted({x for _, t in kept for x in t})
+        self.words = Words(vocabulary)
+        number = {w: i for i, w in enumerate(vocabulary)}
+        lens = np.array([len(t) for _, t in kept], dtype=np.int64)
+        self.tokens = np.fromiter((number[x] for _, t in kept for x in t), np.int32, int(lens.sum()))
+        item = np.repeat(np.arange(n), lens)
+        #: word * n + item of every posting, sorted.
+        self.keys, of, tf = np.unique(self.tokens.astype(np.int64) * max(n, 1) + item, return_inverse=True, return_counts=True)
+        word, self.post_item = np.divmod(self.keys, max(n, 1))
+        df = np.bincount(word, minlength=len(vocabulary))
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        mean = lens.mean() if n else 1.0
+        self.weights = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[self.post_item] / mean)) if n else np.empty(0)
+        self.post_start = np.searchsorted(word, np.arange(len(vocabulary) + 1))
+        self.word_max = np.zeros(len(vocabulary) + 1)  # the last is that of unknown words
+        np.maximum.at(self.word_max, word, self.weights)
+        self.n_blocks = -(-n // block)
+        self.block_keys, at = np.unique(word * max(self.n_blocks, 1) + self.post_item // block, return_inverse=True)
+        self.block_max = np.zeros(len(self.block_keys))
+        np.maximum.at(self.block_max, at, self.weights)
+        # Every run of the items: its hash with its item, and the least score of each item's runs.
+        stop = np.cumsum(lens)
+        begin = np.flatnonzero(np.arange(len(item)) + run <= stop[item]) if n else np.empty(0, np.int64)
+        self.threshold = np.full(n, np.inf)
+        hashes = []
+        for k in range(0, len(begin), 1 << 18):
+            place = begin[k : k + (1 << 18), None] + np.arange(run)
+            hashes.append(_run_hash(self.tokens[place]))
+            posts = np.sort(of[place], axis=1)
+            first = np.ones(posts.shape, bool)
+            first[:, 1:] = posts[:, 1:] != posts[:, :-1]
+            np.minimum.at(self.threshold, item[place[:, 0]], (self.weights[posts] * first).sum(1))
+        hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        order = np.lexsort((begin, hashes))
+        self.run_hashes, self.run_begin = hashes[order], begin[order]
+        self.run_item = item[self.run_begin] if n else np.empty(0, np.int64)
         self.block_threshold = np.array([self.threshold[i * block : (i + 1) * block].min() for i in range(self.n_blocks)])
-        self.word_max = self.block_max.max(1)
-        self.runs: dict[tuple[int, ...], list[int]] = {}
-        for j, t in enumerate(self.coded):
-            for i in range(len(t) - run + 1):
-                self.runs.setdefault(tuple(t[i : i + run].tolist()), []).append(j)
-        self.run_items = {g: set(js) for g, js in self.runs.items()}
+        self.least = self.threshold.min() if n else np.inf
+
+    def seek(self, word: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first posting of each word at ``item`` or later, and its item (``n`` past the last)."""
+        at = np.searchsorted(self.keys, word.astype(np.int64) * self.n + item)
+        inside = at < self.post_start[word + 1]
+        return at, np.where(inside, self.post_item[np.minimum(at, len(self.keys) - 1)], self.n)
+
+    def maximum(self, word: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The greatest weight of each word within a block, 0 where it has none."""
+        key = word.astype(np.int64) * self.n_blocks + block
+        at = np.minimum(np.searchsorted(self.block_keys, key), len(self.block_keys) - 1)
+        return np.where(self.block_keys[at] == key, self.block_max[at], 0.0)
 
 
 def code_words(index: ItemIndex, b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary id (or -1) and document of every word of a flat buffer; no word crosses documents."""
+    """Vocabulary number (or -1) and document of every word of a flat buffer; no word crosses documents."""
     low = _LOWER[b]
     inside = np.zeros(len(b) + 2, dtype=bool)
     inside[1:-1] = _IS_WORD[low]
@@ -99,86 +174,120 @@ def code_words(index: ItemIndex, b: np.ndarray, offsets: np.ndarray) -> tuple[np
     cut[offsets[:-1]] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
-    raw, get = low.tobytes(), index.vocab.get
-    # Words longer than any of the vocabulary can not be in it.
-    longest = max(map(len, index.vocab), default=0)
-    ids = np.full(len(start), -1, dtype=np.int32)
-    fits = np.flatnonzero(end - start <= longest)
-    ids[fits] = np.fromiter((get(raw[i:j], -1) for i, j in zip(start[fits].tolist(), end[fits].tolist())), np.int32, len(fits))
-    return ids, np.searchsorted(offsets, start, side="right") - 1
+    return index.words.numbers(low, start, end), np.searchsorted(offsets, start, side="right") - 1
 
 
 def leaks(index: ItemIndex, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, item) of every leak among the coded words, each once."""
-    run, none = index.run, (np.empty(0, np.int64), np.empty(0, np.int64))
-    if not index.n_blocks or len(ids) < run:
-        return none
-    # Passages of 2 * run words at every run-th word of a document: each run of words lies in one of them.
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    length = np.diff(np.append(first, len(ids)))
-    per_doc = np.maximum(1, -(-(length - run + 1) // run))
-    begin = np.repeat(first, per_doc) + run * (np.arange(per_doc.sum()) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc))
-    stop = np.minimum(begin + 2 * run, np.repeat(first + length, per_doc))
-    # First bound, for all items together: the summed greatest weights of the passage's words.
-    total = np.concatenate([[0.0], np.cumsum(index.word_max[ids])])
-    alive = np.flatnonzero((total[stop] - total[begin]) * (1 + 1e-9) + 1e-6 >= index.block_threshold.min())
-    found: set[tuple[int, int]] = set()
-    for at in range(0, len(alive), CHUNK):
-        _score(index, ids, doc, begin[alive[at : at + CHUNK]], stop[alive[at : at + CHUNK]], found)
-    if not found:
-        return none
-    docs, items = zip(*sorted(found))
-    return np.array(docs, dtype=np.int64), index.item_ids[list(items)]
-
-
-def _score(index: ItemIndex, ids: np.ndarray, doc: np.ndarray, begin: np.ndarray, stop: np.ndarray, found: set[tuple[int, int]]) -> None:
-    """Block bounds, exact scores of what they leave, and verification of the candidates."""
-    width, n_items = 2 * index.run, len(index.item_ids)
-    pos = begin[:, None] + np.arange(width)
-    words = np.where(pos < stop[:, None], ids[np.minimum(pos, len(ids) - 1)], -1)
-    # The words of a passage count once each; -1 is the last row, without weight.
-    words = np.sort(words, axis=1)
-    words[:, 1:][words[:, 1:] == words[:, :-1]] = -1
-    bound = np.zeros((len(words), index.n_blocks))
-    for k in range(width):
-        bound += index.block_max[words[:, k]]
-    keep = bound * (1 + 1e-9) >= index.block_threshold[None, :]
-    rows = np.flatnonzero(keep.any(1))
-    if not len(rows):
-        return
-    words, begin, stop, keep = words[rows], begin[rows], stop[rows], keep[rows]
-    p, k = np.nonzero(words >= 0)
-    w = words[p, k]
-    n_post = index.post_start[w + 1] - index.post_start[w]
-    flat = np.repeat(index.post_start[w] - (np.cumsum(n_post) - n_post), n_post) + np.arange(n_post.sum())
-    item, passage = index.post_item[flat], np.repeat(p, n_post)
-    live = keep[passage, item // index.block]
-    score = np.bincount(passage[live].astype(np.int64) * n_items + item[live], index.post_weight[flat][live], minlength=len(words) * n_items)
-    hit = np.flatnonzero((score.reshape(-1, n_items) >= index.threshold[None, :]).ravel())
-    for at in np.unique(hit // n_items):
-        wanted = set((hit[np.searchsorted(hit, at * n_items) : np.searchsorted(hit, (at + 1) * n_items)] - at * n_items).tolist())
-        text = ids[begin[at] : stop[at]].tolist()
-        for i in range(len(text) - index.run + 1):
-            for j in index.run_items.get(tuple(text[i : i + index.run]), ()):
-                if j in wanted:
-                    found.add((int(doc[begin[at]]), j))
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN) -> DataFrame:
+    run, found = index.run, [np.empty((0, 2), np.int64)]
+    if index.n and len(ids) >= run:
+        # Passages of 2 * run words at every run-th word of a document: each run of words lies in one of them.
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        length = np.diff(np.append(first, len(ids)))
+        per_doc = np.maximum(1, -(-(length - run + 1) // run))
+        begin = np.repeat(first, per_doc) + run * (np.arange(per_doc.sum()) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc))
+        stop = np.minimum(begin + 2 * run, np.repeat(first + length, per_doc))
+        # A passage whose greatest weights stay below every threshold has no pivot at all.
+        total = np.concatenate([[0.0], np.cumsum(index.word_max[ids])])
+        alive = np.flatnonzero((total[stop] - total[begin]) * (1 + _SLACK) + 1e-6 >= index.least)
+        for at in range(0, len(alive), CHUNK):
+            b, e = begin[alive[at : at + CHUNK]], stop[alive[at : at + CHUNK]]
+            place = b[:, None] + np.arange(2 * run)
+            text = np.where(place < e[:, None], ids[np.minimum(place, len(ids) - 1)], -1)
+            passage, item = candidates(index, text)
+            held = holds_run(index, text, passage, item)
+            found.append(np.stack([doc[b[passage[held]]], item[held]], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], index.item_ids[pairs[:, 1]]
+
+
+def candidates(index: ItemIndex, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, item) of every item whose score reaches its threshold for a row of words, by block-max WAND.
+
+    A row that is walked through falls out; the others go on to their next
+    pivot together. Held at once: the cursors of the rows, nothing per item.
+    """
+    n, block = index.n, index.block
+    # The words of a passage count once each.
+    word = np.sort(text, axis=1)
+    word[:, 1:][word[:, 1:] == word[:, :-1]] = -1
+    row = np.arange(len(word))
+    most = index.word_max[word]  # -1 is the last, without weight
+    cursor = np.full(word.shape, n, dtype=np.int64)
+    known = word >= 0
+    cursor[known] = index.seek(word[known], np.zeros(known.sum(), np.int64))[1]
+    rows, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(row):
+        order = np.argsort(cursor, axis=1)
+        cursor, word, most = (np.take_along_axis(x, order, 1) for x in (cursor, word, most))
+        reach = np.cumsum(np.where(cursor < n, most, 0.0), axis=1) * (1 + _SLACK) + _SLACK >= index.least
+        on = reach[:, -1]
+        if not on.all():
+            row, cursor, word, most, reach = row[on], cursor[on], word[on], most[on], reach[on]
+            if not len(row):
+                break
+        pivot = cursor[np.arange(len(row)), reach.argmax(1)]
+        before = cursor <= pivot[:, None]
+        r, c = np.nonzero(before)
+        bound = np.bincount(r, index.maximum(word[r, c], pivot[r] // block), minlength=len(row))
+        score = bound * (1 + _SLACK) + _SLACK >= index.block_threshold[pivot // block]
+        # Where the block can not reach its threshold: on to the next block, or to the next word's item before it.
+        after = np.where(before, n, cursor).min(1)
+        skip = np.minimum((pivot // block + 1) * block, after)
+        # Else the score of the pivot, from the words that stand on it or come to it.
+        at, item = index.seek(word[r, c], np.where(score, pivot, skip)[r])
+        hit = score[r] & (item == pivot[r])
+        total = np.bincount(r[hit], index.weights[at[hit]], minlength=len(row))
+        good = score & (total * (1 + _SLACK) + _SLACK >= index.threshold[pivot])
+        rows.append(row[good])
+        items.append(pivot[good])
+        # A word on the pivot goes on to its next posting.
+        step = at[hit] + 1
+        item[hit] = np.where(step < index.post_start[word[r, c][hit] + 1], index.post_item[np.minimum(step, len(index.keys) - 1)], n)
+        cursor[r, c] = item
+    return np.concatenate(rows), np.concatenate(items)
+
+
+def holds_run(index: ItemIndex, text: np.ndarray, passage: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Whether the passage of each candidate holds a run of its item, word by word."""
+    out = np.zeros(len(passage), bool)
+    for shift in range(text.shape[1] - index.run + 1):
+        left = np.flatnonzero(~out)
+        words = text[passage[left], shift : shift + index.run]
+        left, words = left[(words >= 0).all(1)], words[(words >= 0).all(1)]
+        h = _run_hash(words)
+        lo, hi = np.searchsorted(index.run_hashes, h), np.searchsorted(index.run_hashes, h, side="right")
+        n = hi - lo
+        which = np.repeat(np.arange(len(left)), n)
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        mine = index.run_item[at] == item[left[which]]
+        which, at = which[mine], at[mine]
+        same = (index.tokens[index.run_begin[at][:, None] + np.arange(index.run)] == words[which]).all(1)
+        out[left[which[same]]] = True
+    return out
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", run: int = RUN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``key`` and item_id of every document that holds ``run`` consecutive words of an item.
 
     Null and empty texts hold nothing; repeated documents and items count once.
-    The items are collected and broadcast after a check of their total size
-    (``MAX_ITEM_BYTES``); the corpus is read by one narrow map, and only the
-    leaks are shuffled to drop repetitions.
+    The items are indexed in shards of about ``shard_bytes`` of text, however
+    many there are; each index is broadcast and searched by one narrow map over
+    the corpus. Only the leaks are shuffled, to drop repetitions.
     """
     rows = items.select("item_id", "text").distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"the items hold {size} bytes of text; the index in memory is meant for {MAX_ITEM_BYTES}")
-    spark = documents.sparkSession
-    index = spark.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in rows.collect()], run))
+    shards = max(1, -(-size // shard_bytes))
+    kind = documents.schema[key].dataType.simpleString()
+    found = []
+    for shard in range(shards):
+        mine = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard)
+        index = documents.sparkSession.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in mine.toLocalIterator()], run))
+        found.append(documents.select(key, text).mapInArrow(_search_map(index, key), f"{key} {kind}, item_id bigint"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
 
+def _search_map(index, key: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bpe import slices, text_buffer
 
@@ -189,5 +298,4 @@ def leaked_items(documents: DataFrame, items: DataFrame, text: str = "text", key
                 docs, found = leaks(index.value, ids, doc)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs + i)), pa.array(found)], names=[key, "item_id"])
 
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInArrow(search, f"{key} {kind}, item_id bigint").distinct()
+    return search
