@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -75,9 +76,46 @@ def test_leaks_equal_brute_force(spark):
     it = spark.createDataFrame(items + items[:2], "item_id bigint, text string")
     got = [tuple(r) for r in leak.leaked_items(df, it).collect()]
     assert set(got) == brute_leaks(texts, [i for i in items]) and len(set(got)) == len(got) and len(got) > 30
+    sharded = leak.leaked_items(df, it, shard_bytes=1500)
+    assert sorted(tuple(r) for r in sharded.collect()) == sorted(got)
     assert leak.leaked_items(df, it.limit(0)).count() == 0 and leak.leaked_items(df.limit(0), it).count() == 0
 
 
+def test_wand_finds_what_scoring_everything_finds():
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(400)]
+    zipf = rng.zipf(1.3, 10**6) % 400
+    draw = iter(zipf.tolist())
+    text = lambda n: " ".join(words[next(draw)] for _ in range(n))
+    items = [(i, text(int(rng.integers(10, 40)))) for i in range(500)]
+    index = leak.ItemIndex(items, block=8)
+    rows = np.full((300, 24), -1, np.int32)
+    number = {w: i for i, w in enumerate(sorted({x for _, t in items if len(leak.words_of(t)) >= 12 for x in leak.words_of(t)}))}
+    for r in range(300):
+        if r % 2:
+            w = leak.words_of(items[int(rng.integers(500))][1])
+            k = int(rng.integers(0, max(1, len(w) - 14)))
+            w = [x if rng.random() > 0.1 else b"w1" for x in w[k : k + 24]]
+        else:
+            w = leak.words_of(text(24))
+        rows[r, : len(w)] = [number.get(x, -1) for x in w]
+    got = set(zip(*(x.tolist() for x in leak.candidates(index, rows))))
+    want = set()
+    for r in range(300):
+        score = np.zeros(index.n)
+        for x in set(rows[r].tolist()) - {-1}:
+            a, b = index.post_start[x], index.post_start[x + 1]
+            score[index.post_item[a:b]] += index.weights[a:b]
+        want |= {(r, int(j)) for j in np.flatnonzero(score >= index.threshold - 1e-9)}
+    assert got == want and len(want) > 100
+    # Words longer than two machine words, and lookups of words that share their first bytes.
+    long_ = [b"a" * k for k in range(1, 40)]
+    table = leak.Words(long_)
+    low = np.frombuffer(b"".join(long_) + b"a" * 40, np.uint8)
+    lens = np.array([*map(len, long_), 40])
+    assert table.numbers(low, np.cumsum(lens) - lens, np.cumsum(lens)).tolist() == [*range(39), -1]
+
+
 # --- shared spans ---------------------------------------------------------------
 
 
@@ -263,9 +301,33 @@ def test_overlaps_exact_for_small_sets_and_close_for_sampled(spark):
     assert all(r["low"] <= exact[k] <= r["high"] for k, r in got.items())
     assert got["big", "tiny"]["shared"] == 60  # a small set is compared in full
     assert {tuple(r) for r in overlap.heavy_pairs(m, sample=512).collect()} == {("big", "half"), ("big", "tiny"), ("half", "tiny")}
+    # Blocks of the sets of one identifier give the same pairs.
+    assert {(r["name_a"], r["name_b"]): r["shared"] for r in overlap.overlaps(m, sample=10**6, fan=2).collect()} == exact
     assert overlap.overlaps(m.limit(0)).count() == 0
 
 
+def test_heavy_pairs_among_sampled_sets(spark):
+    """All 40 sets are far larger than the sample; every pair on the right side of one half, and nearly all intervals hold the truth."""
+    rng = np.random.default_rng(1)
+    sets = {}
+    for k in range(20):
+        base = rng.choice(200_000, int(rng.integers(1500, 9000)), replace=False) + 1 + 300_000 * (k // 2)
+        share = rng.choice([0.1, 0.3, 0.7, 0.9])
+        n = int(share * len(base))
+        sets[f"a{k}"], sets[f"b{k}"] = base, np.concatenate([base[:n], np.arange(len(base)) + 10**8 + k * 10**5])
+    sets["everywhere"] = np.unique(np.concatenate([v[:700] for v in sets.values()]))
+    rows = [(n, int(i)) for n, v in sets.items() for i in v]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["name", "id"]))
+    truth = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in sets for b in sets if a < b}
+    want = {k for k, n in truth.items() if n >= 0.5 * min(len(sets[k[0]]), len(sets[k[1]]))}
+    near = {k for k, n in truth.items() if abs(n / min(len(sets[k[0]]), len(sets[k[1]])) - 0.5) < 0.15}
+    assert {tuple(r) for r in overlap.heavy_pairs(df).collect()} - near == want - near and len(want) >= 10
+    got = overlap.overlaps(df, z=3).collect()
+    assert sum(r["rate"] < 1 for r in got) > 0.9 * len(got)
+    held = [r["low"] <= truth[r["name_a"], r["name_b"]] <= r["high"] for r in got]
+    assert np.mean(held) > 0.97
+
+
 # --- splitting --------------------------------------------------------------------
 
 
