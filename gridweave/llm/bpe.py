@@ -13,7 +13,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,12 +70,17 @@ class Vocabulary:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.ranks[at], _NONE)
 
+    @cached_property
+    def rank_of(self) -> dict[int, int]:
+        """The rank of each pair key, made once per process and only where a long word comes."""
+        return dict(zip(self.keys.tolist(), self.ranks.tolist()))
+
     def merge_long(self, word: bytes) -> np.ndarray:
         """The ids of one very long word, by a heap of pairs and a linked list."""
         sym = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
         n = len(sym)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        rank = {int(k): int(r) for k, r in zip(self.keys, self.ranks)} if n > 1 else {}
+        rank = self.rank_of
         heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := rank.get(sym[i] << 32 | sym[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
