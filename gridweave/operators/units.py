@@ -1,10 +1,12 @@
-"""Quantities recorded in different units: text evidence, and a hidden Markov model where text is silent.
-
-``voxel_sizes`` reads the units that stand in the text and converts every size
-to whole nanometres. ``decode_units`` treats the unit of a series of bare
-numbers as the hidden state of a Markov chain: the logarithm of a value jumps
-when the unit switches while the underlying level stays smooth, and the
-Viterbi path names the unit of each reading. Units given in text pin the state.
+"""Quantities recorded in different units: a hidden Markov model with the unit as its state.
+
+``size_readings`` takes sizes and the units beside them from the texts of a
+file. ``decode_units`` treats the unit of a series of readings as the hidden
+state of a Markov chain: a unit in the text is an emission that only one state
+can give, the logarithm of a silent reading jumps when the unit switches while
+the underlying level stays smooth, and the Viterbi path names the unit of each
+reading. ``voxel_sizes`` is that model where silence itself has a meaning: a
+size without a unit is an emission of micrometres.
 """
 
 from __future__ import annotations
@@ -17,9 +19,12 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize, small
+
 #: Nanometres per unit (fixed values).
 NM = {
     "pm": Decimal("0.001"),
@@ -33,6 +38,8 @@ NM = {
 }
 #: The states of the Markov model, by size.
 STATES = tuple(NM)
+#: The unit of a size that no text gives one.
+DEFAULT = "um"
 
 _PREFIX = {"pico": "pm", "nano": "nm", "micro": "um", "milli": "mm", "centi": "cm", "": "m"}
 _NAMES = {f"{p}{stem}{s}": u for p, u in _PREFIX.items() for stem in ("meter", "metre") for s in ("", "s")}
@@ -117,104 +124,161 @@ def size_texts(description: str | None, ij_spacing: str | None, ij_unit: str | N
                     yield axis, "text", value, m[4]
 
 
-def plane_sizes(description: str | None, ij_spacing: str | None, ij_unit: str | None) -> dict[str, int]:
-    """axis -> nanometres of one file, by the order of precedence of the places."""
-    out: dict[str, int] = {}
-    for axis, _, value, unit in size_texts(description, ij_spacing, ij_unit):
-        if (nm := size_nm(value, unit)) is not None:
-            out.setdefault(axis, nm)
-    return out
-
-
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple] = []
-        for file, *texts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            out += [(file, a, nm) for a, nm in sorted(plane_sizes(*texts).items())]
-        cols = list(zip(*out)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["file_id", "axis", "size_nm"]
-        )
-
-
-def voxel_sizes(files: DataFrame) -> DataFrame:
-    """One row per file and axis with a usable size: file_id, axis, size_nm.
-
-    Null, empty or unreadable texts offer nothing; repeated rows count once.
-    Parsing is a narrow map; only the short results are shuffled, to drop
-    repetitions.
-    """
-    rows = files.select("file_id", "image_description", "ij_spacing", "ij_unit")
-    return rows.mapInArrow(_sizes, "file_id bigint, axis string, size_nm bigint").distinct()
+def _fits(x: Decimal, unit: str) -> bool:
+    return (x * NM[unit]).to_integral_value(ROUND_HALF_UP) < 2**63
 
 
 def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
-    names = ["file_id", "image_id", "acquired_at", "axis", "place", "value", "unit"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.string()]
+    names = ["file_id", "image_id", "acquired_at", "axis", "place", "rank", "value", "number", "unit"]
     for batch in batches:
         out: list[tuple] = []
         for i, (file, image, *texts) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5)))):
-            for axis, place, value, unit in size_texts(*texts):
-                if (found := reading(value, unit)) is not None:
-                    out.append((file, image, i, axis, place, float(found[0]), found[1] or None))
+            for rank, (axis, place, value, unit) in enumerate(size_texts(*texts)):
+                if (found := reading(value, unit)) is not None and _fits(found[0], found[1] or DEFAULT):
+                    out.append((file, image, i, axis, place, rank, float(found[0]), str(found[0]), found[1] or None))
         cols = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), kinds)]
         cols[2] = batch.column(2).take(cols[2])  # of the row that the size is from
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def size_readings(files: DataFrame) -> DataFrame:
-    """Every size of every file and axis, from all its places: file_id, image_id, acquired_at, axis, place, value, unit.
+    """Every size of every file and axis, from all its places: file_id, image_id, acquired_at, axis, place, rank, value, number, unit.
 
-    ``unit`` is null where no text gives one. Sizes whose unit names no length
-    (px, arb, ...) are not lengths and are left out. Repeated rows count once.
+    ``rank`` is the order of precedence, ``number`` the exact value as text,
+    ``unit`` is null where no text gives one. Null, empty or unreadable texts
+    offer nothing; sizes whose unit names no length (px, arb, ...) or that
+    exceed BIGINT in nanometres are left out. Repeated rows count once. A table
+    without image_id or acquired_at has nulls there.
     """
+    for c, kind in (("image_id", "bigint"), ("acquired_at", "timestamp_ntz")):
+        files = files if c in files.columns else files.withColumn(c, F.lit(None).cast(kind))
     rows = files.select("file_id", "image_id", "acquired_at", "image_description", "ij_spacing", "ij_unit")
     kind = files.schema["acquired_at"].dataType.simpleString()
-    return rows.mapInArrow(_readings, f"file_id bigint, image_id bigint, acquired_at {kind}, axis string, place string, value double, unit string").distinct()
+    ddl = f"file_id bigint, image_id bigint, acquired_at {kind}, axis string, place string, rank int, value double, number string, unit string"
+    return rows.mapInArrow(_readings, ddl).distinct()
+
+
+def with_series(readings: DataFrame) -> DataFrame:
+    """Readings with their series: the axis of an image; a file without an image is a series of its own."""
+    image = F.coalesce(F.col("image_id").cast("string"), F.concat(F.lit("file "), F.coalesce(F.col("file_id").cast("string"), F.lit(""))))
+    return readings.withColumn("series", F.concat_ws("/", image, "axis"))
+
+
+def voxel_sizes(files: DataFrame) -> DataFrame:
+    """One row per file and axis with a usable size: file_id, axis, size_nm.
+
+    Of the places of a file the first usable one counts. Its unit is the
+    decoded state: that of the text, or ``DEFAULT`` where the text is silent.
+    No usable size, no row; repeated rows count once.
+    """
+    names = ("image_id", "acquired_at", "value", "number", "unit")
+    first = F.min_by(F.struct(*names), F.struct("rank", "number", F.coalesce("unit", F.lit("")))).alias("r")
+    rows = with_series(size_readings(files).groupBy("file_id", "axis").agg(first).select("file_id", "axis", *(f"r.{c}" for c in names)))
+    out = decode_units(rows, "series", "acquired_at", "value", "unit", silent=DEFAULT, keep=["file_id", "axis"], untimed=True, number="number")
+    return out.select("file_id", "axis", F.col("nm").alias("size_nm"))
 
 
 # --- hidden Markov model over the unit -------------------------------------
 
 _LOG = np.log10(np.array([float(v) for v in NM.values()]))
 _NEG = -1e18
+_SHIFT = _LOG[None, :] - _LOG[:, None]
+_STAY = 1 - np.eye(len(_LOG))
 
 
-def _step(y0: float, y1: float, sigma: float, switch: float) -> np.ndarray:
-    """Log score of each state pair: the level in common units moves smoothly, a switch costs."""
-    level = (y1 + _LOG)[None, :] - (y0 + _LOG)[:, None]
-    return -0.5 * (level / sigma) ** 2 - switch * (1 - np.eye(len(_LOG)))
+def _steps(jump: np.ndarray, sigma: float, switch: float) -> np.ndarray:
+    """Log score of each state pair for each jump of the log value: the level in common units moves smoothly, a switch costs."""
+    return -0.5 * ((jump[:, None, None] + _SHIFT) / sigma) ** 2 - switch * _STAY
 
 
-def _pin(known: str | None) -> np.ndarray:
-    e = np.full(len(_LOG), 0.0 if known is None else _NEG)
-    if known is not None:
-        e[STATES.index(known)] = 0.0
-    return e
+def _emissions(known: np.ndarray) -> np.ndarray:
+    """Log score of each state: 0, but for a known one (-1 for none) that no other state can have emitted."""
+    return np.where((known[:, None] < 0) | (known[:, None] == np.arange(len(_LOG))), 0.0, _NEG)
 
 
-def viterbi(y: np.ndarray, known: list[str | None], prior: np.ndarray, sigma: float, switch: float, last: int | None = None) -> list[int]:
-    """The likeliest states; ``prior`` scores the first one, ``last`` fixes the final one."""
-    score, back = prior + _pin(known[0]), []
-    for i in range(1, len(y)):
-        all_ = score[:, None] + _step(y[i - 1], y[i], sigma, switch)
-        back.append(all_.argmax(0))
-        score = all_.max(0) + _pin(known[i])
-    s = int(score.argmax()) if last is None else last
-    path = [s]
-    for b in reversed(back):
-        path.append(s := int(b[s]))
-    return path[::-1]
+def viterbi(y: np.ndarray, known: np.ndarray, lens: np.ndarray, prior: np.ndarray, last: np.ndarray, sigma: float, switch: float) -> np.ndarray:
+    """The likeliest state of every reading of many series at once.
+
+    ``y`` (log values) and ``known`` (states or -1) are flat, ``lens`` the
+    length of each series, ``prior`` scores its first state, ``last`` fixes its
+    final one (-1: free). All series take a step together, the longest last.
+    """
+    order = np.argsort(-lens, kind="stable")
+    start = (np.cumsum(lens) - lens)[order]
+    left = lens[order]
+    score = prior[order] + _emissions(known[start])
+    back = np.zeros((len(y), len(_LOG)), np.int8)
+    n = len(left)
+    for t in range(1, int(left[0]) if n else 0):
+        n = int(np.searchsorted(-left, -t))  # series with a reading t
+        at = start[:n] + t
+        whole = score[:n, :, None] + _steps(y[at] - y[at - 1], sigma, switch)
+        back[at] = whole.argmax(1)
+        score[:n] = whole.max(1) + _emissions(known[at])
+    out = np.empty(len(y), np.int8)
+    state = np.where(last[order] >= 0, last[order], score.argmax(1))
+    for t in range(int(left[0]) - 1 if len(left) else -1, -1, -1):
+        n = int(np.searchsorted(-left, -t))
+        at = start[:n] + t
+        out[at] = state[:n]
+        state[:n] = back[at, state[:n]]
+    return out
 
 
-def _block_matrix(y: np.ndarray, known: list[str | None], sigma: float, switch: float) -> np.ndarray:
+def _block_matrix(y: np.ndarray, known: np.ndarray, sigma: float, switch: float) -> np.ndarray:
     """Max-plus product of a block: best score from each first to each last state."""
     n = len(_LOG)
-    m = np.where(np.eye(n, dtype=bool), _pin(known[0])[None, :], _NEG)
+    m = np.where(np.eye(n, dtype=bool), _emissions(known[:1]), _NEG)
     for i in range(1, len(y)):
-        m = (m[:, :, None] + _step(y[i - 1], y[i], sigma, switch)[None]).max(1) + _pin(known[i])[None, :]
+        m = (m[:, :, None] + _steps(y[i : i + 1] - y[i - 1 : i], sigma, switch)).max(1) + _emissions(known[i : i + 1])
     return np.maximum(m, _NEG)
 
 
+def _states_of(units: pa.ChunkedArray, silent: int) -> np.ndarray:
+    return pc.fill_null(pc.index_in(units, pa.array(STATES)), silent).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _decode_map(names: list[str], prior: np.ndarray, silent: int, sigma: float, switch: float, number: str | None, rows_at_once: int = 1 << 16):
+    def decode(rows: pa.Table) -> pa.RecordBatch:
+        new = np.ones(rows.num_rows, bool)
+        for c in ("series", "part"):
+            x = rows.column(c).combine_chunks()
+            same = pc.equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+            new[1:] = ~same if c == "series" else new[1:] | ~same
+        at = np.flatnonzero(new)
+        first, last = (pc.fill_null(rows.column(c), -1).to_numpy()[at] for c in ("first", "last"))
+        value = rows.column("value").to_numpy()
+        begin = np.where(first[:, None] >= 0, np.where(np.arange(len(_LOG)) == first[:, None], 0.0, _NEG), prior)
+        path = viterbi(np.log10(value), _states_of(rows.column("unit"), silent), np.diff(np.append(at, rows.num_rows)), begin, last, sigma, switch)
+        cols = [*(rows.column(c).combine_chunks() for c in names), pa.array(STATES).take(pa.array(path)), pa.array(value * 10 ** _LOG[path])]
+        if number:
+            nm = [int((Decimal(x) * NM[STATES[s]]).to_integral_value(ROUND_HALF_UP)) for x, s in zip(rows.column(number).to_pylist(), path)]
+            cols.append(pa.array([v if v < 2**63 else None for v in nm], pa.int64()))
+        return pa.RecordBatch.from_arrays(cols, names=[*names, "state", "size_nm", *(["nm"] if number else [])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < rows_at_once:
+                continue
+            rows = pa.Table.from_batches(held)
+            series, part = rows.column("series").to_pylist(), rows.column("part").to_pylist()
+            whole = rows.num_rows - 1  # the last block may go on in the next batch
+            while whole and (series[whole - 1], part[whole - 1]) == (series[-1], part[-1]):
+                whole -= 1
+            if whole:
+                yield decode(rows.slice(0, whole))
+            held = rows.slice(whole).to_batches()
+        if held:
+            yield decode(pa.Table.from_batches(held))
+
+    return run
+
+
 def decode_units(
     readings: DataFrame,
     series: str = "series",
@@ -223,77 +287,86 @@ def decode_units(
     unit: str = "unit",
     sigma: float = 0.05,
     switch: float = 8.0,
-    default: str = "um",
-    block_seconds: int = 86_400,
+    default: str = DEFAULT,
+    silent: str | None = None,
     keep: Sequence[str] = (),
     untimed: bool = False,
+    number: str | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Name the unit of every reading by the Viterbi path of its series.
 
     ``readings`` holds a series key, a time, a positive number and a unit name
     of ``STATES`` or null where none is recorded. Result: series, at, value,
-    state, size_nm (double). Rows with null series, time or value, or a value
+    the columns of ``keep``, state, size_nm (double) and, if ``number`` names a
+    column with the exact value as text, nm (whole nanometres, rounded half up,
+    null beyond BIGINT). Rows with null series, time or value, or a value
     that is not positive and finite, are not readings and are left out; with
-    ``untimed`` null times stay and come last, as one block. Equal times are
-    ordered by value. ``keep`` names columns that the result has besides. A series without any recorded unit starts at
-    ``default`` rather than elsewhere by a prior of one switch.
-
-    A long series is cut into blocks of time. Each block is reduced to a small
-    max-plus matrix, the matrices of a series are chained to fix the states at
-    the block borders, and the blocks are then decoded independently: no task
-    holds more than one block, or one matrix per block of a series.
+    ``untimed`` null times stay and come last. Equal times are ordered by
+    value. A unit in the text can come from its own state alone; a silent
+    reading can come from any, or with ``silent`` from that one alone. A series
+    that is silent throughout starts at ``default`` rather than elsewhere by a
+    prior of one switch.
+
+    The readings are range-partitioned by series and time (``parts`` of them,
+    by default as the session has it), and all series of a partition are
+    decoded together. A series that crosses partitions is reduced to a small
+    max-plus matrix per partition; the matrices of a series are chained to fix
+    the states at the borders, and its parts are then decoded like all others.
+    No task holds more than a partition, or one matrix per part of a series.
     """
     n = len(STATES)
+    kept = list(dict.fromkeys([*keep, *([number] if number else [])]))
     rows = readings.select(
-        F.col(series).cast("string").alias("series"), F.col(at).alias("at"), F.col(value).cast("double").alias("value"), F.col(unit).alias("unit"),
-        *(F.col(c).cast("string").alias(c) for c in keep),
+        F.col(series).cast("string").alias("series"), F.col(at).alias("at"), F.col(value).cast("double").alias("value"), F.col(unit).cast("string").alias("unit"), *kept
     ).filter(f"series is not null and {'true' if untimed else 'at is not null'} and value > 0 and value < double('inf')")
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / block_seconds), F.lit(1 << 62)))
+    by = ["series", F.col("at").isNull(), "at", "value", *kept, "unit"]
+    rows = rows.repartitionByRange(*([parts] if parts else []), *by)
+    rows = materialize(rows.sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()), "readings")
     prior = np.where(np.arange(n) == STATES.index(default), 0.0, -switch)
+    pinned = STATES.index(silent) if silent else -1
 
-    def load(pdf):
-        pdf = pdf.sort_values(["at", "value"], kind="stable")
-        return pdf, np.log10(pdf["value"].to_numpy()), [u if u in NM else None for u in pdf["unit"]]
-
-    def reduce_block(pdf):
-        pdf, y, known = load(pdf)
-        return pdf.iloc[:1][["series", "block"]].assign(y0=y[0], y1=y[-1], m=[_block_matrix(y, known, sigma, switch).ravel().tolist()])
+    def reduce_block(table: pa.Table) -> pa.Table:
+        y = np.log10(table.column("value").to_numpy())
+        m = _block_matrix(y, _states_of(table.column("unit"), pinned), sigma, switch)
+        one = table.slice(0, 1).select(["series", "part"])
+        return one.append_column("y0", pa.array(y[:1])).append_column("y1", pa.array(y[-1:])).append_column("m", pa.array([m.ravel().tolist()], pa.list_(pa.float64())))
 
     def chain(pdf):
-        pdf = pdf.sort_values("block")
+        pdf = pdf.sort_values("part")
         scores, back, score, y_last = [], [], None, 0.0
         for r in pdf.itertuples():
-            m = np.array(r.m).reshape(n, n)
-            into = prior if score is None else (score[:, None] + _step(y_last, r.y0, sigma, switch))
             if score is None:
-                start = into
-                back.append(None)
+                start, came = prior, None
             else:
-                start = into.max(0)
-                back.append(into.argmax(0))
-            whole = start[:, None] + m
-            scores.append((whole.argmax(0), whole.max(0)))
+                into = score[:, None] + _steps(np.array([r.y0 - y_last]), sigma, switch)[0]
+                start, came = into.max(0), into.argmax(0)
+            whole = start[:, None] + np.array(r.m).reshape(n, n)
+            scores.append(whole.argmax(0))
+            back.append(came)
             score, y_last = whole.max(0), r.y1
         ends, firsts, s = [], [], int(score.argmax())
-        for (arg, _), b in zip(reversed(scores), reversed(back)):
+        for arg, came in zip(reversed(scores), reversed(back)):
             ends.append(s)
             firsts.append(f := int(arg[s]))
-            s = int(b[f]) if b is not None else f
-        return pdf[["series", "block"]].assign(first=firsts[::-1], last=ends[::-1])
-
-    def decode(pdf):
-        pdf, y, known = load(pdf)
-        first, last = int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0])
-        start = np.full(n, _NEG)
-        start[first] = 0.0
-        path = viterbi(y, known, start, sigma, switch, last)
-        return pdf[["series", "at", "value", *keep]].assign(state=[STATES[s] for s in path], size_nm=[v * 10 ** _LOG[s] for v, s in zip(pdf["value"], path)])
-
-    blocks = rows.groupBy("series", "block").applyInPandas(reduce_block, "series string, block bigint, y0 double, y1 double, m array<double>")
-    borders = blocks.groupBy("series").applyInPandas(chain, "series string, block bigint, first int, last int")
-    kind = readings.schema[at].dataType.simpleString()
-    kept = "".join(f"{c} string, " for c in keep)
-    out = rows.join(borders, ["series", "block"]).groupBy("series", "block").applyInPandas(
-        decode, f"series string, at {kind}, value double, {kept}state string, size_nm double"
-    )
-    return out.withColumns({c: F.col(c).cast(readings.schema[c].dataType) for c in keep})
+            s = int(came[f]) if came is not None else f
+        return pdf[["series", "part"]].assign(first=firsts[::-1], last=ends[::-1])
+
+    crossing = rows.groupBy("series").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b").select("series")
+    crossing = materialize(crossing, "crossing-series")  # fewer than partitions
+    blocks = rows.join(small(crossing), "series", "left_semi")
+    blocks = blocks.groupBy("series", "part").applyInArrow(_ordered(reduce_block, ["at", "value", *kept]), "series string, part int, y0 double, y1 double, m array<double>")
+    borders = materialize(blocks.groupBy("series").applyInPandas(chain, "series string, part int, first int, last int"), "borders")
+    whole = rows.join(small(borders), ["series", "part"], "left").repartition("part").sortWithinPartitions("part", *by)
+    names = ["series", "at", "value", *keep]
+    fields = [f"{c} {whole.schema[c].dataType.simpleString()}" for c in names] + ["state string", "size_nm double", *(["nm bigint"] if number else [])]
+    return whole.mapInArrow(_decode_map(names, prior, pinned, sigma, switch, number), ", ".join(fields))
+
+
+def _ordered(f, by: Sequence[str]):
+    """``f`` on the rows of a group in order, nulls last."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return f(table.sort_by([(c, "ascending") for c in by]))
+
+    return run

@@ -39,11 +39,9 @@ def p2_decoded(spark, sf):
 
     A file without an image is a series of its own; sizes without a time come last.
     """
-    rows = units.size_readings(table(spark, sf, "tiff_meta"))
-    image = F.coalesce(F.col("image_id").cast("string"), F.concat(F.lit("file "), "file_id"))
-    rows = rows.withColumn("series", F.concat_ws("/", image, "axis"))
-    out = units.decode_units(rows, "series", "acquired_at", "value", "unit", block_seconds=366 * 86_400, keep=["file_id", "image_id", "axis", "place"], untimed=True)
-    return out.drop("series")
+    rows = units.with_series(units.size_readings(table(spark, sf, "tiff_meta")))
+    out = units.decode_units(rows, "series", "acquired_at", "value", "unit", keep=["file_id", "image_id", "axis", "place"], untimed=True)
+    return out.withColumnRenamed("at", "acquired_at").drop("series")
 
 
 def p6_found(spark, sf):
