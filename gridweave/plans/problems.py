@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import functions as F
-
 from ..operators import drift, incremental, units
-from ..runtime import shared_dir, table
+from ..runtime import table, work_folder
 
 
 def p1_found(spark, sf):
@@ -44,24 +40,31 @@ def p2_decoded(spark, sf):
     return out.withColumnRenamed("at", "acquired_at").drop("series")
 
 
+def _p6(spark, sf, fail_after=None):
+    """The changes of a run over all rows after a run up to the watermark, if there is one."""
+    logs = {
+        "counts": (incremental.COUNTS, table(spark, sf, "counts").filter("n is not null")),
+        "tiles": (incremental.TILES, table(spark, sf, "tiles")),
+    }
+    until = incremental.watermark(table(spark, sf, "job_log"))
+    run = incremental.IncrementalRun(spark, work_folder(spark, "run"))
+    if until is not None:
+        run.run(logs, until)
+    if fail_after:
+        try:
+            run.run(logs, None, fail_after=fail_after)
+        except RuntimeError:
+            pass
+    return incremental.changed_items(run.run(logs, None))
+
+
 def p6_found(spark, sf):
-    return incremental.changed_items(table(spark, sf, "counts"), table(spark, sf, "tiles"), table(spark, sf, "job_log"))
+    return _p6(spark, sf)
 
 
 def p6_resumed(spark, sf):
-    """``p6_found`` by stored runs: one up to the watermark, then one over the rest that breaks off and is resumed."""
-    counts, tiles = table(spark, sf, "counts"), table(spark, sf, "tiles")
-    until = incremental.watermark(table(spark, sf, "job_log"))
-    run = incremental.IncrementalRun(spark, f"{shared_dir(spark)}/gridweave/run-{uuid.uuid4().hex}")
-    if until is not None:
-        run.run(counts, until, tiles=tiles)
-    end = counts.select("arrived_at").union(tiles.select("arrived_at")).agg(F.max("arrived_at").cast("string").alias("t")).first()["t"]
-    try:
-        run.run(counts, end, fail_after="changes", tiles=tiles)
-    except RuntimeError:
-        run.run(counts, end, tiles=tiles)
-    kind = lambda log, no: run.changes(log).select(F.lit(log).alias("item_kind"), "run_id", F.col(no).alias("item_no"))
-    return kind("counts", "tile_id").unionByName(kind("tiles", "item_no"))
+    """``p6_found`` where the second run breaks off while it replaces the states, and is taken up again."""
+    return _p6(spark, sf, "state")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_meta, p1_union_schema, p1_branches, p1_appearing, p2_found, p2_decoded, p6_found, p6_resumed)}
@@ -120,3 +123,4 @@ UNION ALL
 SELECT 'tiles', run_id, CAST(i AS BIGINT) FROM pos WHERE n_was <= i OR now IS DISTINCT FROM was
 """,
 }
+SQL["p6_resumed"] = SQL["p6_found"]

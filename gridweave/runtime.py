@@ -103,18 +103,42 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small text file and put it in place by one rename."""
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a small folder."""
     fs, p = _fs(spark, path)
-    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    return [f.getPath().getName() for f in fs.listStatus(p)]
+
+
+def put_text(spark: SparkSession, path: str, text: str, rename: bool = True) -> None:
+    """Write a small text file under another name and put it in place by one atomic rename, over an older one.
+
+    Without ``rename`` the file stays under its other name, as after a
+    break-off in between.
+    """
+    jvm = spark._jvm
+    fs, p = _fs(spark, path)
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     out = fs.create(tmp, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"cannot put {path} in place")
+    if rename:
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(p).toUri(), spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(tmp), fs.makeQualified(p), how)
+
+
+write_text = put_text
+
+
+def work_folder(spark: SparkSession, tag: str) -> str:
+    """The name of a new folder among the intermediate tables, removed by ``cleanup``."""
+    path = f"{shared_dir(spark)}/gridweave/{tag}-{uuid.uuid4().hex}"
+    _written(spark).append(path)
+    return path
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -182,47 +182,64 @@ def at(h):
     return None if h is None else T0 + dt.timedelta(hours=h)
 
 
-def test_changed_items(spark):
-    rows = [(1, 1, 5, 0, 1, 1), (1, 1, 6, 0, 2, 20), (1, 2, 5, 0, 1, 1), (1, 2, 5, 0, 1, 30), (1, 3, None, 0, 1, 20), (1, 4, 7, 0, 1, 20), (1, 4, 7, 0, 1, 20), (2, 1, 1, 0, 9, 1), (2, 1, 4, 0, 3, 20), (3, 1, 2, 0, 1, 1), (3, 1, 2, None, 2, 20), (None, 1, 2, 0, 1, 20), (4, 1, 2, 0, 1, None)]
-    counts = spark.createDataFrame([(a, b, n, k, at(u), at(v), 1, 1) for a, b, n, k, u, v in rows], COUNTS)
-    tiles = spark.createDataFrame([(1, 1, at(1), at(1), [[1, 2], [3]]), (2, 1, at(2), at(20), [[2, 1], [3, 4], [5]]), (3, 2, at(1), at(1), [[1]]), (3, 2, at(1), at(1), [[1]]), (4, 3, at(3), at(20), [[1]]), (5, 4, at(1), at(20), None)], TILES)
-    jobs = spark.createDataFrame([(1, at(0), at(1), at(10), " Succeeded "), (2, at(0), at(1), at(25), "failed"), (3, at(0), at(1), None, "succeeded"), (4, at(0), None, at(5), None)], JOBS)
-    got = sorted(tuple(r) for r in incremental.changed_items(counts, tiles, jobs).collect())
-    assert got == [("counts", 1, 1), ("counts", 1, 4), ("counts", 3, 1), ("counts", 4, 1), ("tiles", 1, 1), ("tiles", 1, 2), ("tiles", 3, 0)]
-    assert incremental.changed_items(counts.limit(0), tiles.limit(0), jobs.limit(0)).count() == 0
-    assert incremental.changed_items(counts, tiles, jobs.limit(0)).filter("item_kind = 'counts'").count() == 6
-    # One partition for all keys gives the same rows.
-    assert sorted(tuple(r) for r in incremental.changed_items(counts, tiles, jobs, partitions=1).collect()) == got
-
-
-@pytest.mark.parametrize("step", ["plan", "changes", "state"])
+COUNT_ROWS = [(1, 1, 5, 0, 1, 1), (1, 1, 6, 0, 2, 20), (1, 2, 5, 0, 1, 1), (1, 2, 5, 0, 1, 30), (1, 3, None, 0, 1, 20), (1, 4, 7, 0, 1, 20), (1, 4, 7, 0, 1, 20), (2, 1, 1, 0, 9, 1), (2, 1, 4, 0, 3, 20), (3, 1, 2, 0, 1, 1), (3, 1, 2, None, 2, 20), (None, 1, 2, 0, 1, 20), (4, 1, 2, 0, 1, None)]
+TILE_ROWS = [(1, 1, 1, 1, [[1, 2], [3]]), (2, 1, 2, 20, [[2, 1], [3, 4], [5]]), (3, 2, 1, 1, [[1]]), (3, 2, 1, 1, [[1]]), (4, 3, 3, 20, [[1]]), (5, 4, 1, 20, None)]
+
+
+def p6_tables(spark, path, counts, tiles, jobs):
+    spark.createDataFrame([(a, b, n, k, at(u), at(v), 1, 1) for a, b, n, k, u, v in counts], COUNTS).write.parquet(f"{path}/counts.parquet")
+    spark.createDataFrame([(m, r, at(w), at(v), b) for m, r, w, v, b in tiles], TILES).write.parquet(f"{path}/tiles.parquet")
+    spark.createDataFrame([(j, at(s), at(f), at(u), x) for j, s, f, u, x in jobs], JOBS).write.parquet(f"{path}/job_log.parquet")
+    return str(path)
+
+
+def test_changed_items(spark, tmp_path):
+    jobs = [(1, 0, 1, 10, " Succeeded "), (2, 0, 1, 25, "failed"), (3, 0, 1, None, "succeeded"), (4, 0, None, 5, None)]
+    want = [("counts", 1, 1), ("counts", 1, 4), ("counts", 3, 1), ("counts", 4, 1), ("tiles", 1, 1), ("tiles", 1, 2), ("tiles", 3, 0)]
+    path = p6_tables(spark, tmp_path / "a", COUNT_ROWS, TILE_ROWS, jobs)
+    for q in (problems.p6_found, problems.p6_resumed):
+        assert sorted(tuple(r) for r in q(spark, path).collect()) == want
+    assert problems.p6_found(spark, p6_tables(spark, tmp_path / "b", [], [], [])).count() == 0
+    first = problems.p6_found(spark, p6_tables(spark, tmp_path / "c", COUNT_ROWS, TILE_ROWS, []))
+    assert first.filter("item_kind = 'counts'").count() == 6
+
+
+@pytest.mark.parametrize("step", incremental.IncrementalRun.STEPS)
 def test_runs_resume_without_skipping_or_repeating(spark, tmp_path, step):
-    rows = [(r, t, 1, 0, at(1), at(1), 1, 1) for r in range(6) for t in range(3)]
-    later = [(0, 0, 9, 0, at(2), at(11), 1, 1), (5, 7, 1, 0, at(2), at(11), 1, 1), (1, 1, 1, 0, at(1), at(12), 1, 1)]
-    last = [(2, 2, 8, 0, at(3), at(21), 1, 1)]
-    run = incremental.IncrementalRun(spark, f"file://{tmp_path}/{step}", partitions=4)
-    df = lambda x: spark.createDataFrame(x, COUNTS)
-    assert run.run(df(rows), "2025-01-01 10:00:00").count() == 18
-    with pytest.raises(RuntimeError):
-        run.run(df(rows + later), "2025-01-01 20:00:00", fail_after=step)
-    # More rows arrive before the retry; they belong to the next run.
-    got = run.run(df(rows + later + last), "2025-01-01 23:00:00")
-    assert sorted((r["run_id"], r["tile_id"], r["n"]) for r in got.collect()) == [(0, 0, 9), (5, 7, 1)]
-    got = run.run(df(rows + later + last), "2025-01-01 23:00:00")
-    assert [(r["run_id"], r["tile_id"], r["n"]) for r in got.collect()] == [(2, 2, 8)]
-    assert run.state().count() == 19 and run.state().filter("run_id = 2 and tile_id = 2").first()["n"] == 8
-    assert run.run(df(rows + later + last), "2025-01-01 23:30:00").count() == 0
+    rows = [(r, t, 1, 0, at(1), at(1), 1, 1) for r in range(0, 96, 16) for t in range(3)]
+    later = [(0, 0, 9, 0, at(2), at(11), 1, 1), (80, 7, 1, 0, at(2), at(11), 1, 1), (16, 1, 1, 0, at(1), at(12), 1, 1)]
+    last = [(32, 2, 8, 0, at(3), at(21), 1, 1)]
+    run = incremental.IncrementalRun(spark, f"file://{tmp_path}/runs", 5)
 
+    def go(x, until, **options):
+        found = run.run({"counts": (incremental.COUNTS, spark.createDataFrame(x, COUNTS))}, until, **options)["counts"]
+        return sorted((r["run_id"], r["tile_id"], r["new"]["n"]) for r in found.collect())
 
-def test_resumed_runs_of_both_logs_find_what_one_pass_finds(spark, tmp_path):
-    at = lambda h: None if h is None else T0 + dt.timedelta(hours=h)
-    counts = [(1, 1, 5, 0, 1), (1, 1, 6, 0, 9), (1, 2, 5, 0, 1), (2, 1, 7, 0, None), (3, 1, 1, 0, 2)]
-    tiles = [(1, [[1, 2], [3]], 1), (1, [[2, 1], [4]], 9), (2, [[5]], None), (3, [[6]], 2)]
-    spark.createDataFrame([(r, t, n, b, at(h), at(h)) for r, t, n, b, h in counts], "run_id bigint, tile_id bigint, n bigint, batch int, updated_at timestamp, arrived_at timestamp").write.parquet(f"{tmp_path}/counts.parquet")
-    spark.createDataFrame([(r, b, at(h), at(h)) for r, b, h in tiles], "run_id bigint, batches array<array<bigint>>, written_at timestamp, arrived_at timestamp").write.parquet(f"{tmp_path}/tiles.parquet")
-    spark.createDataFrame([("succeeded", at(4))], "status string, read_until timestamp").write.parquet(f"{tmp_path}/job_log.parquet")
-    got, want = (sorted(tuple(r) for r in q(spark, str(tmp_path)).collect()) for q in (problems.p6_resumed, problems.p6_found))
-    assert got == want == [("counts", 1, 1), ("counts", 2, 1), ("tiles", 1, 1), ("tiles", 2, 0)]
+    assert len(go(rows, "2025-01-01 10:00:00")) == 18
+    with pytest.raises(RuntimeError):
+        go(rows + later, "2025-01-01 20:00:00", fail_after=step)
+    # More rows arrive before the retry; they belong to the next run.
+    assert go(rows + later + last, "2025-01-01 23:00:00") == [(0, 0, 9), (80, 7, 1)]
+    assert go(rows + later + last, "2025-01-01 23:00:00") == [(32, 2, 8)]
+    state = {(r["run_id"], r["tile_id"]): r["n"] for r in run.state(incremental.COUNTS).collect()}
+    assert len(state) == 19 and state[32, 2] == 8 and state[0, 0] == 9
+    assert go(rows + later + last, "2025-01-01 23:30:00") == []
+
+
+def test_only_changed_partitions_are_replaced_and_untimed_rows_stay_new(spark, tmp_path):
+    rows = [(r, 0, 1, 0, at(1), at(1), 1, 1) for r in range(0, 320, 16)]
+    run = incremental.IncrementalRun(spark, f"file://{tmp_path}/runs", 8)
+    go = lambda x, until: run.run({"counts": (incremental.COUNTS, spark.createDataFrame(x, COUNTS))}, until)["counts"]
+    go(rows, "2025-01-01 05:00:00")
+    files = lambda: {p: p.stat().st_mtime_ns for p in tmp_path.glob("runs/counts/state/part=*/*.parquet")}
+    before = files()
+    assert len({p.parent for p in before}) > 3
+    assert go([*rows, (16, 0, 5, 0, at(2), at(6), 1, 1)], "2025-01-01 07:00:00").count() == 1
+    assert len({p.parent for p in before} - {p.parent for p in before if p not in files()}) == len({p.parent for p in before}) - 1
+    untimed = [*rows, (16, 0, 5, 0, at(2), at(6), 1, 1), (48, 0, 7, 0, at(3), None, 1, 1)]
+    for hour in (8, 9):
+        assert [r["run_id"] for r in go(untimed, f"2025-01-01 0{hour}:00:00").collect()] == [48]
+    assert run.state(incremental.COUNTS).filter("run_id = 48").first()["n"] == 1
 
 
 def test_all_sizes_of_all_places_are_decoded(spark, tmp_path):
@@ -242,6 +259,6 @@ def test_all_sizes_of_all_places_are_decoded(spark, tmp_path):
 
 
 def test_fingerprints_see_any_change(spark):
-    df = spark.createDataFrame([(1, 1, None, 2), (1, 2, 2, None)], "k int, i int, a int, b int")
-    both = [incremental.fingerprints(x, F.col("k"), F.lit(False), ["a", "b"]).first()["h_new"] for x in (df.filter("i = 1"), df.filter("i = 2"))]
-    assert both[0] != both[1]
+    df = spark.createDataFrame([(1, 1, None, 2, True), (1, 2, 2, None, True), (1, 3, 9, 9, False)], "part int, i int, a int, b int, s boolean")
+    a, b, c = (incremental.fingerprints(df.filter(f"i = {i}"), ["a", "b"], "s").first() for i in (1, 2, 3))
+    assert a["h"] != b["h"] and (c["n"], c["h"], c["untimed"]) == (0, 0, 1)
