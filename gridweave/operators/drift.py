@@ -1,10 +1,15 @@
 """Schemas that drift between documents: tagged-union inference and change reports.
 
-Every JSON document is flattened to paths; a path names the scalars that are
-not null (object keys joined by ``.``, ``[]`` after each array step) and holds
-their JSON types. Parallel schemas are fused into one union schema that keeps
-the alternative types of each path; conflicting paths are split into one typed
-branch per type beside a canonical value.
+``infer`` reads a document as a schema: a path names the scalars that are not
+null (object keys joined by ``.``, ``[]`` after each array step) and holds a
+branch per JSON type among them. ``fuse`` unites parallel schemas and retains,
+per path, the branches that each of them has. Every report is read off a fused
+schema: two consecutive documents of a store give its changes
+(``schema_changes``), all documents give the union schema with one typed branch
+per type, a canonical type and the alternatives that appeared later
+(``union_schema``, ``typed_branches``, ``appearing_alternatives``). Paths that
+were renamed without ever standing side by side are one field of the table that
+holds all documents (``metadata_table``).
 """
 
 from __future__ import annotations
@@ -13,13 +18,13 @@ import hashlib
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, small
 
 #: The JSON types of scalars, in the order in which branches are listed.
 TYPES = ("boolean", "number", "string")
@@ -80,31 +85,50 @@ def scalars(doc) -> Iterator[tuple[str, str, str]]:
             yield path, "string", x
 
 
-def profile(doc) -> dict[str, tuple[str, str]]:
-    """path -> (its types, an exact digest of its list of values)."""
+#: A schema: path -> (the types of its branches, an exact digest of its list of values).
+Schema = dict[str, tuple[tuple[str, ...], str]]
+
+
+def infer(doc) -> Schema:
+    """The schema of one document."""
     types: dict[str, set[str]] = {}
     values: dict[str, list[str]] = {}
     for path, kind, text in scalars(doc):
         types.setdefault(path, set()).add(kind)
         values.setdefault(path, []).append(kind[0] + (canonical_number(text) if kind == "number" else text))
-    out = {}
+    out: Schema = {}
     for path, kinds in types.items():
         digest = hashlib.blake2b(digest_size=16)
         for v in values[path]:
             raw = v.encode("utf-8", "surrogatepass")
             digest.update(len(raw).to_bytes(8, "little"))
             digest.update(raw)
-        out[path] = ("|".join(t for t in TYPES if t in kinds), digest.hexdigest())
+        out[path] = (tuple(t for t in TYPES if t in kinds), digest.hexdigest())
     return out
 
 
-def compare(old: dict[str, tuple[str, str]], new: dict[str, tuple[str, str]]) -> Iterator[tuple[str, str, str]]:
-    """(change_kind, old_path, new_path) between two profiles."""
-    for path in old.keys() & new.keys():
-        if old[path][0] != new[path][0]:
+def fuse(*schemas: Schema) -> dict[str, list[tuple[tuple[str, ...], str]]]:
+    """The union of parallel schemas: path -> its branches and digest in each of them, without branches where it is absent."""
+    absent = ((), "")
+    return {path: [s.get(path, absent) for s in schemas] for path in dict.fromkeys(p for s in schemas for p in s)}
+
+
+def report(union: dict[str, list[tuple[tuple[str, ...], str]]]) -> Iterator[tuple[str, str, str]]:
+    """(change_kind, old_path, new_path) from the fused schema of an earlier and a later document.
+
+    A path that keeps some branch but gains or loses others, or has others
+    instead, is retyped. A path all of whose branches appear is added, one all
+    of whose branches vanish is removed; an appearing and a vanishing path of
+    equal values, each the only one with them, are one renamed path.
+    """
+    gone, come = {}, {}
+    for path, ((before, old), (after, new)) in union.items():
+        if not before:
+            come[path] = new
+        elif not after:
+            gone[path] = old
+        elif before != after:
             yield "retyped", path, path
-    gone = {p: old[p][1] for p in old.keys() - new.keys()}
-    come = {p: new[p][1] for p in new.keys() - old.keys()}
     n_gone, n_come = Counter(gone.values()), Counter(come.values())
     target = {v: p for p, v in come.items() if n_come[v] == 1}
     moved = {p: target[v] for p, v in gone.items() if n_gone[v] == 1 and v in target}
@@ -146,9 +170,9 @@ def _changes_in_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             if not ok:
                 continue
             last_key = key
-            now = profile(doc)
+            now = infer(doc)
             if before is not None and before[0] == store:
-                rows += [(record, *(map(_clean, c)), None, None, None) for c in compare(before[2], now)]
+                rows += [(record, *(map(_clean, c)), None, None, None) for c in report(fuse(before[2], now))]
             if first:
                 rows.append((record, "first", None, None, part, json.dumps(now), store))
                 first = False
@@ -160,18 +184,14 @@ def _changes_in_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         )
 
 
-def _changes_at_edges(edges):
-    """Compare the last record of each partition with the first one of the next that has records."""
-    import pandas as pd
-
-    edges = edges.assign(o=(edges.change_kind == "last").astype(int)).sort_values(["part", "o"])
-    rows, before = [], None
-    for r in edges.itertuples():
-        if r.change_kind == "last":
-            before = r
-        elif before is not None and before.store_id == r.store_id:
-            rows += [(r.record_id, *map(_clean, c)) for c in compare(json.loads(before.edge), json.loads(r.edge))]
-    return pd.DataFrame(rows, columns=["record_id", "change_kind", "old_path", "new_path"])
+def _changes_at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The changes between the last record of a partition and the first of the next: record_id, before, after."""
+    read = lambda text: {p: (tuple(t), d) for p, (t, d) in json.loads(text).items()}
+    names = ["record_id", "change_kind", "old_path", "new_path"]
+    for batch in batches:
+        rows = [(r, *map(_clean, c)) for r, a, b in zip(*(x.to_pylist() for x in batch.columns)) for c in report(fuse(read(a), read(b)))]
+        cols = zip(*rows) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string()))], names=names)
 
 
 def schema_changes(records: DataFrame) -> DataFrame:
@@ -185,7 +205,7 @@ def schema_changes(records: DataFrame) -> DataFrame:
 
     The rows are range-partitioned by (store, time), so a store that holds a
     third of all rows is spread over many tasks; neighbours across a partition
-    border are compared from two edge rows per partition.
+    border are joined, one pair per border, and compared in many tasks too.
     """
     rows = (
         records.filter(F.col("attrs").isNotNull() & F.col("store_id").isNotNull())
@@ -195,12 +215,13 @@ def schema_changes(records: DataFrame) -> DataFrame:
     )
     found = materialize(rows.mapInArrow(_changes_in_partition, _OUT_DDL), "drift")
     inner = found.filter("edge is null").select("record_id", "change_kind", "old_path", "new_path")
-    edges = (
-        found.filter("edge is not null")
-        .groupBy(F.lit(0).alias("_one"))  # two rows per partition
-        .applyInPandas(_changes_at_edges, "record_id bigint, change_kind string, old_path string, new_path string")
-    )
-    return inner.unionByName(edges)
+    edge = lambda kind: found.filter(F.col("edge").isNotNull() & (F.col("change_kind") == kind))
+    starts = edge("first").select("part", "record_id", "store_id", F.col("edge").alias("after"))
+    ends = edge("last").select(F.col("part").alias("_prev"), F.col("store_id").alias("_store"), F.col("edge").alias("before"))
+    # The partition before each that has records: one window over the numbers of partitions, nothing else.
+    order = found.filter("edge is not null").select("part").distinct().withColumn("_prev", F.lag("part").over(Window.orderBy("part")))
+    near = starts.join(order, "part").join(ends, "_prev").filter("store_id = _store").select("record_id", "before", "after")
+    return inner.unionByName(near.mapInArrow(_changes_at_edges, "record_id bigint, change_kind string, old_path string, new_path string"))
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,143 +251,110 @@ def flatten(records: DataFrame) -> DataFrame:
     )
 
 
+#: Texts that read as truth values (fixed values).
+TRUE, FALSE = ("true", "yes", "1"), ("false", "no", "0")
+
+
+def _number(text) -> Column:
+    return F.expr(f"try_cast({text} AS double)")
+
+
+def _truth(text: str) -> Column:
+    t = F.lower(F.trim(text))
+    return F.when(t.isin(*TRUE), True).when(t.isin(*FALSE), False)
+
+
 def union_schema(flat: DataFrame) -> DataFrame:
-    """The fused schema: per path and alternative type, records, first appearance and whether the path conflicts.
+    """The fused schema: per path and branch, records, first appearance and whether the path conflicts.
 
     Columns: path, type, n_records, first_at, last_at, n_types, canonical. The
-    canonical type of a path is its only type, ``number`` if each of its
-    strings reads as one, else ``string``. The number of paths is that of the
-    schema, not of the data.
+    canonical type of a path is its only type; ``boolean`` if it has that
+    branch and all its texts read as truth values, ``number`` if it has none
+    and all read as numbers, else ``string``. Fused per task before anything
+    is shuffled; the number of rows is that of the schema, not of the data.
     """
-    numeric = F.expr("try_cast(text AS double)").isNotNull()
     alt = (
         flat.groupBy("path", "type", "record_id")
-        .agg(F.min("written_at").alias("at"), F.min(numeric).alias("numeric"))
+        .agg(F.min("written_at").alias("at"), F.min(_number("text").isNotNull()).alias("numeric"), F.min(_truth("text").isNotNull()).alias("truth"))
         .groupBy("path", "type")
-        .agg(F.count("*").alias("n_records"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("numeric").alias("numeric"))
+        .agg(F.count("*").alias("n_records"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("numeric").alias("numeric"), F.min("truth").alias("truth"))
     )
     per_path = alt.groupBy("path").agg(
-        F.count("*").alias("n_types"), F.min("numeric").alias("numeric"), F.max(F.col("type") == "boolean").alias("has_bool"), F.min("type").alias("only")
+        F.count("*").alias("n_types"), F.min("numeric").alias("numeric"), F.min("truth").alias("truth"), F.max(F.col("type") == "boolean").alias("has_bool"), F.min("type").alias("only")
     )
-    kind = F.when(F.col("n_types") == 1, F.col("only")).when(F.col("numeric") & ~F.col("has_bool"), F.lit("number")).otherwise(F.lit("string"))
-    return alt.drop("numeric").join(per_path.select("path", "n_types", kind.alias("canonical")), "path")
+    kind = F.when(F.col("n_types") == 1, F.col("only")).when(F.col("has_bool") & F.col("truth"), F.lit("boolean")).when(F.col("numeric") & ~F.col("has_bool"), F.lit("number"))
+    return alt.drop("numeric", "truth").join(per_path.select("path", "n_types", kind.otherwise(F.lit("string")).alias("canonical")), "path")
 
 
-def typed_branches(flat: DataFrame) -> DataFrame:
-    """Every scalar with one branch per type and its canonical text and number.
+def typed_branches(flat: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Every scalar with one branch per type and its canonical text, number and truth value.
 
-    Columns: record_id, path, pos, v_boolean, v_number, v_string, canonical,
-    canonical_text, canonical_number. The branch of the scalar's own type is
-    filled, the others are null.
+    Columns: record_id, path, pos, those of ``keep``, v_boolean, v_number,
+    v_string, canonical, canonical_text, canonical_number, canonical_boolean.
+    The branch of the scalar's own type is filled, the others are null.
     """
-    kinds = union_schema(flat).select("path", "canonical").distinct()
-    number = F.expr("try_cast(text AS double)")
-    return flat.join(kinds, "path").select(
-        "record_id", "path", "pos",
+    kinds = materialize(union_schema(flat).select("path", "canonical").distinct(), "union-schema")
+    return flat.join(small(kinds), "path").select(
+        "record_id", "path", "pos", *keep,
         F.when(F.col("type") == "boolean", F.col("text") == "true").alias("v_boolean"),
-        F.when(F.col("type") == "number", number).alias("v_number"),
+        F.when(F.col("type") == "number", _number("text")).alias("v_number"),
         F.when(F.col("type") == "string", F.col("text")).alias("v_string"),
         "canonical",
         F.col("text").alias("canonical_text"),
-        F.when(F.col("canonical") == "number", number).alias("canonical_number"),
+        F.when(F.col("canonical") == "number", _number("text")).alias("canonical_number"),
+        F.when(F.col("canonical") == "boolean", _truth("text")).alias("canonical_boolean"),
     )
 
 
 def appearing_alternatives(flat: DataFrame) -> DataFrame:
     """Types that a path took on after it had been seen with another: path, type, first_at."""
-    alt = union_schema(flat)
+    alt = materialize(union_schema(flat), "union-schema")
     first = alt.groupBy("path").agg(F.min("first_at").alias("path_from"))
     return alt.join(first, "path").filter((F.col("n_types") > 1) & (F.col("first_at") > F.col("path_from"))).select("path", "type", "first_at", "n_records")
 
 
 # --- one consistent table -----------------------------------------------------
 
-#: Names that a field of the metadata table has had, the present one first (fixed values).
-ALIASES = {
-    "multiscales": ("multiscales", "ome.multiscales"),
-    "n_objects": ("n_objects", "nObjects", "object_count"),
-    "sequential": ("sequential_labels", "sequential"),
-    "axis": ("name", "label"),
-    "transforms": ("coordinateTransformations", "coordinate_transformations", "transformations"),
-}
-
-
-def _first(doc, field: str):
-    """The value under the first of a field's names that is there and not null."""
-    for name in ALIASES[field]:
-        x = doc
-        for key in name.split("."):
-            x = x.get(key) if isinstance(x, dict) else None
-        if x is not None:
-            return x
-    return None
-
-
-def _number(x) -> float | None:
-    """A number or the text of one; NaN and infinities are none."""
-    try:
-        v = float(x) if isinstance(x, str) else None
-    except ValueError:
-        return None
-    return v if v is not None and abs(v) < float("inf") else None
-
-
-def _truth(x) -> bool | None:
-    if isinstance(x, bool):
-        return x
-    return {"true": True, "yes": True, "1": True, "false": False, "no": False, "0": False}.get(x.strip().lower()) if isinstance(x, str) else None
-
+#: Renames from one path to another that are needed to take the two for one field.
+SUPPORT = 2
 
-def _list(x) -> list:
-    return x if isinstance(x, list) else []
 
+def fields(flat: DataFrame, changes: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """path, field: the name under which each path comes into the table.
 
-def _text(x) -> str | None:
-    return _clean(str(x)) if isinstance(x, str) else None
-
-
-def metadata_rows(doc) -> list[tuple]:
-    """(name, level, axis, scale, unit, n_objects, sequential) of a document in any of its layouts.
-
-    A level without a scale for an axis has none; a document without levels
-    gives one row for its counts, if it has any.
+    Paths between which ``support`` renames or more were seen, and which never
+    stand in one record together, are one field; so are those linked through
+    others. The field is called by the path that was written last (of equals
+    the one of more records, then the least). Paths are few; they are compared
+    by joins all the same.
     """
-    n, seq = _number(_first(doc, "n_objects")), _truth(_first(doc, "sequential"))
-    n = int(n) if n is not None and abs(n) < 2**63 else None
-    rows = []
-    for image in _list(_first(doc, "multiscales")):
-        image = image if isinstance(image, dict) else {}
-        axes = [(_text(a), None) if isinstance(a, str) else (_text(_first(a, "axis")), _text(a.get("unit")) if isinstance(a, dict) else None) for a in _list(image.get("axes"))]
-        for level, data in enumerate(_list(image.get("datasets"))):
-            data = data if isinstance(data, dict) else {}
-            scale = next((t["scale"] for t in _list(_first(data, "transforms")) if isinstance(t, dict) and isinstance(t.get("scale"), list)), _list(data.get("scale")))
-            for i, (axis, unit) in enumerate(axes):
-                rows.append((_text(image.get("name")), level, axis, _number(scale[i]) if i < len(scale) else None, unit, n, seq))
-    return rows or ([(None, None, None, None, None, n, seq)] if n is not None or seq is not None else [])
-
-
-_META = pa.schema(
-    [("record_id", pa.int64()), ("store_id", pa.int64()), ("written_at", pa.string()), ("name", pa.string()), ("level", pa.int32()), ("axis", pa.string()), ("scale", pa.float64()), ("unit", pa.string()), ("n_objects", pa.int64()), ("sequential", pa.bool_())]
-)
+    from .merge import components
 
-
-def _metadata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[list] = [[] for _ in _META]
-        for record, store, at, attrs in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            doc, ok = parse(attrs)
-            for row in metadata_rows(doc) if ok and isinstance(doc, dict) else ():
-                for col, v in zip(out, (record, store, at, *row)):
-                    col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _META)], schema=_META)
+    paths = materialize(union_schema(flat).groupBy("path").agg(F.max("last_at").alias("last_at"), F.sum("n_records").alias("n_records")).withColumn("id", F.xxhash64("path")), "paths")
+    moved = changes.filter("change_kind = 'renamed'").groupBy(F.least("old_path", "new_path").alias("a"), F.greatest("old_path", "new_path").alias("b"))
+    moved = materialize(moved.agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("a", "b"), "renames")
+    held = flat.select("record_id", "path").distinct()
+    both = held.join(small(moved), F.col("path") == F.col("a")).select("record_id", "a", "b").join(held, "record_id").filter("path = b").select("a", "b").distinct()
+    links = moved.join(both, ["a", "b"], "left_anti").select(F.xxhash64("a").alias("lo"), F.xxhash64("b").alias("hi"))
+    group = components(links).select(F.col("old").alias("id"), "rep")
+    rows = paths.join(group, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    latest = rows.groupBy("rep").agg(F.max_by("path", F.struct(F.col("last_at"), F.col("n_records"), F.col("id"))).alias("field"))
+    return rows.join(latest, "rep").select("path", "field")
 
 
 def metadata_table(records: DataFrame) -> DataFrame:
-    """All layouts in one table: record_id, store_id, written_at, name, level, axis, scale, unit, n_objects, sequential.
+    """All documents in one table: record_id, store_id, written_at, field, path, pos, text, number, truth.
 
-    Conflicting types take the canonical one: numbers and truth values are read
-    from text. Unreadable documents give no rows; a repeated row counts once.
+    One row per scalar. ``field`` unites the paths that a field has had,
+    ``path`` is that of the document; text is as recorded, number and truth are
+    the canonical conversion of the field, null where it has another canonical
+    type. Unreadable documents give no rows; a repeated row counts once.
     """
-    rows = records.select("record_id", "store_id", F.col("written_at").cast("string").alias("written_at"), "attrs").dropDuplicates()
-    ddl = "record_id bigint, store_id bigint, written_at string, name string, level int, axis string, scale double, unit string, n_objects bigint, sequential boolean"
-    return rows.mapInArrow(_metadata, ddl).withColumn("written_at", F.col("written_at").cast("timestamp_ntz"))
+    flat = materialize(flatten(records), "flat")
+    names = small(materialize(fields(flat, schema_changes(records)), "fields"))
+    named = flat.join(names, "path").withColumnRenamed("path", "_path").withColumnRenamed("field", "path")
+    rows = typed_branches(named, ["store_id", "written_at", "_path"])
+    return rows.select(
+        "record_id", "store_id", "written_at", F.col("path").alias("field"), F.col("_path").alias("path"), "pos",
+        F.col("canonical_text").alias("text"), F.col("canonical_number").alias("number"), F.col("canonical_boolean").alias("truth"),
+    )

@@ -124,3 +124,19 @@ SELECT 'tiles', run_id, CAST(i AS BIGINT) FROM pos WHERE n_was <= i OR now IS DI
 """,
 }
 SQL["p6_resumed"] = SQL["p6_found"]
+
+_SQL_FLAT = r"""r AS (SELECT DISTINCT record_id, store_id, written_at, attrs FROM store_attrs WHERE attrs IS NOT NULL AND json_valid(attrs)),
+t AS (SELECT record_id, written_at, t.id, regexp_replace(regexp_replace(t.fullkey, '\[[0-9]+\]', '[]', 'g'), '^\$\.?', '') AS path, t.type, t.atom FROM r, json_tree(r.attrs) AS t),
+v AS (SELECT record_id, written_at, id, replace(path, '"', '') AS path, CASE WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS type,
+  CASE WHEN type = 'VARCHAR' THEN atom ->> '$' ELSE CAST(atom AS VARCHAR) END AS text FROM t WHERE atom IS NOT NULL AND type NOT IN ('NULL', 'OBJECT', 'ARRAY')),
+k AS (SELECT path, type, count(DISTINCT record_id) AS n_records, min(written_at) AS first_at, max(written_at) AS last_at, bool_and(try_cast(text AS DOUBLE) IS NOT NULL) AS num,
+  bool_and(lower(trim(text)) IN ('true', 'yes', '1', 'false', 'no', '0')) AS truth FROM v GROUP BY 1, 2),
+u AS (SELECT path, type, n_records, first_at, last_at, count(*) OVER w AS n_types,
+  CASE WHEN count(*) OVER w = 1 THEN type WHEN bool_or(type = 'boolean') OVER w AND bool_and(truth) OVER w THEN 'boolean' WHEN bool_and(num) OVER w AND NOT bool_or(type = 'boolean') OVER w THEN 'number' ELSE 'string' END AS canonical
+  FROM k WINDOW w AS (PARTITION BY path))"""
+SQL["p1_union_schema"] = f"WITH {_SQL_FLAT} SELECT * FROM u"
+SQL["p1_appearing"] = f"WITH {_SQL_FLAT} SELECT path, type, first_at, n_records FROM u x WHERE n_types > 1 AND first_at > (SELECT min(first_at) FROM u y WHERE y.path = x.path)"
+SQL["p1_branches"] = f"""WITH {_SQL_FLAT} SELECT record_id, path, CAST(row_number() OVER (PARTITION BY record_id, path ORDER BY id) - 1 AS INTEGER) AS pos,
+CASE WHEN type = 'boolean' THEN text = 'true' END AS v_boolean, CASE WHEN type = 'number' THEN CAST(text AS DOUBLE) END AS v_number, CASE WHEN type = 'string' THEN text END AS v_string, canonical,
+text AS canonical_text, CASE WHEN canonical = 'number' THEN CAST(text AS DOUBLE) END AS canonical_number, CASE WHEN canonical = 'boolean' THEN lower(trim(text)) IN ('true', 'yes', '1') END AS canonical_boolean
+FROM v JOIN (SELECT DISTINCT path, canonical FROM u) USING (path)"""

@@ -58,9 +58,9 @@ def test_one_store_spread_over_partitions_equals_brute_force(spark):
         rows.append((i, 1 if rng.random() < 0.6 else rng.randint(2, 40), rng.randint(0, 50), json.dumps(doc)))
     want, last = [], {}
     for i, s, h, a in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
-        now = drift.profile(drift.parse(a)[0])
+        now = drift.infer(drift.parse(a)[0])
         if s in last:
-            want += [(i, *c) for c in drift.compare(last[s], now)]
+            want += [(i, *c) for c in drift.report(drift.fuse(last[s], now))]
         last[s] = now
     assert changes(spark, rows) == sorted(want)
 
@@ -81,14 +81,29 @@ def test_union_schema_keeps_alternatives(spark):
     assert {(r["path"], r["type"]) for r in drift.appearing_alternatives(flat).collect()} == {("v", "number"), ("t", "boolean")}
 
 
+def test_fused_schemas_retain_the_branches_of_each():
+    a, b, c = (drift.infer(drift.parse(t)[0]) for t in ('{"v": [1, "x"], "o": {"k": true}}', '{"v": [2.0]}', '{"v": ["x"], "w": 1}'))
+    union = drift.fuse(a, b, c)
+    assert {p: [t for t, _ in x] for p, x in union.items()} == {
+        "v[]": [("number", "string"), ("number",), ("string",)], "o.k": [("boolean",), (), ()], "w": [(), (), ("number",)],
+    }
+    assert sorted(drift.report(drift.fuse(a, b))) == [("removed", "o.k", ""), ("retyped", "v[]", "v[]")]
+    assert list(drift.report(drift.fuse(a, a))) == [] and drift.fuse() == {}
+
+
 def test_all_layouts_come_into_one_table(spark):
-    old = {"multiscales": [{"name": "a", "axes": ["y", "x"], "datasets": [{"path": "0", "coordinate_transformations": [{"type": "scale", "scale": ["0.5", 0.25]}]}]}], "nObjects": "7", "sequential": "yes"}
-    new = {"ome": {"multiscales": [{"name": "a", "axes": [{"label": "y", "unit": "nm"}, {"name": "x"}], "datasets": [{"name": 0, "scale": [1, 2]}, {}]}]}, "n_objects": 7.0, "sequential_labels": 0}
-    rows = [(1, 1, 0, json.dumps(old)), (2, 1, 1, json.dumps(new)), (2, 1, 1, json.dumps(new)), (3, 1, 2, '{"object_count": 3}'), (4, 1, 3, "[1]"), (5, 1, 4, None), (6, 1, 5, '{"multiscales": [1, {"axes": 3, "datasets": [2]}]}')]
-    got = [(r["record_id"], r["level"], r["axis"], r["scale"], r["unit"], r["n_objects"], r["sequential"]) for r in drift.metadata_table(records(spark, rows)).collect()]
-    assert sorted(got, key=str) == sorted(
-        [(1, 0, "y", 0.5, None, 7, True), (1, 0, "x", 0.25, None, 7, True), (2, 0, "y", 1.0, "nm", 7, False), (2, 0, "x", 2.0, None, 7, False), (2, 1, "y", None, "nm", 7, False), (2, 1, "x", None, None, 7, False), (3, None, None, None, None, 3, None)], key=str
-    )
+    docs = [{"ms": [{"axis": a, "s": v} for a, v in zip("yx", ("0.5", k))], "n": str(k), "q": "yes"} for k in (7, 8)]
+    docs += [{"ome": {"ms": [{"name": a, "s": v} for a, v in zip("yx", (0.5, k))]}, "n": k, "q": True} for k in (7, 8, 9)]
+    rows = [(i, 1 + i % 2, i, json.dumps(d)) for i, d in enumerate(docs)] + [(2, 1, 2, json.dumps(docs[2])), (9, 1, 30, "[1"), (10, 1, 31, None)]
+    got = drift.metadata_table(records(spark, rows)).collect()
+    fields = {r["path"]: r["field"] for r in got}
+    assert fields["ms[].axis"] == fields["ome.ms[].name"] == "ome.ms[].name" and fields["n"] == "n"
+    assert {(r["record_id"], r["number"], r["text"]) for r in got if r["field"] == "n"} == {(0, 7.0, "7"), (1, 8.0, "8"), (2, 7.0, "7"), (3, 8.0, "8"), (4, 9.0, "9")}
+    assert all(r["truth"] is True for r in got if r["field"] == "q") and sum(r["field"] == "q" for r in got) == 5
+    # A rename seen once, and paths that stand side by side, stay apart.
+    rows = [(1, 1, 0, '{"a": 5}'), (2, 1, 1, '{"b": 5}'), (3, 2, 0, '{"c": 6}'), (4, 2, 1, '{"d": 6}'), (5, 3, 0, '{"c": 7}'), (6, 3, 1, '{"d": 7}'), (7, 4, 0, '{"c": 1, "d": 2}')]
+    assert {r["path"]: r["field"] for r in drift.metadata_table(records(spark, rows)).collect()} == {x: x for x in "abcd"}
+    assert drift.metadata_table(records(spark, rows[:0])).count() == 0
 
 
 @pytest.mark.parametrize(
