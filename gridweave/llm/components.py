@@ -7,7 +7,9 @@ vertex of each group holds the group, every other vertex only the least one.
 
 The sets are kept as rows (v, u), never as one array per vertex, so a group
 that holds a third of all records is spread over many tasks. A round is one
-aggregation and one join by v, both of which split hot vertices, and a distinct.
+aggregation by v, pre-aggregated, a join by v with its written result, and a
+distinct. As no aggregate stands between the shuffle and the join, adaptive
+execution sees a hot vertex there and splits it.
 
 The rounds run on two levels: first on the pairs of each partition alone, as a
 combiner before anything is shuffled by vertex, then on what the partitions
@@ -99,6 +101,15 @@ def settled_leaders(rows: DataFrame) -> DataFrame:
     return even.filter("least > id").join(leaves, "id").filter("n_out = n_leaves").select("id")
 
 
+def messages(sets: DataFrame, least: DataFrame) -> DataFrame:
+    """What the vertices send in a round: (v, u) for every u that v receives, repeats included."""
+    pair = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
+    # The set goes to its least member, the least member to all others; the sender is a member of its set, too.
+    sent = sets.join(least, "v").select(F.explode(F.array(pair("m", "u"), pair("u", "m"))).alias("s"))
+    own = least.select(F.explode(F.array(pair("m", "v"), pair("v", "m"))).alias("s"))
+    return sent.unionByName(own).select("s.*").filter("v <> u")
+
+
 def hash_to_min(pairs: DataFrame, a: str = "lo", b: str = "hi", max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(id, group_id) of every identifier that is linked with another; group_id is the least of its group.
 
@@ -123,19 +134,10 @@ def hash_to_min(pairs: DataFrame, a: str = "lo", b: str = "hi", max_rounds: int
         before, state = state, _state(now.df)
         if state == before or state[0] == 0:
             break
-        least = now.df.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        sent = now.df.join(least, "v").select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("m").alias("v"), "u"),  # the set to its least member
-                    F.struct(F.col("u").alias("v"), F.col("m").alias("u")),  # the least member to all others
-                )
-            ).alias("s")
-        )
-        # The sender is a member of its set, too.
-        own = least.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("v").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("s"))
-        then = Materialized(sent.unionByName(own).select("s.*").filter("v <> u").distinct(), "clusters")
+        led = Materialized(now.df.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")), "least")
+        then = Materialized(messages(now.df, led.df).distinct(), "clusters")
         now.drop()
+        led.drop()
         now = then
     else:
         raise RuntimeError(f"not stable after {max_rounds} rounds")

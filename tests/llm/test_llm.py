@@ -389,3 +389,53 @@ def test_groups_equal_union_find(spark):
     s = spark.createDataFrame([(k, 1) for k in known], "labels bigint, m int")
     assert {r["labels"]: r["group_id"] for r in components.groups(p, s).collect()} == want
     assert components.groups(p.limit(0), s).count() == 0 and components.groups(p, s.limit(0)).count() == 0
+
+
+def adaptive_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.files.maxPartitionBytes": "128k",
+}
+
+
+@pytest.fixture
+def without_broadcast(spark):
+    old = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_vertices_and_seeds_are_split(spark, without_broadcast):
+    from gridweave.runtime import Materialized, materialize
+
+    hot = spark.range(60_000).selectExpr("IF(id % 3 = 0, 1L, id) AS v", "id * 7919 % 100003 AS u")
+    sets = materialize(hot, "test-sets")
+    least = materialize(sets.groupBy("v").agg({"u": "min"}).withColumnRenamed("min(u)", "m"), "test-least")
+    assert "skew=true" in adaptive_plan(components.messages(sets, least))
+    found = Materialized(spark.range(60_000).selectExpr("id AS doc", "IF(id % 3 = 0, 1L, id) AS h", "id * 7919 % 100003 AS pos"), "test-seeds")
+    keys = materialize(spark.range(60_000).selectExpr("id AS h"), "test-keys")
+    assert "skew=true" in adaptive_plan(found.df.join(keys, "h", "left_semi"))
+
+
+def test_a_group_with_a_third_of_all_pairs(spark, without_broadcast):
+    pairs = spark.range(1, 30_001).selectExpr("IF(id % 3 = 0, 0L, id - id % 5) + 100000 AS lo", "id + 100000 AS hi")
+    got = {r["id"]: r["group_id"] for r in components.hash_to_min(pairs).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in pairs.collect():
+        if r["lo"] != r["hi"]:
+            x, y = find(r["lo"]), find(r["hi"])
+            root[max(x, y)] = min(x, y)
+    assert got == {v: find(v) for v in list(root)}
