@@ -16,23 +16,9 @@ class TileBoxes:
             yield n, [lo for lo, _ in box], [hi for _, hi in box]
 
 
-class Pieces:
-    """pieces(length, limit_, overlap): consecutive ranges of at most ``limit_`` with overlap."""
-
-    def eval(self, length, limit_, overlap):
-        if limit_ <= overlap:
-            raise ValueError("the limit must exceed the overlap")
-        at = 0
-        while length - at > limit_:
-            yield at, at + limit_
-            at += limit_ - overlap
-        yield at, length
-
-
 def register(spark: SparkSession) -> None:
     """Make the functions known to the session's SQL."""
     spark.udtf.register("tile_boxes", udtf(TileBoxes, returnType="tile_id bigint, lo array<int>, hi array<int>"))
-    spark.udtf.register("pieces", udtf(Pieces, returnType="piece_from bigint, piece_to bigint"))
     spark.udf.register("auto_overlap", lambda d, v: list(planner.auto_overlap(d, voxel_size=v)), "array<int>")
     spark.udf.register("read_amplification", lambda n, t: float(planner.read_amplification(n, t)), "double")
 

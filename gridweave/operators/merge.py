@@ -89,22 +89,29 @@ def touching_pairs(labels: DataFrame, meta: ImageMeta, label: str = "label") ->
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step on edges (v > u): neighbours are linked to the least one instead."""
-    if large:
-        near = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-    else:
-        near = edges
-    least = near.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+def _star(edges: DataFrame, large: bool) -> Materialized:
+    """One large-star or small-star step on edges (v > u), written: neighbours are linked to the least one instead.
+
+    The least neighbours are written before the join, so that no aggregate
+    stands between its shuffle and it, and adaptive execution splits a hot vertex.
+    """
+    near = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u"))) if large else edges
+    led = Materialized(near.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")), "least")
+    least = led.df
     linked = near.join(least, "v")
-    moved = linked.filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")) if large else linked.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+    moved = linked.filter("u > v" if large else "u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
     own = least.filter("v <> m").select("v", F.col("m").alias("u"))
-    return moved.unionByName(own).filter("v <> u").select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct()
+    out = Materialized(moved.unionByName(own).filter("v <> u").select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct(), "edges")
+    led.drop()
+    return out
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the edges of each chunk of a partition by stars around the least vertex of each piece."""
+    """Replace the edges of each chunk of a partition by stars around the least vertex of each piece; ``chunk`` tells them apart."""
+    from pyspark import TaskContext
+
     held: list[pa.RecordBatch] = []
+    task, count = TaskContext.get().partitionId(), 0
 
     def stars() -> pa.RecordBatch:
         edges = pa.Table.from_batches(held)
@@ -112,14 +119,14 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, at = np.unique(np.concatenate([v, u]), return_inverse=True)
         least = ids[kernels.least_linked(at[: len(v)], at[len(v) :], len(ids))]
         moved = ids != least
-        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(least[moved])], names=["v", "u"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(least[moved]), pa.array(np.full(moved.sum(), task << 20 | count))], names=["v", "u", "chunk"])
 
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
         if sum(b.num_rows for b in held) >= CHUNK_EDGES:
             yield stars()
-            held = []
+            held, count = [], count + 1
     if held:
         yield stars()
 
@@ -129,25 +136,31 @@ def components(pairs: DataFrame, lo: str = "lo", hi: str = "hi", max_rounds: int
 
     Ids that lie close together are mostly linked closely, so the edges are
     range-partitioned once and contracted within each partition, in chunks of
-    bounded size; what is left are few, short chains. Alternating large-star
-    and small-star steps join them; both keep one row per edge, so a large
-    component is spread over many tasks. Ids without a pair are not in
-    the result; they stand for themselves.
+    bounded size; what is left are few, short chains. Where no id lies in two
+    chunks, that is the result. Else alternating large-star and small-star steps
+    join the chains; both keep one row per edge, so a large component is spread
+    over many tasks. Ids without a pair are not in the result; they stand for
+    themselves.
     """
     edges = pairs.filter(F.col(lo) != F.col(hi)).select(F.greatest(lo, hi).alias("v"), F.least(lo, hi).alias("u")).select(F.col("v").cast("bigint"), F.col("u").cast("bigint")).distinct()
-    edges = edges.repartitionByRange("u", "v").mapInArrow(_contract, "v bigint, u bigint")
+    edges = edges.repartitionByRange("u", "v").mapInArrow(_contract, "v bigint, u bigint, chunk bigint")
     now, state = Materialized(edges, "edges"), None
-    for _ in range(max_rounds):
-        then = Materialized(_star(_star(now.df, True), False), "edges")
+    ends = now.df.select(F.explode(F.array("v", "u")).alias("id"), "chunk")
+    apart = now.df.select("chunk").distinct().limit(2).count() < 2 or ends.groupBy("id").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).filter("a < b").isEmpty()
+    for _ in range(0 if apart else max_rounds):
+        mid = _star(now.df, True)
         now.drop()
-        now = then
+        now = _star(mid.df, False)
+        mid.drop()
         r = now.df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if (before := state) == (state := (r["n"], r["h"])) and before is not None:
             break
     else:
-        raise RuntimeError(f"components are not stable after {max_rounds} rounds")
-    least = now.df.select(F.col("u").alias("old"), F.col("u").alias("rep")).distinct()
-    return now.df.select(F.col("v").alias("old"), F.col("u").alias("rep")).unionByName(least)
+        if not apart:
+            raise RuntimeError(f"components are not stable after {max_rounds} rounds")
+    rows = now.df.select("v", "u")
+    least = rows.select(F.col("u").alias("old"), F.col("u").alias("rep")).distinct()
+    return rows.select(F.col("v").alias("old"), F.col("u").alias("rep")).unionByName(least)
 
 
 def lookup_table(pairs: DataFrame, max_label: int | None = None) -> DataFrame:
@@ -188,8 +201,9 @@ def tile_process(voxels: DataFrame, fn, meta: ImageMeta, sequential_ids: bool =
 def canonical(labels: DataFrame, meta: ImageMeta, label: str = "label") -> DataFrame:
     """Labels named by the least voxel number of their object, whatever the tiles and the numbering."""
     v: Column = grid.voxel_id(meta)
-    name = labels.groupBy(label).agg(F.min(v).alias("comp"))
-    return labels.join(name, label).select(*meta.axes, "comp")
+    # Written, so that it is broadcast where it is small, and a join with it is split at a hot object where it is not.
+    name = materialize(labels.groupBy(label).agg(F.min(v).alias("comp")), "names")
+    return labels.join(small(name), label).select(*meta.axes, "comp")
 
 
 def object_count(labels: DataFrame, label: str = "label") -> DataFrame:

@@ -276,11 +276,6 @@ n AS (SELECT a.id AS u, b.id AS v FROM f a JOIN f b ON ((b.y = a.y AND b.x = a.x
 r AS (SELECT id AS u, id AS m FROM f UNION SELECT b2.u, r.m FROM r JOIN b2 ON b2.v = r.u), c AS (SELECT u AS id, min(m) AS comp FROM r GROUP BY u)"""
 
 
-def _staged2d(spark, sf):
-    meta = rasters.meta2d(spark, sf)
-    return meta, materialize(staged.stage_tiles(rasters.emb2d(spark, sf), _face_fn, meta), "staged")
-
-
 def _by_tile(staged_rows, meta):
     """Components named by their least voxel, with their tile."""
     v = grid.voxel_id(meta)
@@ -290,9 +285,7 @@ def _by_tile(staged_rows, meta):
 
 @query(f"WITH RECURSIVE {_reach(f'value > {FOREGROUND}', True)} SELECT f.t AS tile_id, y, x, comp FROM f JOIN c USING (id)")
 def tile_components(spark, sf):
-    meta, rows = _staged2d(spark, sf)
-    # The halo may join parts of a tile outside of it; without one a tile stands alone.
-    meta = ImageMeta(meta.axes, meta.shape, meta.tile)
+    meta = rasters.meta2d(spark, sf, halo=0)
     rows = materialize(staged.stage_tiles(rasters.emb2d(spark, sf), _face_fn, meta), "staged")
     return _by_tile(rows, meta).select("tile_id", "y", "x", "comp")
 
@@ -354,8 +347,9 @@ _WHOLE = _reach(f"value > {FOREGROUND}", False)
 
 
 def _merged2d(spark, sf):
+    """Haloed tiles: what touches only outside of a core is one object within the tile already, and meets again at the faces."""
     meta = rasters.meta2d(spark, sf)
-    return meta, merge.tile_process(rasters.emb2d(spark, sf), _face_fn, ImageMeta(meta.axes, meta.shape, meta.tile))
+    return meta, merge.tile_process(rasters.emb2d(spark, sf), _face_fn, meta)
 
 
 @query(f"WITH RECURSIVE {_WHOLE} SELECT y, x, comp FROM f JOIN c USING (id)")
@@ -385,7 +379,7 @@ r AS (SELECT id AS u, id AS m FROM f UNION SELECT b2.u, r.m FROM r JOIN b2 ON b2
 SELECT z, y, x, comp FROM f JOIN c USING (id)"""
 )
 def merged_labels_3d(spark, sf):
-    meta = rasters.meta3d(spark, sf, halo=0)
+    meta = rasters.meta3d(spark, sf)
     return merge.canonical(merge.tile_process(rasters.li3d(spark, sf), _solid_fn, meta), meta)
 
 
