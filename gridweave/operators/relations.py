@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,7 +21,11 @@ def label_relations(a: DataFrame, b: DataFrame, axes: Sequence[str], denominator
     Equal overlaps go to the least b. The fraction is of the voxels of a that
     lie in any b (``matched``) or of all its voxels (``total``).
     """
-    counts = overlap_counts(a, b, axes, label)
+    return best_matches(overlap_counts(a, b, axes, label), a if denominator == "total" else None, denominator, label)
+
+
+def best_matches(counts: DataFrame, a: DataFrame | None = None, denominator: str = "matched", label: str = "label") -> DataFrame:
+    """``label_relations`` from counted overlaps (a_id, b_id, n); ``a`` holds the voxels of a for the denominator ``total``."""
     best = counts.groupBy("a_id").agg(F.max_by(F.struct("b_id", "n"), F.struct("n", -F.col("b_id"))).alias("m"), F.sum("n").alias("all"))
     if denominator == "total":
         size = a.filter(F.col(label) > 0).groupBy(F.col(label).cast("bigint").alias("a_id")).agg(F.count("*").alias("size"))
@@ -64,9 +68,3 @@ def region_props(labels: DataFrame, image: DataFrame, axes: Sequence[str], label
         F.count("*").alias("area"), F.sum("_v").cast("bigint").alias("total"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"),
         *(F.avg(a).alias(f"{a}_mean") for a in axes), *(F.min(a).alias(f"{a}_min") for a in axes), *(F.max(a).alias(f"{a}_max") for a in axes),
     )
-
-
-def best_match_window(counts: DataFrame) -> DataFrame:
-    """The same best match by ranking; for engines of the same plan that need all ranks."""
-    w = Window.partitionBy("a_id").orderBy(F.desc("n"), "b_id")
-    return counts.withColumn("rank", F.row_number().over(w))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import planner
 from ..meta import ImageMeta
-from ..operators import grid, kernels, merge, occupancy, pyramid, relations, staged
+from ..operators import dense, grid, kernels, merge, occupancy, pyramid, relations, staged
 from ..runtime import materialize, shared_dir, table
 from ..sources import files, sinks
 from . import rasters
@@ -415,7 +415,9 @@ def _ab(spark, sf):
 
 def _rel(spark, sf):
     a, b = _ab(spark, sf)
-    return a, b, relations.label_relations(a, b, "zyx")
+    meta = rasters.meta3d(spark, sf)
+    counts = dense.overlap_counts(dense.to_chunks(a, meta, "int64", "label"), dense.to_chunks(b, meta, "int64", "label"), meta)
+    return a, b, relations.best_matches(counts)
 
 
 @query(f"WITH {_REL} SELECT * FROM rel")
@@ -495,7 +497,8 @@ WHERE y + dy >= 0 AND y + dy < sy AND x + dx >= 0 AND x + dx < sx GROUP BY 1, 2"
 )
 def grow_labels(spark, sf):
     rows = rasters.emb2d(spark, sf).filter(F.col("value") > FOREGROUND).select("y", "x", F.col("value").cast("bigint").alias("label"))
-    return pyramid.grow(rows, ["y", "x"], rasters.meta2d(spark, sf).shape)
+    meta = rasters.meta2d(spark, sf)
+    return dense.to_voxels(dense.grow(dense.to_chunks(rows, meta, "int64", "label"), meta), meta, "int64", "label")
 
 
 def _sql_smooth(name: str, sigma: float) -> str:
@@ -510,7 +513,9 @@ def _sql_smooth(name: str, sigma: float) -> str:
 
 @query(f"WITH {SQL_2D}, {SQL_GRID_2D}, e0 AS (SELECT y, x, CAST(value AS DOUBLE) AS v FROM e), {_sql_smooth('lo', 1.0)}, {_sql_smooth('hi', 3.0)} SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(lo.v - hi.v, 5) + 0.0 AS response FROM lo JOIN hi USING (y, x)")
 def dog_response(spark, sf):
-    out = pyramid.dog(rasters.emb2d(spark, sf), ["y", "x"], rasters.meta2d(spark, sf).shape, 1.0, 3.0)
+    meta = rasters.meta2d(spark, sf)
+    chunks = dense.dog(dense.to_chunks(rasters.emb2d(spark, sf), meta, "int32"), meta, 1.0, 3.0, "int32")
+    out = dense.to_voxels(chunks, meta, "float64", "response", zeros=True)
     return out.select("y", "x", (F.round("response", 5) + F.lit(0.0)).alias("response"))
 
 

@@ -109,6 +109,13 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in fs.listStatus(p)]
 
 
+def glob_names(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file matches a path pattern."""
+    fs, p = _fs(spark, pattern)
+    found = fs.globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def put_text(spark: SparkSession, path: str, text: str, rename: bool = True) -> None:
     """Write a small text file under another name and put it in place by one atomic rename, over an older one.
 
