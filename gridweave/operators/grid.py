@@ -81,11 +81,3 @@ def centred_window(voxels: DataFrame, meta: ImageMeta, window: Sequence[int]) ->
         start = F.greatest(lo, F.least(lo + F.floor((hi - lo - w) / 2), hi - w))
         voxels = voxels.filter((F.col(a) >= start) & (F.col(a) < F.least(start + w, hi)))
     return voxels
-
-
-def decimate(voxels: DataFrame, axes: Sequence[str], steps: Sequence[int]) -> DataFrame:
-    """Keep every ``step``-th coordinate and renumber; narrow."""
-    for a, k in zip(axes, steps):
-        if k > 1:
-            voxels = voxels.filter(F.col(a) % k == 0).withColumn(a, div(F.col(a), k))
-    return voxels

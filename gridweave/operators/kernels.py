@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Callable
 from functools import partial
 
@@ -167,19 +166,50 @@ def retry_on_oom(call: Callable, retries: int = 4, backoff: float = 30.0, on_rel
             (sleep or time.sleep)(backoff * (attempt + 1))
 
 
-def model_fn(load: Callable, key: str, predict: str = "__call__", **kwargs) -> Callable:
-    """A tile function backed by a model that each worker process loads once."""
-    return partial(_predict, load, key, predict, kwargs)
+def channel_label(tile: np.ndarray, threshold: float = 0.0, channel_axis: int = 0) -> np.ndarray:
+    """Components of face neighbours where the channels of a tile add up to more than a threshold."""
+    return connected_components(tile.sum(axis=channel_axis) > threshold)
+
+
+def model_fn(load: Callable, key: str, predict: str = "__call__", do_3d: bool = True, channel_axis: int | None = None, retries: int = 0, backoff: float = 30.0, **kwargs) -> Callable:
+    """A tile function backed by a model that each worker process loads once per ``key``.
+
+    ``predict`` names the model's method; what it returns first, if it returns
+    several things, are the labels. Without ``do_3d`` a tile must have one
+    plane along z. When memory runs out the model is let go and loaded again
+    before up to ``retries`` further tries.
+    """
+    return partial(_predict, load, key, predict, do_3d, channel_axis, retries, backoff, kwargs)
 
 
 _MODELS: dict[str, object] = {}
 
 
-def _predict(load: Callable, key: str, predict: str, kwargs: dict, tile: np.ndarray) -> np.ndarray:
-    if key not in _MODELS:
-        _MODELS[key] = load()
-    return np.asarray(getattr(_MODELS[key], predict)(tile, **kwargs))
+def drop_models() -> None:
+    """Let go of the models of this process and of what they hold."""
+    import gc
+
+    _MODELS.clear()
+    gc.collect()
+
+
+def _predict(load: Callable, key: str, predict: str, do_3d: bool, channel_axis: int | None, retries: int, backoff: float, kwargs: dict, tile: np.ndarray) -> np.ndarray:
+    spatial = [n for i, n in enumerate(tile.shape) if i != channel_axis]
+    flat = not do_3d and len(spatial) == 3
+    if flat and spatial[0] > 1:
+        raise ValueError(f"a tile has {spatial[0]} planes; give tiles of one plane, or do_3d")
+    if flat:  # the model sees a plane
+        z = 1 if channel_axis == 0 else 0
+        tile = tile.squeeze(z)
+        if channel_axis is not None and channel_axis > z:
+            channel_axis -= 1
+    more = kwargs | ({"channel_axis": channel_axis} if channel_axis is not None else {})
 
+    def call():
+        if key not in _MODELS:
+            _MODELS[key] = load()
+        return getattr(_MODELS[key], predict)(tile, **more)
 
-def voxel_count(shape: tuple[int, ...]) -> int:
-    return math.prod(shape)
+    out = retry_on_oom(call, retries, backoff, drop_models)
+    labels = np.asarray(out[0] if isinstance(out, tuple) else out)
+    return labels[None] if flat else labels

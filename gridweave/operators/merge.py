@@ -170,6 +170,11 @@ def lookup_table(pairs: DataFrame, max_label: int | None = None) -> DataFrame:
     return components(pairs)
 
 
+def remap_count(lut: DataFrame) -> DataFrame:
+    """One row ``n_remapped``: the ids that a lookup table gives another label."""
+    return lut.agg(F.count_if(F.col("old") != F.col("rep")).alias("n_remapped"))
+
+
 def relabel(labels: DataFrame, lut: DataFrame, label: str = "label", new: str = "rep") -> DataFrame:
     """Labels replaced through the table; those it does not hold stay. The table is broadcast if it is small."""
     table = small(lut.select(F.col("old").alias("_old"), F.col(new).alias("_new")))

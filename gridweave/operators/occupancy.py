@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..meta import ImageMeta
-from ..planner import sampling_windows
+from ..planner import sampling_windows, tile_box
+from ..runtime import materialize, small
 from . import grid
 
-#: Bins of a histogram; whole values within so wide a range have a bin each.
-MAX_BINS = 1 << 16
+#: Tiles whose windows give the threshold of a sampled map, the first ones in tile order.
+SAMPLED_TILES = 500
 
 
 def block_max(voxels: DataFrame, axes: Sequence[str], block: Sequence[int], value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
@@ -40,8 +41,33 @@ def tile_occupancy(bricks: DataFrame, meta: ImageMeta, block: Sequence[int], thr
     return out.groupBy(where.alias("tile_id")).agg(F.max("vmax").alias("vmax")).withColumn("occupied", F.col("vmax") > threshold)
 
 
-def sampled_occupancy(voxels: DataFrame, meta: ImageMeta, window: Sequence[int] = (24, 256, 256), threshold: float = 0.0, value: str = "value") -> DataFrame:
-    """tile_id, vmax, occupied from a window centred in each tile; tiles without a voxel in it are missing."""
+def window_box(meta: ImageMeta, tile: int, window: Sequence[int]) -> list[tuple[int, int]]:
+    """The window of a tile as ``grid.centred_window`` cuts it, as half-open ranges."""
+    sizes = list(window)[-len(meta.axes) :] if len(window) >= len(meta.axes) else [*meta.tile[: len(meta.axes) - len(window)], *window]
+    out = []
+    for (lo, hi), t, w in zip(tile_box(meta.shape, meta.tile, tile), meta.tile, sizes):
+        start = max(lo, min(lo + (hi - lo - min(w, t)) // 2, hi - min(w, t)))
+        out.append((start, min(start + min(w, t), hi)))
+    return out
+
+
+def sampled_threshold(voxels: DataFrame, meta: ImageMeta, window: Sequence[int] = (24, 256, 256), value: str = "value", most: int = SAMPLED_TILES) -> DataFrame:
+    """Otsu's threshold of the windows of the first ``most`` tiles; absent voxels of a window count as zeros."""
+    n = min(most, meta.n_tiles)
+    volume = sum(prod(y - x for x, y in window_box(meta, t, window)) for t in range(n))
+    rows = grid.assign_tiles(grid.centred_window(voxels, meta, window), meta).filter(F.col("tile_id") < n).select(value, F.lit(1).cast("bigint").alias("_n"))
+    zero = F.lit(0).cast(voxels.schema[value].dataType)
+    absent = rows.agg((F.lit(volume).cast("bigint") - F.count("*")).alias("_n")).filter("_n > 0").select(zero.alias(value), "_n")
+    return otsu(histogram(rows.unionByName(absent), value, count="_n"))
+
+
+def sampled_occupancy(voxels: DataFrame, meta: ImageMeta, window: Sequence[int] = (24, 256, 256), threshold: float | None = 0.0, value: str = "value") -> DataFrame:
+    """tile_id, vmax, occupied from a window centred in each tile; tiles without a voxel in it are missing.
+
+    Without a threshold, that of ``sampled_threshold`` is taken.
+    """
+    if threshold is None:
+        threshold = sampled_threshold(voxels, meta, window, value).first()["threshold"]
     rows = grid.assign_tiles(grid.centred_window(voxels, meta, window), meta)
     return rows.groupBy("tile_id").agg(F.max(value).alias("vmax")).withColumn("occupied", F.col("vmax") > threshold)
 
@@ -53,19 +79,19 @@ def occupancy_summary(occupied: DataFrame, n_tiles: int, threshold: float) -> Da
     return occupied.agg(F.lit(float(threshold)).alias("threshold"), F.lit(n_tiles).cast("bigint").alias("n_tiles"), n.alias("n_occupied"), empty.cast("double").alias("empty_fraction"))
 
 
-def histogram(voxels: DataFrame, value: str = "value", bins: int = MAX_BINS, count: str | None = None) -> DataFrame:
-    """v, n of each different value, or of ``bins`` equal bins (v is the middle) where whole values would need more.
+def histogram(voxels: DataFrame, value: str = "value", bins: int | None = None, count: str | None = None) -> DataFrame:
+    """v, n of each different value, or with ``bins`` of so many equal bins (v is the middle).
 
     Nulls and values that are not finite are left out. A row stands for as many
-    voxels as its column ``count`` says, else for one. The bins are bounded
-    whatever the image holds, so what follows may sort them in one task.
+    voxels as its column ``count`` says, else for one. Counted per task first.
     """
     rows = voxels.select(F.col(value).alias("v"), (F.col(count) if count else F.lit(1)).cast("bigint").alias("n")).filter(F.col("v").isNotNull())
-    whole = not isinstance(voxels.schema[value].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
-    if not whole:
+    if isinstance(voxels.schema[value].dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
         rows = rows.select(F.col("v").cast("double").alias("v"), "n").filter((F.col("v") > float("-inf")) & (F.col("v") < float("inf")))
+    if bins is None:
+        return rows.groupBy("v").agg(F.sum("n").alias("n"))
     lo, hi = rows.agg(F.min("v"), F.max("v")).first()
-    if lo is None or lo == hi or (whole and hi - lo < bins):
+    if lo is None or lo == hi:
         return rows.groupBy("v").agg(F.sum("n").alias("n"))
     step = (float(hi) - float(lo)) / bins
     place = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(step)), F.lit(bins - 1))
@@ -73,16 +99,22 @@ def histogram(voxels: DataFrame, value: str = "value", bins: int = MAX_BINS, cou
 
 
 def otsu(bins: DataFrame) -> DataFrame:
-    """One row ``threshold``: the bin value with the greatest variance between the classes at or below and above it.
+    """One row ``threshold``: the value with the greatest variance between the classes at or below and above it.
 
-    ``bins`` is a histogram (v, n); the running sums pass over the bins, not
-    over voxels. Fewer than two bins give 0; of equal variances the least value wins.
+    ``bins`` is a histogram (v, n) of any length. Its running sums have two
+    levels: ranges of values in parallel, one row per range in one task. Fewer
+    than two values give 0; of equal variances the least value wins.
     """
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy()
-    run = bins.select(
-        F.col("v").cast("double").alias("v"), F.sum("n").over(up).cast("double").alias("w0"), F.sum(F.col("v") * F.col("n")).over(up).cast("double").alias("s0"),
-        F.sum("n").over(all_).cast("double").alias("w"), F.sum(F.col("v") * F.col("n")).over(all_).cast("double").alias("s"),
+    rows = bins.select(F.col("v").cast("double").alias("v"), "n").repartitionByRange("v")
+    rows = materialize(rows.withColumn("_p", F.spark_partition_id()), "histogram")
+    before, all_ = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    mass = F.col("v") * F.col("n")
+    base = rows.groupBy("_p").agg(F.sum("n").cast("double").alias("w"), F.sum(mass).cast("double").alias("s")).select(
+        "_p", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w_base"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s_base"), F.sum("w").over(all_).alias("w"), F.sum("s").over(all_).alias("s")
+    )
+    up = Window.partitionBy("_p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.join(small(materialize(base, "histogram-ranges")), "_p").select(
+        "v", (F.col("w_base") + F.sum("n").over(up)).alias("w0"), (F.col("s_base") + F.sum(mass).over(up)).alias("s0"), "w", "s"
     ).filter("w0 < w")
     var = F.expr("w0 * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2)")
     best = run.select("v", var.alias("var")).agg(F.max_by("v", F.struct("var", -F.col("v"))).alias("t"))

@@ -12,7 +12,14 @@ CANONICAL_AXES = "tczyx"
 
 
 def read_voxels(spark: SparkSession, path: str, level: int = 0, channel: int | None = None) -> DataFrame:
-    """Voxels of one pyramid level and channel of a stored dataset; both are partition columns and prune files."""
+    """Voxels of one pyramid level and channel of a stored dataset; both are partition columns and prune files.
+
+    A level that is not there is an error that names those that are.
+    """
+    from ..runtime import exists
+
+    if not exists(spark, f"{path}/voxels/level={level}"):
+        raise ValueError(f"level {level} is not in {path}; it has {multiscale_levels(spark, path)}")
     rows = spark.read.parquet(f"{path}/voxels").filter(F.col("level") == level).drop("level")
     return select_channel(rows, channel)
 
@@ -28,6 +35,19 @@ def select_channel(voxels: DataFrame, channel: int | None) -> DataFrame:
     return voxels.filter(F.col("c") == channel).drop("c")
 
 
+def leading_index(axes: Sequence[str], channel: int | None = 0) -> dict[str, int]:
+    """The point of each axis before the spatial ones: the first time, the chosen channel, 0 elsewhere."""
+    return {a: (channel or 0) if a == "c" else 0 for a in axes if a not in "zyx"}
+
+
+def select_leading(voxels: DataFrame, channel: int | None = 0) -> DataFrame:
+    """The spatial voxels at ``leading_index``; plain comparisons that reach the scan."""
+    point = leading_index([c for c in voxels.columns if c in CANONICAL_AXES], channel)
+    for a, v in point.items():
+        voxels = voxels.filter(F.col(a) == v)
+    return voxels.drop(*point)
+
+
 def channel_pair(voxels: DataFrame, axes: Sequence[str], first: int, second: int, value: str = "value") -> DataFrame:
     """Two channels side by side: the axes, v1, v2 (0 where a channel has no voxel)."""
     if first == second:
@@ -36,18 +56,19 @@ def channel_pair(voxels: DataFrame, axes: Sequence[str], first: int, second: int
     return voxels.filter(F.col("c").isin(first, second)).groupBy(*axes).agg(pick(first).alias("v1"), pick(second).alias("v2"))
 
 
-def sequence_axes(names: DataFrame, pattern: str, name: str = "name") -> DataFrame:
+def sequence_axes(names: DataFrame, pattern: str, name: str = "name", keep: Sequence[str] = ()) -> DataFrame:
     """Axis columns from file names, by the named groups of ``pattern``; names that do not match are left out.
 
     Axes come in the order t c z y x; an axis other than z, y and x with a
-    single value is dropped.
+    single value is dropped. The columns of ``keep`` stay; they are not read to
+    find the values of the axes.
     """
     groups = re.compile(pattern).groupindex
     if not groups or set(groups) - set(CANONICAL_AXES):
         raise ValueError("the pattern needs named groups, each one of t, c, z, y, x")
     java = re.sub(r"\(\?P<", "(?<", pattern)
     axes = [a for a in CANONICAL_AXES if a in groups]
-    rows = names.filter(F.col(name).rlike(java)).select(name, *(F.regexp_extract(name, java, groups[a]).cast("int").alias(a) for a in axes))
+    rows = names.filter(F.col(name).rlike(java)).select(name, *keep, *(F.regexp_extract(name, java, groups[a]).cast("int").alias(a) for a in axes))
     loose = [a for a in axes if a in "tc"]
     if loose:
         n = rows.agg(*(F.countDistinct(a).alias(a) for a in loose)).first()
@@ -60,7 +81,7 @@ def read_file_sequence(spark: SparkSession, path: str, pattern: str | None = Non
     if pattern is None and any(c in path for c in "*?["):
         raise ValueError("a glob needs sequence_pattern, a pattern with a named group per axis")
     rows = spark.read.format("binaryFile").load(path).select("path", "content")
-    return sequence_axes(rows, pattern, "path").join(rows, "path") if pattern else rows
+    return sequence_axes(rows, pattern, "path", ["content"]) if pattern else rows
 
 
 def ngff_attr(attributes: Column, key: str) -> Column:
@@ -88,7 +109,7 @@ def multiscale_levels(spark: SparkSession, path: str) -> list[int]:
 
 def label_names(spark: SparkSession, path: str) -> DataFrame:
     """The registered label images: name, n_objects, sequential."""
-    return spark.read.parquet(f"{path}/catalog").select("name", "n_objects", "sequential")
+    return spark.read.schema("n_objects bigint, sequential boolean, name string").parquet(f"{path}/catalog").select("name", "n_objects", "sequential")
 
 
 def read_labels(spark: SparkSession, path: str, name: str, level: int = 0) -> DataFrame:
@@ -101,6 +122,16 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """batch_id, tile_id, n of the batches that ended; none without the folder."""
+    from ..runtime import exists
+
+    ddl = "tile_id bigint, n bigint, batch_id bigint"
+    if not exists(spark, path):
+        return spark.createDataFrame([], ddl).select("batch_id", "tile_id", "n")
+    return spark.read.schema(ddl).json(path).select("batch_id", "tile_id", "n")
+
+
 def union_counts(markers: DataFrame) -> DataFrame:
     """tile_id, n of all batch markers (batch, counts map of tile to n); a redelivered batch counts once."""
     rows = markers.select("batch", F.explode("counts").alias("tile_id", "n"))
@@ -118,8 +149,8 @@ read_imaris = _missing("Imaris", "h5py")
 read_microscope = _missing("CZI, LIF and ND2", "bioio")
 
 
-def open_source(spark: SparkSession, source, pattern: str | None = None) -> DataFrame:
-    """Voxels or chunks from a DataFrame, a NumPy array, a dataset folder or a glob."""
+def open_source(spark: SparkSession, source, pattern: str | None = None, level: int = 0, channel: int | None = None) -> DataFrame:
+    """Voxels from a DataFrame, a NumPy array, a dataset folder, an OME-Zarr store or a glob of TIFF planes; files of another glob as they are."""
     import numpy as np
 
     if isinstance(source, DataFrame):
@@ -132,8 +163,16 @@ def open_source(spark: SparkSession, source, pattern: str | None = None) -> Data
     if text.endswith((".czi", ".lif", ".nd2")):
         return read_microscope(text)
     if pattern is not None or any(c in text for c in "*?["):
+        if pattern is not None and text.lower().endswith((".tif", ".tiff")):
+            from .tiff import read_tiff_sequence
+
+            return read_tiff_sequence(spark, text, pattern)
         return read_file_sequence(spark, text, pattern)
-    return read_voxels(spark, text)
+    if text.rstrip("/").endswith(".zarr"):
+        from .zarr import read_zarr
+
+        return read_zarr(spark, text, level, channel)
+    return select_channel(read_voxels(spark, text, level), channel)
 
 
 def from_array(spark: SparkSession, a, axes: str | None = None) -> DataFrame:

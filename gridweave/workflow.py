@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import warnings
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import planner
 from .meta import ImageMeta
-from .operators import grid, merge, occupancy, relations, staged
-from .runtime import materialize
-from .sources import sinks
+from .operators import dense, grid, merge, occupancy, relations, staged
+from .runtime import exists, materialize, remove, small
+from .sources import files, sinks
 
 
 def prepare(voxels: DataFrame, meta: ImageMeta, per_job: int = 8, skip_empty: bool = True, threshold: float | None = None) -> DataFrame:
@@ -20,7 +21,8 @@ def prepare(voxels: DataFrame, meta: ImageMeta, per_job: int = 8, skip_empty: bo
     The halo must be narrower than the tile. Without a threshold, Otsu's value
     of three sample windows decides which tiles are empty.
     """
-    planner.halo_amplification(meta.tile, meta.halo, meta.shape)
+    if planner.halo_amplification(meta.tile, meta.halo, meta.shape) > 3:
+        warnings.warn("the halo makes each tile more than three times as large; wider tiles are advisable", stacklevel=2)
     tiles = grid.tile_grid(voxels.sparkSession, meta).select("tile_id")
     if skip_empty:
         if threshold is None:
@@ -31,20 +33,130 @@ def prepare(voxels: DataFrame, meta: ImageMeta, per_job: int = 8, skip_empty: bo
     return staged.batches_of(tiles, per_job)
 
 
-def segment(voxels: DataFrame, fn: Callable, meta: ImageMeta, plan: DataFrame) -> DataFrame:
+def segment(voxels: DataFrame, fn: Callable, meta: ImageMeta, plan: DataFrame, **stage) -> DataFrame:
     """Staged labels of the planned tiles; the others are cut off before the function."""
-    return staged.stage_tiles(voxels, fn, meta, tiles=plan)
+    return staged.stage_tiles(voxels, fn, meta, tiles=plan, **stage)
 
 
-def run(voxels: DataFrame, config: dict, meta: ImageMeta, path: str, name: str, sequential_ids: bool = True, n_levels: int = 5) -> DataFrame:
-    """One segmentation from voxels to a registered label pyramid; returns the labels."""
+def segment_batches(voxels: DataFrame, fn: Callable, meta: ImageMeta, plan: DataFrame, base: str, wave: int = 64, **stage) -> int:
+    """Stage the batches of a plan that have no marker in ``base`` yet; returns how many ran.
+
+    ``wave`` batches are one Spark job, so the driver's loop is short and a
+    break-off costs one wave. Labels and counts are written one folder per
+    batch, through dynamic partition overwrite: doing a batch again replaces it.
+    """
+    spark = voxels.sparkSession
+    counts, rows = f"{base}/counts", f"{base}/staged"
+    known = files.read_counts(spark, counts).select("batch_id").distinct()
+    todo = sorted(r["batch_id"] for r in plan.select("batch_id").distinct().join(known, "batch_id", "left_anti").collect())
+    for i in range(0, len(todo), wave):
+        part = materialize(plan.filter(F.col("batch_id").isin(todo[i : i + wave])), "wave")
+        found = materialize(segment(voxels, fn, meta, part, **stage).join(small(part), "tile_id"), "wave-staged")
+        found.hint("rebalance", "batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("batch_id").parquet(rows)
+        sinks.write_counts(found, part, counts)
+    return len(todo)
+
+
+def merge_batches(spark: SparkSession, meta: ImageMeta, base: str, sequential_ids: bool = True) -> DataFrame:
+    """The merged labels of all batches in ``base``."""
+    ddl = ", ".join(["tile_id bigint", *(f"{a} int" for a in meta.axes), "local bigint", "batch_id bigint"])
+    if not exists(spark, f"{base}/staged"):
+        return spark.createDataFrame([], ", ".join([*(f"{a} int" for a in meta.axes), "label bigint"]))
+    rows = spark.read.schema(ddl).parquet(f"{base}/staged").drop("batch_id")
+    return merge.merge_labels(rows, meta, files.read_counts(spark, f"{base}/counts").select("tile_id", "n"), sequential_ids)
+
+
+def run(
+    voxels: DataFrame,
+    config: dict,
+    meta: ImageMeta,
+    path: str,
+    name: str,
+    sequential_ids: bool = True,
+    n_levels: int = 5,
+    skip_empty: bool = False,
+    threshold: float | None = None,
+    per_job: int = 8,
+    stage_dir: str | None = None,
+    keep_stage: bool = False,
+    **stage,
+) -> DataFrame:
+    """One segmentation from voxels to a registered label pyramid; returns the labels.
+
+    The plan, the staged batches and their markers lie in ``stage_dir`` (by
+    default beside the labels). A run that broke off goes on with its plan and
+    the batches that have no marker; they are removed at the end unless
+    ``keep_stage``.
+    """
+    spark = voxels.sparkSession
     fn = staged.build_fn(config, meta.scale or None)
-    labels = materialize(merge.tile_process(voxels, fn, meta, sequential_ids=sequential_ids), "labels")
-    n = labels.agg(F.countDistinct("label").alias("n")).first()["n"]
-    sinks.write_labels(labels, path, name, meta.axes, n_levels, n_objects=n, sequential=sequential_ids, overwrite=True)
+    base = (stage_dir or f"{path}/stage").rstrip("/") + f"/{name}"
+    if not exists(spark, f"{base}/plan/_SUCCESS"):
+        prepare(voxels, meta, per_job, skip_empty, threshold).write.mode("overwrite").parquet(f"{base}/plan")
+    plan = spark.read.schema("tile_id bigint, batch_id bigint").parquet(f"{base}/plan")
+    segment_batches(voxels, fn, meta, plan, base, **stage)
+    labels = materialize(merge_batches(spark, meta, base, sequential_ids), "labels")
+    n = merge.object_count(labels).first()["n_objects"]
+    sinks.write_labels(labels, path, name, meta.axes, n_levels, n_objects=n, sequential=sequential_ids, overwrite=True, meta=meta)
+    if not keep_stage:
+        remove(spark, base)
     return labels
 
 
+def convert(
+    spark: SparkSession,
+    source,
+    path: str,
+    pattern: str | None = None,
+    chunks: Sequence[int] | None = None,
+    dtype: str = "uint16",
+    scale: dict[str, float] | None = None,
+    unit: str = "micrometer",
+    n_levels: int = 5,
+    downscale: int = 2,
+    version: int = 2,
+    codec: str | None = "zstd",
+    shard: bool | Sequence[int] = False,
+    name: str | None = None,
+    overwrite: bool = False,
+):
+    """Any source as an OME-Zarr store with its pyramid and metadata.
+
+    A store keeps its pixel size; for a file sequence of TIFF planes it is that
+    of the first file that has one; ``scale`` goes before both.
+    """
+    from .sources import tiff, zarr
+
+    known: dict[str, float] = {}
+    text = source if isinstance(source, str) else ""
+    if text.rstrip("/").endswith(".zarr"):
+        known = zarr.image_meta(spark, text).scale
+    elif text.lower().endswith((".tif", ".tiff")) and pattern:
+        sizes = tiff.sequence_calibration(spark, text).groupBy("axis").agg(F.min_by("size_nm", "path").alias("nm")).collect()
+        known = {r["axis"]: r["nm"] / 1000 for r in sizes}
+    voxels = files.open_source(spark, source, pattern)
+    if not isinstance(source, DataFrame):
+        voxels = materialize(voxels, "source")
+    axes = tuple(a for a in files.CANONICAL_AXES if a in voxels.columns)
+    top = voxels.agg(*(F.max(a).alias(a) for a in axes)).first()
+    shape = tuple((top[a] if top[a] is not None else 0) + 1 for a in axes)
+    tile = tuple(min(c, s) for c, s in zip(chunks, shape)) if chunks else planner.default_chunks(shape, "".join(axes))
+    meta = ImageMeta(axes, shape, tile, (0,) * len(axes), {a: v for a, v in (known | (scale or {})).items() if a in axes}, unit)
+    return zarr.write_zarr(dense.to_chunks(voxels, meta, dtype), path, meta, dtype, n_levels, downscale, version, codec, shard, name, overwrite)
+
+
+def occupancy_job(spark: SparkSession, path: str, tile: Sequence[int], level: int = 0, overwrite: bool = False) -> str:
+    """The map of brick maxima of a stored image, with bricks that fit its tiles; returns where it lies."""
+    voxels = files.read_voxels(spark, path, level)
+    axes = [a for a in "zyx" if a in voxels.columns]
+    return sinks.build_occupancy(voxels, path, axes, planner.block_for_tile(tile), level, overwrite)
+
+
+def fetch_model(load: Callable) -> str:
+    """Load a model once on the driver, so that its files are there before the tasks want them; returns its type."""
+    return type(load()).__name__
+
+
 def run_many(voxels: DataFrame, configs: dict[str, dict], meta: ImageMeta, path: str, pairs: list[tuple[str, str]], common: dict | None = None) -> dict[tuple[str, str], tuple[DataFrame, DataFrame]]:
     """Several segmentations of one image and the relations between named pairs of them.
 
