@@ -47,6 +47,13 @@ def test_labels_catalog_and_layers(spark, tmp_path):
     assert sorted(tuple(r) for r in files.label_names(spark, path).collect()) == [("cells", 42, True), ("nuclei", None, False)]
     assert files.read_labels(spark, path, "cells", 1).count() == 16
     assert {(r["kind"], r["name"], r["level"]) for r in sinks.layers(spark, path).collect()} == {("image", "image", 0), ("labels", "cells", 0), ("labels", "cells", 1), ("labels", "nuclei", 0)}
+    # The pixel size of the image is that of its labels.
+    meta = ImageMeta(("y", "x"), (8, 8), (4, 4), 0, {"y": 0.5, "x": 0.25}, "nanometer")
+    sinks.write_metadata(spark, path, meta, 2)
+    sinks.write_labels(labels, path, "cells", ["y", "x"], 2, n_objects=42, sequential=True, overwrite=True, meta=ImageMeta(("y", "x"), (8, 8), (4, 4), 0, {"x": 3.0}))
+    assert sinks.read_scale(spark, path, "labels-cells.json") == ({"y": 0.5, "x": 3.0}, "nanometer")
+    with pytest.raises(ValueError, match="level 5"):
+        files.read_voxels(spark, path, 5)
     sql.register_views(spark, path)
     assert spark.sql("SELECT count(*) AS n FROM labels WHERE name = 'cells' AND level = 0").first()["n"] == 64
 
@@ -74,6 +81,43 @@ def test_manifest_and_markers(spark, tmp_path):
     assert {x["tile_id"]: x["n"] for x in files.union_counts(marks).collect()} == {0: 3, 2: 1, 3: 4}
 
 
+def test_batches_resume_where_markers_are_missing(spark, tmp_path):
+    from functools import partial
+
+    from gridweave.operators import kernels, merge
+
+    rng = np.random.default_rng(7)
+    a = (rng.random((12, 20)) > 0.6).astype(int)
+    meta = ImageMeta(("y", "x"), a.shape, (4, 5), 1)
+    rows, fn = files.from_array(spark, a, "yx"), partial(kernels.threshold_label, threshold=0, connectivity="face")
+    base = f"file://{tmp_path}/stage"
+    plan = workflow.prepare(rows, meta, per_job=3, skip_empty=False).cache()
+    assert workflow.segment_batches(rows, fn, meta, plan.filter("batch_id = 1"), base) == 1
+    assert workflow.segment_batches(rows, fn, meta, plan, base, wave=2) == 3
+    assert workflow.segment_batches(rows, fn, meta, plan, base) == 0
+    counts = {r["tile_id"]: r["n"] for r in files.read_counts(spark, f"{base}/counts").collect()}
+    assert set(counts) == set(range(12))
+    got = workflow.merge_batches(spark, meta, base).toPandas()
+    want = merge.tile_process(rows, fn, meta, sequential_ids=True).toPandas()
+    key = ["y", "x"]
+    assert got.sort_values(key).label.tolist() == want.sort_values(key).label.tolist()
+    assert workflow.merge_batches(spark, meta, f"file://{tmp_path}/none").count() == 0
+
+
+def test_stages_and_leading_axes(spark, tmp_path):
+    meta = ImageMeta(("y", "x"), (8, 8), (4, 4))
+    sinks.create_stage(spark, f"file://{tmp_path}/s", meta)
+    assert spark.read.parquet(f"file://{tmp_path}/s/staged").columns == ["tile_id", "y", "x", "local"]
+    with pytest.raises(FileExistsError):
+        sinks.create_stage(spark, f"file://{tmp_path}/s", meta)
+    assert files.leading_index("tczyx", 3) == {"t": 0, "c": 3} and files.leading_index("yx") == {}
+    rows = files.from_array(spark, np.arange(1, 17).reshape(2, 2, 2, 2), "tcyx")
+    assert sorted(r["value"] for r in files.select_leading(rows, 1).collect()) == [5, 6, 7, 8]
+    assert workflow.fetch_model(dict) == "dict"
+    sinks.write_image(rows.filter("t = 0").drop("t", "c").dropDuplicates(["y", "x"]), f"file://{tmp_path}/i", ["y", "x"], 1)
+    assert spark.read.parquet(workflow.occupancy_job(spark, f"file://{tmp_path}/i", (8, 8))).count() == 1
+
+
 def test_file_sequence(spark, tmp_path):
     names = spark.createDataFrame([(f"sample_Z{z}_C{c}_T0.tif",) for z in range(3) for c in range(2)] + [("notes.txt",), (None,)], "name string")
     rows = files.sequence_axes(names, r"_Z(?P<z>\d+)_C(?P<c>\d+)_T(?P<t>\d+)")
@@ -153,6 +197,8 @@ def test_whole_runs_and_relations(spark, tmp_path):
     assert workflow.segment(rows, fn, meta, plan.filter("batch_id = 1")).select("tile_id").distinct().count() == 1
     path = f"file://{tmp_path}/store"
     configs = {"all": {"settings": {"threshold": 0}}, "bright": {"settings": {"threshold": 100}}}
+    workflow.run(rows, {"method": "threshold", "settings": {"threshold": 0}}, meta, path, "kept", keep_stage=True, skip_empty=True, threshold=0)
+    assert files.read_counts(spark, f"{path}/stage/kept/counts").count() == 2
     out = workflow.run_many(rows, configs, meta, path, [("all", "bright")], {"method": "threshold"})
     per_a, per_b = out["all", "bright"]
     assert sorted((r["a_id"], r["match"], r["overlap_voxels"]) for r in per_a.collect()) == [(1, None, 0), (2, 1, 128)]

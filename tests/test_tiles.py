@@ -3,6 +3,7 @@
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
@@ -49,9 +50,9 @@ def test_tile_and_merge_is_whole_image_labelling(spark, seed, ndim, tile, halo,
 
 
 def test_block_across_a_border_is_one_object(spark):
-    a = np.zeros((1, 16, 32), int)
-    a[0, 4:12, 8:24] = 500
-    assert set(np.unique(run(spark, a, (1, 16, 16), 4, sequential_ids=True))) == {0, 1}
+    a = np.zeros((2, 20, 45), int)
+    a[1, 3:19, 11:34] = 70
+    assert set(np.unique(run(spark, a, (1, 10, 15), 3, sequential_ids=True))) == {0, 1}
 
 
 def test_sequential_ids_have_no_gap(spark):
@@ -76,9 +77,11 @@ def test_transitive_and_separate_labels(spark):
 
 
 def test_halo_width_does_not_change_the_result(spark):
-    a = np.zeros((4, 16, 32), int)
-    a[1:3, 4:12, 8:24] = 9
-    assert (run(spark, a, (4, 16, 16), 6) == run(spark, a, (4, 16, 16), [0, 6, 6])).all()
+    rng = np.random.default_rng(6)
+    a = (rng.random((3, 14, 18)) > 0.6).astype(int)
+    first = run(spark, a, (3, 7, 6))
+    for halo in (5, [0, 2, 4]):
+        same_partition(run(spark, a, (3, 7, 6), halo), first)
 
 
 def test_nulls_outside_and_repeats(spark):
@@ -109,6 +112,39 @@ def test_empty_tiles_do_not_run(spark):
 
     staged.stage_tiles(files.from_array(spark, a, "zyx"), counted, meta, empty_threshold=100).count()
     assert calls.value == 2
+    # A bright voxel in the halo alone makes a tile run, unless its core is asked for.
+    b = np.zeros((8, 8), int)
+    b[:4, :4], b[3, 4] = 5, 1000
+    meta = ImageMeta(("y", "x"), b.shape, (4, 4), 1)
+    for scope, tiles in (("haloed", {0, 1}), ("core", {1})):
+        rows = staged.stage_tiles(files.from_array(spark, b, "yx"), fn, meta, empty_threshold=100, empty_scope=scope)
+        assert {r["tile_id"] for r in rows.collect()} == tiles
+
+
+def test_functions_of_all_channels(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 3, (3, 12, 15))
+    meta = ImageMeta(("y", "x"), a.shape[1:], (5, 6), 2)
+    rows = files.from_array(spark, a, "cyx")
+    want = kernels.connected_components(a.sum(0) > 3)
+    for axis in (0, 2):
+        f = partial(kernels.channel_label, threshold=3, channel_axis=axis)
+        got = dense(merge.tile_process(rows, f, meta, channels=3, channel_axis=axis), want.shape)
+        same_partition(got, want)
+
+
+def test_one_tile_at_a_time(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    a = (rng.random((9, 11)) > 0.5).astype(int)
+    meta = ImageMeta(("y", "x"), a.shape, (4, 5), 1)
+    rows = files.from_array(spark, a, "yx")
+    want = {r["tile_id"]: r["n"] for r in merge.tile_counts(staged.stage_tiles(rows, fn, meta)).collect()}
+    path = f"file://{tmp_path}/stage"
+    for _ in range(2):
+        assert {t: staged.stage_tile(rows, fn, meta, t, path) for t in (0, 4, 8)} == {t: want.get(t, 0) for t in (0, 4, 8)}
+    assert spark.read.parquet(path).groupBy("tile_id").agg(F.max("local").alias("n")).count() == 3
+    with pytest.raises(ValueError):
+        staged.stage_tile(rows, fn, meta, 9, path)
 
 
 def test_offsets_and_sequential_ranks_across_ranges(spark):
@@ -160,7 +196,28 @@ def test_histograms_are_bounded(spark):
     assert bins.count() == 100 and bins.agg(F.sum("n")).first()[0] == 5000
     assert abs(occupancy.otsu(bins).first()["threshold"] - 1250) < 30
     wide = spark.createDataFrame([(0,), (1,), (10**9,)], "value bigint")
-    assert occupancy.histogram(wide).count() == 2
+    assert occupancy.histogram(wide, bins=100).count() == 2
+
+
+def test_otsu_is_exact_over_any_range(spark):
+    rng = np.random.default_rng(2)
+    for v in (np.concatenate([rng.integers(0, 10**9, 400), rng.integers(5 * 10**12, 6 * 10**12, 300)]), np.concatenate([rng.normal(0, 1, 500), rng.normal(9, 0.1, 80)])):
+        df = spark.createDataFrame(pd.DataFrame({"value": v})).repartition(3)
+        assert occupancy.histogram(df).count() == len(np.unique(v))
+        assert occupancy.otsu(occupancy.histogram(df)).first()["threshold"] == kernels.otsu(v)
+
+
+def test_sampled_threshold_is_that_of_the_windows(spark):
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 300, (6, 30, 40)) * (rng.random((6, 30, 40)) > 0.7)
+    meta = ImageMeta(("z", "y", "x"), a.shape, (4, 16, 16))
+    rows = files.from_array(spark, a, "zyx")
+    for most in (500, 5):
+        parts = [a[tuple(slice(lo, hi) for lo, hi in occupancy.window_box(meta, t, (2, 6, 6)))].ravel() for t in range(min(most, meta.n_tiles))]
+        assert occupancy.sampled_threshold(rows, meta, (2, 6, 6), most=most).first()["threshold"] == kernels.otsu(np.concatenate(parts))
+    t = occupancy.sampled_threshold(rows, meta, (2, 6, 6)).first()["threshold"]
+    got = {r["tile_id"]: r["occupied"] for r in occupancy.sampled_occupancy(rows, meta, (2, 6, 6), None).collect()}
+    assert got == {r["tile_id"]: r["vmax"] > t for r in occupancy.sampled_occupancy(rows, meta, (2, 6, 6), None).collect()}
 
 
 @pytest.mark.parametrize("kind", [int, float])
@@ -179,21 +236,22 @@ def test_prepare_keeps_tiles_of_dim_objects_on_a_sparse_image(spark, kind):
 
 
 def test_relations_majority_ties_and_totals(spark):
-    a = np.zeros((4, 10), int)
-    b = np.zeros((4, 10), int)
-    a[0:2, 0:2], a[0:2, 4:8] = 1, 2
-    b[0:3, 0:3], b[0:2, 4:6], b[0:2, 6:8] = 10, 20, 21
-    b[0:2, 6:7] = 20
+    a = np.zeros((6, 12), int)
+    b = np.zeros((6, 12), int)
+    a[:2, :6], a[3:, 2:8], a[:3, 9:] = 7, 4, 90
+    b[:, 1:3], b[0:2, 3:5], b[3:5, 4:7] = 31, 30, 32
     df = [files.from_array(spark, m, "yx").withColumnRenamed("value", "label") for m in (a, b)]
     got = {r["a_id"]: (r["match"], r["overlap_voxels"], r["overlap_fraction"]) for r in relations.label_relations(*df, ["y", "x"]).collect()}
-    assert got == {1: (10, 4, 1.0), 2: (20, 6, 0.75)}
-    b[0:2, 6:7] = 21
-    df[1] = files.from_array(spark, b, "yx").withColumnRenamed("value", "label")
-    assert {r["a_id"]: r["match"] for r in relations.label_relations(*df, ["y", "x"]).collect()}[2] == 20
-    rel = relations.label_relations(df[0], df[1].filter("label = 10"), ["y", "x"])
-    assert relations.unmatched(relations.label_ids(df[0]), rel).collect()[0]["a_id"] == 2
-    per_a = {r["a_id"]: r["overlap_voxels"] for r in relations.relations_per_a(relations.label_ids(df[0], n_objects=2), rel).collect()}
-    assert per_a == {1: 4, 2: 0}
+    # 7 lies four times in 30 and in 31 each: the lesser one; 4 three times in 31, six times in 32; 90 in none.
+    assert got == {7: (30, 4, 0.5), 4: (32, 6, 6 / 9)}
+    total = {r["a_id"]: r["overlap_fraction"] for r in relations.label_relations(*df, ["y", "x"], denominator="total").collect()}
+    assert total == {7: 4 / 12, 4: 6 / 18}
+    rel = relations.label_relations(*df, ["y", "x"])
+    assert [r["a_id"] for r in relations.unmatched(relations.label_ids(df[0]), rel).collect()] == [90]
+    per_a = {r["a_id"]: r["overlap_voxels"] for r in relations.relations_per_a(relations.label_ids(df[0]), rel).collect()}
+    assert per_a == {7: 4, 4: 6, 90: 0}
+    per_b = {r["b_id"]: (r["n_a"], r["overlap_voxels"]) for r in relations.relations_per_b(relations.label_ids(df[1]), rel).collect()}
+    assert per_b == {30: (1, 4), 31: (0, 0), 32: (1, 6)}
     assert relations.label_relations(df[0], df[1].limit(0), ["y", "x"]).count() == 0
 
 
@@ -250,6 +308,10 @@ def test_configs_report_all_problems():
     bad = staged.validate_config({"method": "threshold", "settings": {"nope": 1}, "dilate": -1, "other": 0})
     assert len(bad) == 3
     assert staged.validate_config({"method": "magic"}) and staged.validate_config({"method": "custom", "settings": {}})
+    custom = lambda **k: staged.validate_config({"method": "custom", "settings": k})
+    assert "imported" in custom(module="no.such.module")[0] and "no function" in custom(module="gridweave.operators.kernels", function="nope")[0]
+    assert "no keyword 'sigma'" in custom(module="gridweave.operators.kernels", function="dog_label", kwargs={"sigma": 1})[0]
+    assert custom(module="gridweave.operators.kernels", function="dog_label", kwargs={"low_sigma": 1}) == []
     f = staged.build_fn({"method": "threshold", "settings": {"threshold": 3}, "dilate": 1})
     assert f(np.pad([[9]], 2)).sum() == 9
 
@@ -273,3 +335,64 @@ def test_chunk_tables_give_the_labels_of_voxel_tables(spark):
         assert sorted(tuple(r) for r in dense_tables.stage_chunks(chunks, fn, meta).collect()) == want
     assert dense_tables.stage_chunks(chunks, fn, meta, empty_threshold=99).count() == 0
     assert dense_tables.stage_chunks(chunks.limit(0), fn, meta).count() == 0
+
+
+def test_models_are_loaded_once_and_again_after_memory_ran_out():
+    loads = []
+
+    class Model:
+        def __init__(self):
+            loads.append(1)
+
+        def eval(self, tile, scale=1, channel_axis=None):
+            if len(loads) == 1 and tile.max() == 9:
+                raise MemoryError
+            assert tile.ndim == 2 + (channel_axis is not None)
+            return (tile if channel_axis is None else tile.max(channel_axis)) * scale, "styles"
+
+    f = kernels.model_fn(Model, "m", "eval", do_3d=False, retries=1, backoff=0, scale=2)
+    assert (f(np.full((1, 3, 3), 4)) == 8).all() and f(np.ones((1, 3, 3))).shape == (1, 3, 3) and loads == [1]
+    assert (f(np.full((1, 3, 3), 9)) == 18).all() and loads == [1, 1]
+    with pytest.raises(ValueError, match="planes"):
+        f(np.ones((2, 3, 3)))
+    g = kernels.model_fn(Model, "m", "eval", do_3d=False, channel_axis=0)
+    assert g(np.ones((2, 1, 3, 3))).shape == (1, 3, 3)
+    kernels.drop_models()
+
+
+def test_remapped_ids_are_counted(spark):
+    lut = merge.lookup_table(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "lo bigint, hi bigint"))
+    assert merge.remap_count(lut).first()["n_remapped"] == 3
+    assert merge.remap_count(merge.lookup_table(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "lo bigint, hi bigint"), max_label=3)).first()["n_remapped"] == 2
+
+
+@pytest.mark.parametrize("shape, tile, halo", [((5, 13, 17), (2, 6, 8), (1, 2, 2)), ((1, 20, 9), (1, 7, 4), 2)])
+def test_chunk_forms_agree_with_whole_images(spark, shape, tile, halo):
+    from gridweave.operators import dense as d
+
+    rng = np.random.default_rng(12)
+    a = rng.integers(1, 9, shape) * (rng.random(shape) > 0.5)
+    b = rng.integers(1, 5, shape) * (rng.random(shape) > 0.3)
+    meta = ImageMeta(("z", "y", "x"), shape, tile, halo)
+    ca, cb = (d.to_chunks(files.from_array(spark, m, "zyx"), meta, "int64") for m in (a, b))
+    whole = lambda chunks, m=meta, t="int64": dense(d.to_voxels(chunks, m, t), m.shape, "value")
+    same_partition(whole(d.tile_process(ca, fn, meta, "int64")), kernels.connected_components(a > 0))
+    ids = np.unique(whole(d.tile_process(ca, fn, meta, "int64", sequential_ids=True)))
+    assert list(ids) == list(range(len(ids)))
+    n = {(r["a_id"], r["b_id"]): r["n"] for r in d.overlap_counts(ca, cb, meta).collect()}
+    both = (a > 0) & (b > 0)
+    pairs, c = np.unique(np.stack([a[both], b[both]], 1), axis=0, return_counts=True)
+    assert n == {tuple(p): k for p, k in zip(pairs.tolist(), c.tolist())}
+    bricks = {(r["bz"], r["by"], r["bx"]): r["vmax"] for r in d.block_max(ca, meta, (2, 5, 3), "int64").collect()}
+    want = {(r["bz"], r["by"], r["bx"]): r["vmax"] for r in occupancy.block_max(files.from_array(spark, a, "zyx"), "zyx", (2, 5, 3)).collect()}
+    assert bricks == want
+    assert (whole(d.grow(ca, meta, 2)) == kernels.dilate(a, 2)).all()
+    levels = d.pyramid(ca, meta, "int64", 3)
+    for i in range(3):
+        m = d.level_meta(meta, i)
+        assert (whole(levels.filter(F.col("level") == i), m) == a[:, :: 2**i, :: 2**i]).all()
+    got = np.zeros(shape)
+    for r in d.to_voxels(d.dog(ca, meta, 0.5, 1.0, "int64"), meta, "float64").collect():
+        got[r["z"], r["y"], r["x"]] = r["value"]
+    assert np.allclose(got, kernels.gaussian(a.astype(float), 0.5) - kernels.gaussian(a.astype(float), 1.0))
+    assert d.tile_process(ca.limit(0), fn, meta, "int64").count() == 0
