@@ -97,4 +97,32 @@ s AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
 m AS (SELECT doc_id, k, max(k + 239) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM g JOIN s USING (h))
 SELECT doc_id, CAST(sum(least(240, k + 239 - coalesce(upto, 0))) AS BIGINT) AS shared_chars FROM m GROUP BY doc_id
 """,
+    "p9_copies": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep_id, length(text) AS n_chars FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL",
 }
+
+# Where each boundary of a text lies: a mark after every match, and the summed lengths of the parts before the marks. The white space is that of Unicode.
+_SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_MARKS = (
+    (r"\n(diff --git |@@ |#{1,6} |={3,}|-{3,})", r"chr(10) || chr(57344) || '\1'"),
+    (r"(\r?\n[ \t]*\r?\n)", r"'\1' || chr(57344)"),
+    (rf"([.!?。！？]+[\"'')\]]*{_SPACE}+|\r?\n)", r"'\1' || chr(57344)"),
+    (rf"({_SPACE}+)", r"'\1' || chr(57344)"),
+)
+
+
+def _ends(pattern: str, to: str) -> str:
+    parts = f"list_transform(string_split(regexp_replace(text, '{pattern}', {to}, 'g'), chr(57344)), lambda x: length(x))"
+    return f"list_transform(range(1, len({parts}) + 1), lambda i: CAST(list_sum(({parts})[1:i]) AS BIGINT))"
+
+
+SQL["p4_text_pieces"] = f"""WITH RECURSIVE d AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n FROM documents WHERE text <> ''),
+b AS ({" UNION ALL ".join(f"SELECT doc_id, {k} AS level, unnest({_ends(p, t)}) AS pos FROM d WHERE n > 1024" for k, (p, t) in enumerate(_MARKS))}),
+l AS (SELECT doc_id, level, list(pos) AS pos FROM b GROUP BY 1, 2), m AS (SELECT d.*, a.pos AS s0, b.pos AS s1, c.pos AS s2, e.pos AS s3 FROM d LEFT JOIN l a ON a.doc_id = d.doc_id AND a.level = 0
+  LEFT JOIN l b ON b.doc_id = d.doc_id AND b.level = 1 LEFT JOIN l c ON c.doc_id = d.doc_id AND c.level = 2 LEFT JOIN l e ON e.doc_id = d.doc_id AND e.level = 3),
+p AS (
+  SELECT doc_id, CAST(0 AS INTEGER) AS no, CAST(0 AS BIGINT) AS a, CAST(64 AS BIGINT) AS e FROM m
+  UNION ALL
+  SELECT p.doc_id, p.no + 1, CASE WHEN no = 0 THEN 0 ELSE p.e - 64 END, CASE WHEN n - (CASE WHEN no = 0 THEN 0 ELSE p.e - 64 END) <= 1024 THEN n ELSE
+    coalesce({", ".join(f"list_max(list_filter(s{k}, lambda x: x > (CASE WHEN no = 0 THEN 64 ELSE p.e END) AND x <= (CASE WHEN no = 0 THEN 0 ELSE p.e - 64 END) + 1024))" for k in range(4))}, (CASE WHEN no = 0 THEN 0 ELSE p.e - 64 END) + 1024) END
+  FROM p JOIN m USING (doc_id) WHERE no = 0 OR p.e < n)
+SELECT doc_id, no AS piece_no, a AS piece_from, e AS piece_to, substring(text, a + 1, e - a) AS piece FROM p JOIN d USING (doc_id) WHERE no > 0"""
