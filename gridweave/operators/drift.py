@@ -338,7 +338,7 @@ def fields(flat: DataFrame, changes: DataFrame, support: int = SUPPORT) -> DataF
     links = moved.join(both, ["a", "b"], "left_anti").select(F.xxhash64("a").alias("lo"), F.xxhash64("b").alias("hi"))
     group = components(links).select(F.col("old").alias("id"), "rep")
     rows = paths.join(group, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    latest = rows.groupBy("rep").agg(F.max_by("path", F.struct(F.col("last_at"), F.col("n_records"), F.col("id"))).alias("field"))
+    latest = rows.groupBy("rep").agg(F.max_by("path", F.struct("last_at", "n_records", "path")).alias("field"))
     return rows.join(latest, "rep").select("path", "field")
 
 

@@ -41,20 +41,18 @@ def pyramid_meta(spark, shape: Sequence[int], axes: Sequence[str], scale: dict[s
 
 def ngff_attributes(meta: DataFrame, name: str, version: str = "0.4") -> DataFrame:
     """One row: the multiscales document of a pyramid as JSON, at top level (0.4) or under ``ome`` (0.5)."""
-    order = F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("axis") == "t", 0).when(F.col("axis") == "c", 1).when(F.col("axis") == "z", 2).when(F.col("axis") == "y", 3).otherwise(4).alias("o"), "axis", "scale"))), lambda x: x["scale"])
-    levels = meta.groupBy("level").agg(order.alias("s"))
-    dataset = F.struct(F.col("level").cast("string").alias("path"), F.array(F.struct(F.lit("scale").alias("type"), F.col("s").alias("scale"))).alias("coordinateTransformations"))
-    sets = levels.agg(F.transform(F.array_sort(F.collect_list(F.struct("level", dataset.alias("d")))), lambda x: x["d"]).alias("datasets"))
+    place = F.array_position(F.array(*map(F.lit, "tczyx")), F.col("axis"))
     kind = F.when(F.col("axis").isin("z", "y", "x"), "space").when(F.col("axis") == "t", "time").otherwise("channel")
-    axes = meta.filter("level = 0").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.when(F.col("axis") == "t", 0).when(F.col("axis") == "c", 1).when(F.col("axis") == "z", 2).when(F.col("axis") == "y", 3).otherwise(4).alias("o"), F.struct(F.col("axis").alias("name"), kind.alias("type"), "unit").alias("a")))),
-            lambda x: x["a"],
-        ).alias("axes")
+    axis = F.struct(F.col("axis").alias("name"), kind.alias("type"), "unit")
+    level = meta.groupBy("level").agg(F.array_sort(F.collect_list(F.struct(place.alias("o"), "scale", axis.alias("a")))).alias("s"))
+    scale = F.struct(F.lit("scale").alias("type"), F.col("s.scale").alias("scale"))
+    dataset = F.struct(F.col("level").cast("string").alias("path"), F.array(scale).alias("coordinateTransformations"))
+    image = level.agg(
+        F.min_by(F.col("s.a"), "level").alias("axes"), F.transform(F.array_sort(F.collect_list(F.struct("level", dataset.alias("d")))), lambda x: x["d"]).alias("datasets")
     )
     scales = F.struct(F.lit(name).alias("name"), "axes", "datasets")
     body = F.struct(F.array(scales).alias("multiscales")) if version == "0.4" else F.struct(F.struct(F.lit(version).alias("version"), F.array(scales).alias("multiscales")).alias("ome"))
-    return axes.join(F.broadcast(sets)).select(F.to_json(body).alias("attributes"))  # one row each
+    return image.select(F.to_json(body).alias("attributes"))
 
 
 def grow(labels: DataFrame, axes: Sequence[str], shape: Sequence[int], iterations: int = 1, label: str = "label") -> DataFrame:

@@ -181,7 +181,8 @@ def voxel_sizes(files: DataFrame) -> DataFrame:
 
 # --- hidden Markov model over the unit -------------------------------------
 
-_LOG = np.log10(np.array([float(v) for v in NM.values()]))
+_NM = np.array([float(v) for v in NM.values()])
+_LOG = np.log10(_NM)
 _NEG = -1e18
 _SHIFT = _LOG[None, :] - _LOG[:, None]
 _STAY = 1 - np.eye(len(_LOG))
@@ -251,7 +252,7 @@ def _decode_map(names: list[str], prior: np.ndarray, silent: int, sigma: float,
         value = rows.column("value").to_numpy()
         begin = np.where(first[:, None] >= 0, np.where(np.arange(len(_LOG)) == first[:, None], 0.0, _NEG), prior)
         path = viterbi(np.log10(value), _states_of(rows.column("unit"), silent), np.diff(np.append(at, rows.num_rows)), begin, last, sigma, switch)
-        cols = [*(rows.column(c).combine_chunks() for c in names), pa.array(STATES).take(pa.array(path)), pa.array(value * 10 ** _LOG[path])]
+        cols = [*(rows.column(c).combine_chunks() for c in names), pa.array(STATES).take(pa.array(path)), pa.array(value * _NM[path])]
         if number:
             nm = [int((Decimal(x) * NM[STATES[s]]).to_integral_value(ROUND_HALF_UP)) for x, s in zip(rows.column(number).to_pylist(), path)]
             cols.append(pa.array([v if v < 2**63 else None for v in nm], pa.int64()))

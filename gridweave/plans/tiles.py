@@ -59,7 +59,14 @@ def file_sequence_axes(spark, sf):
     return files.sequence_axes(names, r"sample_Z(?P<z>\d+)_C(?P<c>\d+)_T(?P<t>\d+)")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT DISTINCT record_id, attrs FROM store_attrs WHERE attrs IS NOT NULL AND json_valid(attrs)),
+m AS (SELECT record_id, coalesce(json_extract(attrs, '$.multiscales'), json_extract(attrs, '$.ome.multiscales')) -> '$[0]' AS m FROM d),
+s AS (SELECT record_id, m -> '$.axes' AS axes, list_filter(CAST(m -> '$.datasets[0].coordinateTransformations' AS JSON[]), lambda t: t ->> '$.type' = 'scale')[1] -> '$.scale' AS scale FROM m),
+a AS (SELECT record_id, unnest(CAST(axes AS JSON[])) AS axis, unnest(CAST(scale AS JSON[])) AS scale FROM s WHERE json_type(axes) = 'ARRAY' AND json_type(scale) = 'ARRAY'
+  AND len(list_filter(CAST(scale AS JSON[]), lambda x: json_type(x) = 'VARCHAR')) = 0)
+SELECT DISTINCT record_id, axis ->> '$.name' AS axis, CAST(scale AS DOUBLE) AS scale, axis ->> '$.unit' AS unit, true AS calibrated FROM a WHERE json_type(axis) = 'OBJECT' AND axis ->> '$.name' IN ('z', 'y', 'x') AND scale IS NOT NULL"""
+)
 def ngff_calibration(spark, sf):
     return files.ngff_pixel_size(table(spark, sf, "store_attrs").filter("attrs is not null"), "attrs", ["record_id"]).distinct()
 
@@ -546,7 +553,10 @@ def pyramid_scales(spark, sf):
     return pyramid.pyramid_meta(spark, rasters.meta3d(spark, sf).shape, "zyx", {"z": 2.0, "y": 0.5, "x": 0.5})
 
 
-@query()
+@query(
+    f"""WITH p AS ({_SQL_SCALES}), l AS (SELECT level, list(scale ORDER BY strpos('tczyx', axis)) AS s, list({{'name': axis, 'type': 'space', 'unit': unit}} ORDER BY strpos('tczyx', axis)) AS a FROM p GROUP BY level)
+SELECT CAST(to_json({{'multiscales': [{{'name': 'image', 'axes': min_by(a, level), 'datasets': list({{'path': CAST(level AS VARCHAR), 'coordinateTransformations': [{{'type': 'scale', 'scale': s}}]}} ORDER BY level)}}]}}) AS VARCHAR) AS attributes FROM l"""
+)
 def ngff_metadata(spark, sf):
     return pyramid.ngff_attributes(pyramid_scales(spark, sf), "image")
 

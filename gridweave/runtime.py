@@ -25,15 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that all executors share.
 
     ``spark.checkpoint.dir`` of the session is used where it is set. Only a
-    local session without that setting gets a folder of its own; a cluster
-    session without it is an error, as a machine-local folder would be lost
-    with its executor.
+    session within one process (``local`` or ``local[...]``) without that setting
+    gets a folder of its own; any other one without it is an error, as a
+    machine-local folder would be lost with its executor.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark, "_gridweave_dir", None)
     if own is None:
