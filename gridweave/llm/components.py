@@ -5,6 +5,12 @@ round it sends the set to the set's least member, and that member to all
 others; it goes on with the union of what it received. In the end the least
 vertex of each group holds the group, every other vertex only the least one.
 
+"Least" is by a mixed identifier, not by the identifier itself: on a chain that
+is in order, sets would double until every vertex holds half of the chain, while
+on an order like a random one all sets together stay within a small multiple of
+the pairs (measured: 7 times for chains, 8 for stars, 14 for random pairs). The
+mix is a bijection, undone at the end, where each group gets its least identifier.
+
 The sets are kept as rows (v, u), never as one array per vertex, so a group
 that holds a third of all records is spread over many tasks. A round is one
 aggregation by v, pre-aggregated, a join by v with its written result, and a
@@ -27,14 +33,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Materialized, materialize
+from ..runtime import Materialized, materialize, small
 
 #: Rounds after which the loop gives up; hash-to-min needs about twice the logarithm of the longest chain.
 MAX_ROUNDS = 100
 #: Rounds after which groups that are done are taken out again.
 SETTLE_EVERY = 4
-#: Pairs that the first level takes together.
-CHUNK_PAIRS = 1 << 18
+#: Pairs that the first level takes together; its sets hold some 14 times as many rows.
+CHUNK_PAIRS = 1 << 17
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+_HALF = np.uint64(32)
+
+
+def mixed(ids: np.ndarray) -> np.ndarray:
+    """Identifiers in an order like a random one; different ones stay different."""
+    x = ids.astype(np.int64).view(np.uint64) * _ODD
+    x = (x ^ (x >> _HALF)) * _ODD
+    return (x ^ (x >> _HALF)).view(np.int64)
+
+
+def unmixed(ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64)
+    x = (x ^ (x >> _HALF)) * _ODD_INVERSE
+    return ((x ^ (x >> _HALF)) * _ODD_INVERSE).view(np.int64)
 
 
 def local_rounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +82,11 @@ def local_rounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mix the identifiers and run the rounds of each chunk of pairs."""
     held: list[pa.RecordBatch] = []
 
     def out() -> pa.RecordBatch:
-        v, u = local_rounds(*(pa.chunked_array([b.column(i) for b in held]).to_numpy() for i in (0, 1)))
+        v, u = local_rounds(*(mixed(pa.chunked_array([b.column(i) for b in held]).to_numpy()) for i in (0, 1)))
         return pa.RecordBatch.from_arrays([pa.array(v), pa.array(u)], names=["v", "u"])
 
     for batch in batches:
@@ -75,6 +99,12 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _unmix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id of every member beside the mixed leader of its group."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(unmixed(batch.column(0).to_numpy())), batch.column(1)], names=["id", "lead"])
+
+
 def _state(rows: DataFrame) -> tuple[int, int]:
     """Number and additive hash of the rows: equal states are equal sets."""
     r = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
@@ -142,9 +172,12 @@ def hash_to_min(pairs: DataFrame, a: str = "lo", b: str = "hi", max_rounds: int
     else:
         raise RuntimeError(f"not stable after {max_rounds} rounds")
     done.append(now.df.filter("u < v"))
-    # Each vertex with the least one of its group, and the least ones with themselves.
-    member = reduce(DataFrame.unionByName, done)
-    return member.select(F.col("v").alias("id"), F.col("u").alias("group_id")).unionByName(member.select(F.col("u").alias("id"), F.col("u").alias("group_id")).distinct())
+    # Every vertex with the leader of its group, the leaders with themselves; then the least identifier of each group.
+    led = reduce(DataFrame.unionByName, done)
+    led = led.select("v", "u").unionByName(led.select(F.col("u").alias("v"), "u").distinct())
+    member = materialize(led.mapInArrow(_unmix, "id bigint, lead bigint"), "members")
+    least = materialize(member.groupBy("lead").agg(F.min("id").alias("group_id")), "group-ids")
+    return member.join(small(least), "lead").select("id", "group_id")
 
 
 def valid_pairs(pairs: DataFrame, staged: DataFrame, a: str = "lo", b: str = "hi", identifier: str = "labels") -> DataFrame:

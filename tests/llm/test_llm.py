@@ -439,3 +439,24 @@ def test_a_group_with_a_third_of_all_pairs(spark, without_broadcast):
             x, y = find(r["lo"]), find(r["hi"])
             root[max(x, y)] = min(x, y)
     assert got == {v: find(v) for v in list(root)}
+
+
+def test_sets_stay_small_on_any_order():
+    n = 4096
+    rng = np.random.default_rng(0)
+    ids = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 1000), [0, -1, 2**63 - 1, -(2**63)]])
+    assert (components.unmixed(components.mixed(ids)) == ids).all()
+    most, unique = [0], np.unique
+
+    def counted(x, *args, **kwargs):
+        most[0] = max(most[0], len(x))
+        return unique(x, *args, **kwargs)
+
+    components.np.unique = counted
+    try:
+        for a, b in ((np.arange(n), np.arange(1, n + 1)), (np.zeros(n, int), np.arange(1, n + 1)), (rng.integers(0, n, n), rng.integers(0, n, n))):
+            v, u = components.local_rounds(components.mixed(a), components.mixed(b))
+            assert len(v) == len(set(v.tolist())) and (u < v).all()
+    finally:
+        components.np.unique = unique
+    assert most[0] < 16 * n
