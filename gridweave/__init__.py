@@ -36,6 +36,15 @@ _PUBLIC = {
     "read_voxels": "sources.files",
     "read_labels": "sources.files",
     "open_source": "sources.files",
+    "read_zarr": "sources.zarr",
+    "read_zarr_chunks": "sources.zarr",
+    "write_zarr": "sources.zarr",
+    "write_zarr_labels": "sources.zarr",
+    "add_pyramid": "sources.zarr",
+    "read_tiff_sequence": "sources.tiff",
+    "convert": "workflow",
+    "process": "workflow",
+    "run": "workflow",
     "run_many": "workflow",
     "session": "workflow",
     "cleanup": "runtime",

@@ -251,7 +251,11 @@ def _attributes(spark: SparkSession, path: str) -> tuple[int, dict]:
 def open_store(spark: SparkSession, path: str) -> Store:
     """The multiscale image at ``path``; its attributes may lie at top level (0.4) or under ``ome`` (0.5)."""
     path = path.rstrip("/")
-    version, attrs = _attributes(spark, path)
+    return parse_store(path, *_attributes(spark, path))
+
+
+def parse_store(path: str, version: int, attrs: dict) -> Store:
+    """The multiscale image that the attributes of a group describe."""
     body = attrs.get("ome", attrs)
     if not body.get("multiscales"):
         raise ValueError(f"{path} holds no multiscale image")
@@ -603,3 +607,13 @@ def register_zarr_labels(spark: SparkSession, path: str, name: str) -> None:
     names = zarr_label_names(spark, path)
     if name not in names:
         write_attributes(spark, f"{path.rstrip('/')}/labels", open_store(spark, path).version, {"labels": [*names, name]})
+
+
+def zarr_layers(spark: SparkSession, path: str) -> DataFrame:
+    """What a viewer would show of a store: kind, name, level, path, axes, scale, unit of every level of the image and its labels."""
+    out = []
+    for kind, name in [("image", ""), *(("labels", n) for n in zarr_label_names(spark, path))]:
+        store = open_store(spark, f"{path.rstrip('/')}/labels/{name}" if name else path)
+        for level, (where, scale) in enumerate(zip(store.levels, store.scales)):
+            out.append((kind, name or store.name, level, f"{store.path}/{where}", list(store.axes), list(scale) if scale else None, next((u for u in store.units if u), None)))
+    return spark.createDataFrame(out, "kind string, name string, level int, path string, axes array<string>, scale array<double>, unit string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from . import planner
 from .meta import ImageMeta
 from .operators import dense, grid, merge, occupancy, relations, staged
-from .runtime import exists, materialize, remove, small
-from .sources import files, sinks
+from .runtime import exists, materialize, remove, small, work_folder
+from .sources import files, sinks, zarr
 
 
 def prepare(voxels: DataFrame, meta: ImageMeta, per_job: int = 8, skip_empty: bool = True, threshold: float | None = None) -> DataFrame:
@@ -66,14 +67,15 @@ def merge_batches(spark: SparkSession, meta: ImageMeta, base: str, sequential_id
     return merge.merge_labels(rows, meta, files.read_counts(spark, f"{base}/counts").select("tile_id", "n"), sequential_ids)
 
 
-def run(
+def process(
     voxels: DataFrame,
-    config: dict,
+    fn: Callable,
     meta: ImageMeta,
-    path: str,
-    name: str,
-    sequential_ids: bool = True,
-    n_levels: int = 5,
+    write_to: str | None = None,
+    name: str = "labels",
+    sequential_ids: bool = False,
+    pyramid_levels: int = 5,
+    downscale: int = 2,
     skip_empty: bool = False,
     threshold: float | None = None,
     per_job: int = 8,
@@ -81,28 +83,41 @@ def run(
     keep_stage: bool = False,
     **stage,
 ) -> DataFrame:
-    """One segmentation from voxels to a registered label pyramid; returns the labels.
-
-    The plan, the staged batches and their markers lie in ``stage_dir`` (by
-    default beside the labels). A run that broke off goes on with its plan and
-    the batches that have no marker; they are removed at the end unless
-    ``keep_stage``.
+    """Segment an image tile by tile, merge the labels and, with ``write_to``, publish them there; returns the labels.
+
+    ``write_to`` is a stored dataset, or an OME-Zarr store (``....zarr``) that
+    holds the image. The plan, the staged batches and their markers lie in
+    ``stage_dir`` (by default beside the labels, or among the intermediate
+    tables). A run that broke off goes on with its plan and the batches that
+    have no marker; they are removed at the end unless ``keep_stage``. With
+    ``skip_empty``, tiles whose greatest value does not exceed the threshold (by
+    default Otsu's) are left out of the plan.
     """
     spark = voxels.sparkSession
-    fn = staged.build_fn(config, meta.scale or None)
-    base = (stage_dir or f"{path}/stage").rstrip("/") + f"/{name}"
+    base = (stage_dir or (f"{write_to.removesuffix('.zarr')}-stage" if write_to else work_folder(spark, "stage"))).rstrip("/") + f"/{name}"
     if not exists(spark, f"{base}/plan/_SUCCESS"):
         prepare(voxels, meta, per_job, skip_empty, threshold).write.mode("overwrite").parquet(f"{base}/plan")
     plan = spark.read.schema("tile_id bigint, batch_id bigint").parquet(f"{base}/plan")
     segment_batches(voxels, fn, meta, plan, base, **stage)
     labels = materialize(merge_batches(spark, meta, base, sequential_ids), "labels")
-    n = merge.object_count(labels).first()["n_objects"]
-    sinks.write_labels(labels, path, name, meta.axes, n_levels, n_objects=n, sequential=sequential_ids, overwrite=True, meta=meta)
+    if write_to:
+        n = merge.object_count(labels).first()["n_objects"]
+        if write_to.endswith(".zarr"):
+            plain = replace(meta, halo=(0,) * len(meta.axes))
+            zarr.write_zarr_labels(dense.to_chunks(labels, plain, "int64", "label"), write_to, plain, name, "int64", pyramid_levels, downscale, overwrite=True, n_objects=n)
+        else:
+            sinks.write_labels(labels, write_to, name, meta.axes, pyramid_levels, downscale, n_objects=n, sequential=sequential_ids, overwrite=True, meta=meta)
     if not keep_stage:
         remove(spark, base)
     return labels
 
 
+def run(voxels: DataFrame, config: dict, meta: ImageMeta, path: str, name: str, sequential_ids: bool = True, n_levels: int = 5, **options) -> DataFrame:
+    """``process`` with the function of a config, published in ``path`` under ``name``; returns the labels."""
+    fn = staged.build_fn(config, meta.scale or None)
+    return process(voxels, fn, meta, path, name, sequential_ids, n_levels, **options)
+
+
 def convert(
     spark: SparkSession,
     source,
@@ -125,7 +140,7 @@ def convert(
     A store keeps its pixel size; for a file sequence of TIFF planes it is that
     of the first file that has one; ``scale`` goes before both.
     """
-    from .sources import tiff, zarr
+    from .sources import tiff
 
     known: dict[str, float] = {}
     text = source if isinstance(source, str) else ""

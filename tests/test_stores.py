@@ -10,7 +10,7 @@ import pytest
 from gridweave import workflow
 from gridweave.meta import ImageMeta
 from gridweave.operators import dense
-from gridweave.sources import files, tiff, zarr
+from gridweave.sources import datasource, files, tiff, zarr
 
 META = ImageMeta(("c", "z", "y", "x"), (2, 5, 50, 60), (1, 2, 16, 16), (0,) * 4, {"z": 2.0, "y": 0.5, "x": 0.5})
 
@@ -58,6 +58,24 @@ def test_round_trip(spark, tmp_path, image, chunks, version, codec, shard):
     assert files.open_source(spark, path, channel=0).columns == ["z", "y", "x", "value"]
 
 
+def test_the_data_source(spark, tmp_path, image, chunks, monkeypatch):
+    datasource.register(spark)
+    for version, shard in ((2, False), (3, (1, 4, 32, 32))):
+        path = f"{tmp_path}/{version}.zarr"
+        zarr.write_zarr(chunks, f"file://{path}", META, n_levels=2, version=version, shard=shard)
+        read = spark.read.format("ome_zarr").option("path", path)
+        assert (whole(read.load(), "czyx", image.shape) == image).all()
+        assert (whole(read.option("level", 1).load(), "czyx", image[..., ::2, ::2].shape) == image[..., ::2, ::2]).all()
+        one = read.option("level", 0).option("channel", 1).load()
+        assert one.columns == ["z", "y", "x", "value"] and (whole(one, "zyx", image[1].shape) == image[1]).all()
+        monkeypatch.setattr(datasource, "PARTITION_BYTES", 5000)
+        parts = datasource._Reader(path, 0, None).partitions()
+        assert len(parts) > 2 and len(datasource._Reader(path, 0, 0).partitions()) < len(parts)
+        monkeypatch.undo()
+    with pytest.raises(Exception, match="level 7"):
+        read.option("level", 7).load()
+
+
 def test_labels_inherit_the_pixel_size_and_are_registered_once(spark, tmp_path, image, chunks):
     for version in (2, 3):
         path = f"file://{tmp_path}/{version}.zarr"
@@ -77,6 +95,27 @@ def test_labels_inherit_the_pixel_size_and_are_registered_once(spark, tmp_path,
         assert attrs.get("ome", attrs)["omero"] == {"id": 1}
 
 
+def test_labels_of_a_run_go_into_the_store(spark, tmp_path, image, chunks):
+    from functools import partial
+
+    from gridweave.operators import kernels
+
+    path = f"file://{tmp_path}/run.zarr"
+    zarr.write_zarr(chunks, path, META, n_levels=1, name="raw")
+    meta = zarr.image_meta(spark, path)
+    meta = ImageMeta(meta.axes[1:], meta.shape[1:], (3, 20, 20), 2)
+    fn = partial(kernels.threshold_label, threshold=300, connectivity="face")
+    voxels = files.open_source(spark, path, channel=0)
+    labels = workflow.process(voxels, fn, meta, path, "cells", sequential_ids=True, pyramid_levels=2, per_job=4)
+    n = kernels.connected_components(image[0] > 300).max()
+    got = whole(zarr.read_zarr(spark, f"{path}/labels/cells"), "zyx", meta.shape)
+    assert got.max() == n == labels.agg({"label": "max"}).first()[0] and ((got > 0) == (image[0] > 300)).all()
+    assert not (tmp_path / "run-stage" / "cells").exists()
+    rows = {(r["kind"], r["name"], r["level"]): r["scale"] for r in zarr.zarr_layers(spark, path).collect()}
+    assert set(rows) == {("image", "raw", 0), ("labels", "cells", 0), ("labels", "cells", 1)} and rows["labels", "cells", 1] == [2.0, 1.0, 1.0]
+    assert workflow.process(voxels, fn, meta).count() == (image[0] > 300).sum()
+
+
 def test_metadata_that_can_not_be_read_says_so():
     base = {"zarr_format": 2, "shape": [4], "chunks": [2], "dtype": "<u2", "compressor": None, "fill_value": 0, "order": "C", "filters": None}
     info = zarr.parse_array(json.dumps(base))

@@ -69,11 +69,11 @@ def test_full_tile_keeps_its_label_and_diagonals_stay_apart(spark):
 
 
 def test_transitive_and_separate_labels(spark):
-    meta = ImageMeta(("z", "y", "x"), (3, 4, 4), (1, 4, 4))
-    rows = spark.range(48).select((F.col("id") / 16).cast("int").alias("z"), (F.col("id") % 16 / 4).cast("int").alias("y"), (F.col("id") % 4).cast("int").alias("x"), (F.col("id") / 16).cast("int").cast("bigint").alias("tile_id"), F.lit(1).cast("bigint").alias("local"))
+    # Five tiles in a row, each full of its own label: one object. Without the middle tile: two.
+    meta = ImageMeta(("y", "x"), (3, 10), (3, 2))
+    rows = spark.range(30).selectExpr("CAST(id div 10 AS int) AS y", "CAST(id % 10 AS int) AS x", "id % 10 div 2 AS tile_id", "1L AS local")
     assert merge.merge_labels(rows, meta).select("label").distinct().count() == 1
-    rows = rows.filter("(z = 0 and x < 2) or (z = 1 and x > 2)")
-    assert merge.merge_labels(rows, meta).select("label").distinct().count() == 2
+    assert merge.merge_labels(rows.filter("tile_id <> 2"), meta).select("label").distinct().count() == 2
 
 
 def test_halo_width_does_not_change_the_result(spark):
@@ -164,23 +164,23 @@ def test_components_of_chains_stars_and_repeats(spark):
 
 def test_occupancy_is_exact_or_covers_more(spark):
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 50, (4, 64, 64))
-    for v in rng.integers(0, a.size, 3):
-        a.ravel()[v] = 900
-    meta = ImageMeta(("z", "y", "x"), a.shape, (4, 32, 32))
+    a = rng.integers(0, 7, (3, 48, 60))
+    for v in rng.integers(0, a.size, 4):
+        a.ravel()[v] = 33
+    meta = ImageMeta(("z", "y", "x"), a.shape, (3, 24, 20))
     rows = files.from_array(spark, a, "zyx")
-    for block, exact in (((1, 8, 8), True), ((3, 20, 20), False)):
-        occ = {r["tile_id"] for r in occupancy.tile_occupancy(occupancy.block_max(rows, meta.axes, block), meta, block, 500).filter("occupied").collect()}
-        want = {2 * i + j for i in range(2) for j in range(2) if a[:, 32 * i : 32 * i + 32, 32 * j : 32 * j + 32].max() > 500}
+    for block, exact in (((1, 6, 5), True), ((2, 17, 13), False)):
+        occ = {r["tile_id"] for r in occupancy.tile_occupancy(occupancy.block_max(rows, meta.axes, block), meta, block, 10).filter("occupied").collect()}
+        want = {3 * i + j for i in range(2) for j in range(3) if a[:, 24 * i : 24 * i + 24, 20 * j : 20 * j + 20].max() > 10}
         assert occ == want if exact else occ >= want
 
 
 def test_sampling_stays_within_the_edge_tile(spark):
-    a = np.zeros((2, 8, 40), int)
-    a[:, :, :32] = 1000
-    meta = ImageMeta(("z", "y", "x"), a.shape, (2, 8, 32))
-    got = {r["tile_id"]: r["occupied"] for r in occupancy.sampled_occupancy(files.from_array(spark, a, "zyx"), meta, (2, 8, 16), 100).collect()}
-    assert got == {0: True}
+    a = np.zeros((3, 6, 25), int)
+    a[:, :, :20] = 70
+    meta = ImageMeta(("z", "y", "x"), a.shape, (3, 6, 10))
+    got = {r["tile_id"]: r["occupied"] for r in occupancy.sampled_occupancy(files.from_array(spark, a, "zyx"), meta, (3, 6, 8), 50).collect()}
+    assert got == {0: True, 1: True}
 
 
 def test_otsu_agrees_with_the_kernel(spark):
@@ -256,7 +256,7 @@ def test_relations_majority_ties_and_totals(spark):
 
 
 def test_pyramid_is_strided_sampling(spark):
-    a = np.arange(512).reshape(8, 8, 8) + 1
+    a = np.arange(3 * 10 * 12).reshape(3, 10, 12) + 1
     rows = pyramid.pyramid(files.from_array(spark, a, "zyx"), "zyx", 3)
     for level in range(3):
         want = a[:, :: 2**level, :: 2**level]
@@ -279,17 +279,18 @@ def test_growth_and_smoothing_agree_with_the_kernels(spark):
 
 
 def test_kernels():
-    a = np.zeros((1, 64, 64), np.float32)
-    a[0, 28:36, 28:36] = 1
+    a = np.zeros((2, 50, 40), np.float32)
+    a[1, 11:20, 25:33] = 1
     out = kernels.dog_label_fn(1, 4, 0.01)(a)
     assert out.max() >= 1 and out[0, 0, 0] == 0 and out.dtype == np.int32
     assert kernels.dilate_labels(fn, 0) is fn
-    big = np.arange(14 * 20 * 20).reshape(14, 20, 20)
-    assert (kernels.restore_shape(big[:13, 1:19, 1:19], (13, 18, 18)) == big[:13, 1:19, 1:19]).all()
-    assert kernels.restore_shape(big, (13, 16, 24)).shape == (13, 16, 24)
+    big = np.arange(5 * 9 * 8).reshape(5, 9, 8)
+    assert (kernels.restore_shape(big, (3, 9, 4)) == big[1:4, :, 2:6]).all()
+    padded = kernels.restore_shape(big, (5, 13, 7))
+    assert padded.shape == (5, 13, 7) and (padded[:, 2:11] == big[:, :, :7]).all() and (padded[:, 0] == padded[:, 2]).all()
     d = np.eye(3, dtype=bool)
     assert kernels.connected_components(d).max() == 3 and kernels.connected_components(d, "full").max() == 1
-    assert (kernels.dense_rank(np.array([0, 500, 500, 7, 7, 7, 0, 1000])) == [0, 2, 2, 1, 1, 1, 0, 3]).all()
+    assert (kernels.dense_rank(np.array([90, 0, 41, 41, 90, 3000, 0, 12])) == [3, 0, 2, 2, 3, 4, 0, 1]).all()
     assert kernels.threshold_label(np.full((2, 2), 7)).max() == 1
     tries = []
 
