@@ -2,15 +2,20 @@
 
 The test items are the index, the corpus is the stream of queries: every
 document is cut into overlapping passages, and every item whose BM25 score
-reaches the item's own threshold is a candidate. The threshold of an item is
-the least score that any of its runs of ``run`` words can have, so a passage
-that holds such a run is always retrieved.
+reaches the item's own threshold is a candidate. The terms are pairs of
+neighbouring words: a run of words is a run of pairs, and pairs are far rarer
+than words. The threshold of an item is the least score that any of its runs of
+``run`` words can have, and the passage must share as many different pairs with
+it as the least varied of its runs has, so a passage that holds such a run is
+always retrieved.
 
 The postings are walked item by item with pivots: the cursors of a passage's
-words are kept in order of their items, the greatest weights are summed until
-the least threshold is reached, and all items before that pivot are passed
-over; a block of items whose own greatest weights do not reach its threshold is
-passed over as a whole. Many passages are walked in step, as rows of an array.
+pairs are kept in order of their items, the greatest weights are summed, and the
+pairs counted, until the thresholds are reached, and all items before that
+pivot are passed over. Items are numbered by their threshold, so the one of the
+first cursor holds for all items to come, and grows on the way. Besides, a
+block of items whose own greatest weights do not reach its threshold is passed
+over as a whole. Many passages are walked in step, as rows of an array.
 All bounds are exact, and no candidate is lost by them.
 """
 
@@ -105,10 +110,12 @@ class ItemIndex:
 
     Items of fewer than ``run`` words hold no run and can not leak; null and
     empty items neither. Items of equal text leak together. Its size is linear
-    in the words of the items.
+    in the words of the items. ``run`` is 2 or more.
     """
 
     def __init__(self, items: list[tuple[int, str | None]], run: int = RUN, k1: float = 1.2, b: float = 0.75, block: int = BLOCK):
+        if run < 2:
+            raise ValueError("a run has two words or more")
         self.run, self.block = run, block
         kept = sorted({(i, tuple(w)) for i, t in items if i is not None and len(w := words_of(t)) >= run})
         self.item_ids = np.array([i for i, _ in kept], dtype=np.int64)
@@ -119,48 +126,78 @@ class ItemIndex:
         lens = np.array([len(t) for _, t in kept], dtype=np.int64)
         self.tokens = np.fromiter((number[x] for _, t in kept for x in t), np.int32, int(lens.sum()))
         item = np.repeat(np.arange(n), lens)
-        #: word * n + item of every posting, sorted.
-        self.keys, of, tf = np.unique(self.tokens.astype(np.int64) * max(n, 1) + item, return_inverse=True, return_counts=True)
-        word, self.post_item = np.divmod(self.keys, max(n, 1))
-        df = np.bincount(word, minlength=len(vocabulary))
+        #: Sorted keys of the pairs; a pair's number is its place among them.
+        near = np.flatnonzero(item[1:] == item[:-1])
+        self.pair_keys, pair = np.unique(self.pair_key(self.tokens[near], self.tokens[near + 1]), return_inverse=True)
+        #: pair * n + item of every posting, sorted.
+        self.keys, of, tf = np.unique(pair.astype(np.int64) * max(n, 1) + item[near], return_inverse=True, return_counts=True)
+        term, posted = np.divmod(self.keys, max(n, 1))
+        df = np.bincount(term, minlength=len(self.pair_keys))
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = lens.mean() if n else 1.0
-        self.weights = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[self.post_item] / mean)) if n else np.empty(0)
-        self.post_start = np.searchsorted(word, np.arange(len(vocabulary) + 1))
-        self.word_max = np.zeros(len(vocabulary) + 1)  # the last is that of unknown words
-        np.maximum.at(self.word_max, word, self.weights)
-        self.n_blocks = -(-n // block)
-        self.block_keys, at = np.unique(word * max(self.n_blocks, 1) + self.post_item // block, return_inverse=True)
-        self.block_max = np.zeros(len(self.block_keys))
-        np.maximum.at(self.block_max, at, self.weights)
-        # Every run of the items: its hash with its item, and the least score of each item's runs.
+        size = np.maximum(lens - 1, 1)
+        self.weights = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[posted] / size.mean())) if n else np.empty(0)
+        # Every run of the items: its hash, the least score of each item's runs and the least number of different pairs.
         stop = np.cumsum(lens)
         begin = np.flatnonzero(np.arange(len(item)) + run <= stop[item]) if n else np.empty(0, np.int64)
-        self.threshold = np.full(n, np.inf)
-        hashes = []
+        self.threshold, self.varied = np.full(n, np.inf), np.full(n, run)
+        hashes = [np.empty(0, np.uint64)]
         for k in range(0, len(begin), 1 << 18):
             place = begin[k : k + (1 << 18), None] + np.arange(run)
             hashes.append(_run_hash(self.tokens[place]))
-            posts = np.sort(of[place], axis=1)
+            # An item has one pair less than words, so pair and word numbers drift apart by one per item.
+            posts = np.sort(of[(place - item[place])[:, :-1]], axis=1)
             first = np.ones(posts.shape, bool)
             first[:, 1:] = posts[:, 1:] != posts[:, :-1]
             np.minimum.at(self.threshold, item[place[:, 0]], (self.weights[posts] * first).sum(1))
-        hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+            np.minimum.at(self.varied, item[place[:, 0]], first.sum(1))
+        # Number the items by threshold.
+        order = np.argsort(self.threshold, kind="stable")
+        number_of = np.argsort(order)
+        self.item_ids, self.threshold, self.varied = self.item_ids[order], self.threshold[order], self.varied[order]
+        self.keys = term * max(n, 1) + number_of[posted] if n else self.keys
+        order = np.argsort(self.keys)
+        self.keys, self.weights = self.keys[order], self.weights[order]
+        term, self.post_item = np.divmod(self.keys, max(n, 1))
+        self.post_start = np.searchsorted(term, np.arange(len(self.pair_keys) + 1))
+        self.most = np.zeros(len(self.pair_keys) + 1)  # the last is that of unknown pairs
+        np.maximum.at(self.most, term, self.weights)
+        self.n_blocks = -(-n // block)
+        self.block_keys, at = np.unique(term * max(self.n_blocks, 1) + self.post_item // block, return_inverse=True)
+        self.block_max = np.zeros(len(self.block_keys))
+        np.maximum.at(self.block_max, at, self.weights)
+        hashes = np.concatenate(hashes)
         order = np.lexsort((begin, hashes))
         self.run_hashes, self.run_begin = hashes[order], begin[order]
-        self.run_item = item[self.run_begin] if n else np.empty(0, np.int64)
-        self.block_threshold = np.array([self.threshold[i * block : (i + 1) * block].min() for i in range(self.n_blocks)])
-        self.least = self.threshold.min() if n else np.inf
-
-    def seek(self, word: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first posting of each word at ``item`` or later, and its item (``n`` past the last)."""
-        at = np.searchsorted(self.keys, word.astype(np.int64) * self.n + item)
-        inside = at < self.post_start[word + 1]
+        self.run_item = number_of[item[self.run_begin]] if n else np.empty(0, np.int64)
+        self.block_threshold = self.threshold[::block]
+        self.block_varied = np.minimum.reduceat(self.varied, np.arange(0, n, block)) if n else np.empty(0, np.int64)
+        #: The least of an item and all after it.
+        self.varied_from = np.minimum.accumulate(self.varied[::-1])[::-1]
+        self.least = self.threshold[0] if n else np.inf
+
+    def pair_key(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.astype(np.int64) << 32 | b
+
+    def pairs(self, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The number of the pair that begins at each coded word, -1 for unknown ones and across documents."""
+        out = np.full(len(ids), -1, np.int64)
+        at = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0) & (doc[1:] == doc[:-1]))
+        if len(at) and len(self.pair_keys):
+            key = self.pair_key(ids[at], ids[at + 1])
+            place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            held = self.pair_keys[place] == key
+            out[at[held]] = place[held]
+        return out
+
+    def seek(self, pair: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first posting of each pair at ``item`` or later, and its item (``n`` past the last)."""
+        at = np.searchsorted(self.keys, pair.astype(np.int64) * self.n + item)
+        inside = at < self.post_start[pair + 1]
         return at, np.where(inside, self.post_item[np.minimum(at, len(self.keys) - 1)], self.n)
 
-    def maximum(self, word: np.ndarray, block: np.ndarray) -> np.ndarray:
-        """The greatest weight of each word within a block, 0 where it has none."""
-        key = word.astype(np.int64) * self.n_blocks + block
+    def maximum(self, pair: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The greatest weight of each pair within a block, 0 where it has none."""
+        key = pair.astype(np.int64) * self.n_blocks + block
         at = np.minimum(np.searchsorted(self.block_keys, key), len(self.block_keys) - 1)
         return np.where(self.block_keys[at] == key, self.block_max[at], 0.0)
 
@@ -187,63 +224,70 @@ def leaks(index: ItemIndex, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarra
         per_doc = np.maximum(1, -(-(length - run + 1) // run))
         begin = np.repeat(first, per_doc) + run * (np.arange(per_doc.sum()) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc))
         stop = np.minimum(begin + 2 * run, np.repeat(first + length, per_doc))
-        # A passage whose greatest weights stay below every threshold has no pivot at all.
-        total = np.concatenate([[0.0], np.cumsum(index.word_max[ids])])
-        alive = np.flatnonzero((total[stop] - total[begin]) * (1 + _SLACK) + 1e-6 >= index.least)
+        # A passage with too few known pairs, or whose greatest weights stay below every threshold, has no pivot at all.
+        pair = index.pairs(ids, doc)
+        total = np.concatenate([[0.0], np.cumsum(index.most[pair])])
+        known = np.concatenate([[0], np.cumsum(pair >= 0)])
+        last = stop - 1
+        alive = (total[last] - total[begin]) * (1 + _SLACK) + 1e-6 >= index.least
+        alive = np.flatnonzero(alive & (known[last] - known[begin] >= index.varied_from[0]))
         for at in range(0, len(alive), CHUNK):
             b, e = begin[alive[at : at + CHUNK]], stop[alive[at : at + CHUNK]]
             place = b[:, None] + np.arange(2 * run)
-            text = np.where(place < e[:, None], ids[np.minimum(place, len(ids) - 1)], -1)
-            passage, item = candidates(index, text)
-            held = holds_run(index, text, passage, item)
+            at_ = np.minimum(place, len(ids) - 1)
+            passage, item = candidates(index, np.where(place[:, :-1] < e[:, None] - 1, pair[at_[:, :-1]], -1))
+            held = holds_run(index, np.where(place < e[:, None], ids[at_], -1), passage, item)
             found.append(np.stack([doc[b[passage[held]]], item[held]], axis=1))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pairs[:, 0], index.item_ids[pairs[:, 1]]
 
 
-def candidates(index: ItemIndex, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, item) of every item whose score reaches its threshold for a row of words, by block-max WAND.
+def candidates(index: ItemIndex, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, item) of every item whose score, and number of pairs, reach its thresholds for a row of pairs, by block-max WAND.
 
     A row that is walked through falls out; the others go on to their next
     pivot together. Held at once: the cursors of the rows, nothing per item.
     """
     n, block = index.n, index.block
-    # The words of a passage count once each.
-    word = np.sort(text, axis=1)
-    word[:, 1:][word[:, 1:] == word[:, :-1]] = -1
-    row = np.arange(len(word))
-    most = index.word_max[word]  # -1 is the last, without weight
-    cursor = np.full(word.shape, n, dtype=np.int64)
-    known = word >= 0
-    cursor[known] = index.seek(word[known], np.zeros(known.sum(), np.int64))[1]
+    # The pairs of a passage count once each.
+    pair = np.sort(terms, axis=1)
+    pair[:, 1:][pair[:, 1:] == pair[:, :-1]] = -1
+    row = np.arange(len(pair))
+    most = index.most[pair]  # -1 is the last, without weight
+    cursor = np.full(pair.shape, n, dtype=np.int64)
+    known = pair >= 0
+    cursor[known] = index.seek(pair[known], np.zeros(known.sum(), np.int64))[1]
     rows, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     while len(row):
         order = np.argsort(cursor, axis=1)
-        cursor, word, most = (np.take_along_axis(x, order, 1) for x in (cursor, word, most))
-        reach = np.cumsum(np.where(cursor < n, most, 0.0), axis=1) * (1 + _SLACK) + _SLACK >= index.least
-        on = reach[:, -1]
+        cursor, pair, most = (np.take_along_axis(x, order, 1) for x in (cursor, pair, most))
+        first = np.minimum(cursor[:, 0], n - 1)
+        reach = np.cumsum(most, axis=1) * (1 + _SLACK) + _SLACK >= index.threshold[first][:, None]
+        reach &= (np.arange(1, pair.shape[1] + 1) >= index.varied_from[first][:, None]) & (cursor < n)
+        on = reach.any(1)
         if not on.all():
-            row, cursor, word, most, reach = row[on], cursor[on], word[on], most[on], reach[on]
+            row, cursor, pair, most, reach = row[on], cursor[on], pair[on], most[on], reach[on]
             if not len(row):
                 break
         pivot = cursor[np.arange(len(row)), reach.argmax(1)]
         before = cursor <= pivot[:, None]
         r, c = np.nonzero(before)
-        bound = np.bincount(r, index.maximum(word[r, c], pivot[r] // block), minlength=len(row))
-        score = bound * (1 + _SLACK) + _SLACK >= index.block_threshold[pivot // block]
-        # Where the block can not reach its threshold: on to the next block, or to the next word's item before it.
+        most_here = index.maximum(pair[r, c], pivot[r] // block)
+        bound, n_pairs = np.bincount(r, most_here, minlength=len(row)), np.bincount(r, most_here > 0, minlength=len(row))
+        score = (bound * (1 + _SLACK) + _SLACK >= index.block_threshold[pivot // block]) & (n_pairs >= index.block_varied[pivot // block])
+        # Where the block can not reach its threshold: on to the next block, or to the next pair's item before it.
         after = np.where(before, n, cursor).min(1)
         skip = np.minimum((pivot // block + 1) * block, after)
-        # Else the score of the pivot, from the words that stand on it or come to it.
-        at, item = index.seek(word[r, c], np.where(score, pivot, skip)[r])
+        # Else the score of the pivot, from the pairs that stand on it or come to it.
+        at, item = index.seek(pair[r, c], np.where(score, pivot, skip)[r])
         hit = score[r] & (item == pivot[r])
-        total = np.bincount(r[hit], index.weights[at[hit]], minlength=len(row))
-        good = score & (total * (1 + _SLACK) + _SLACK >= index.threshold[pivot])
+        total, n_pairs = np.bincount(r[hit], index.weights[at[hit]], minlength=len(row)), np.bincount(r[hit], minlength=len(row))
+        good = score & (total * (1 + _SLACK) + _SLACK >= index.threshold[pivot]) & (n_pairs >= index.varied[pivot])
         rows.append(row[good])
         items.append(pivot[good])
-        # A word on the pivot goes on to its next posting.
+        # A pair on the pivot goes on to its next posting.
         step = at[hit] + 1
-        item[hit] = np.where(step < index.post_start[word[r, c][hit] + 1], index.post_item[np.minimum(step, len(index.keys) - 1)], n)
+        item[hit] = np.where(step < index.post_start[pair[r, c][hit] + 1], index.post_item[np.minimum(step, len(index.keys) - 1)], n)
         cursor[r, c] = item
     return np.concatenate(rows), np.concatenate(items)
 
