@@ -405,7 +405,7 @@ def verbatim_pieces(documents: DataFrame, chains: DataFrame, span: int = SPAN, t
     text is fetched around each chain.
     """
     docs = documents.select(F.col(key).cast("bigint").alias("_d"), F.col(text).alias("_text")).dropna()
-    chains = materialize(chains.withColumn("a_from", F.greatest(F.col("p0") - span, F.lit(0))).withColumn("b_from", F.greatest(F.col("q0") - span, F.lit(0))).withColumn("cid", F.expr("uuid()")), "chains")
+    chains = materialize(chains.withColumn("a_from", F.greatest(F.col("p0") - span, F.lit(0))).withColumn("b_from", F.greatest(F.col("q0") - span, F.lit(0))).withColumn("cid", F.monotonically_increasing_id()), "chains")
     cut = lambda start, last: F.substring("_text", (F.col(start) + 1).cast("int"), (F.col(last) - F.col(start) + 2 * span).cast("int"))
     left = docs.join(chains, F.col("_d") == F.col("doc")).select("cid", "doc", "p0", "q0", "a_from", "b_from", "spots", cut("a_from", "p1").alias("a"))
     right = docs.join(chains.select("cid", "w_doc", "b_from", "q1"), F.col("_d") == F.col("w_doc")).select("cid", cut("b_from", "q1").alias("b"))
