@@ -142,21 +142,23 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def size_readings(files: DataFrame) -> DataFrame:
+def size_readings(files: DataFrame, distinct: bool = True) -> DataFrame:
     """Every size of every file and axis, from all its places: file_id, image_id, acquired_at, axis, place, rank, value, number, unit.
 
     ``rank`` is the order of precedence, ``number`` the exact value as text,
     ``unit`` is null where no text gives one. Null, empty or unreadable texts
     offer nothing; sizes whose unit names no length (px, arb, ...) or that
-    exceed BIGINT in nanometres are left out. Repeated rows count once. A table
-    without image_id or acquired_at has nulls there.
+    exceed BIGINT in nanometres are left out. Repeated rows count once, unless
+    ``distinct`` is off: then this is a narrow map. A table without image_id or
+    acquired_at has nulls there.
     """
     for c, kind in (("image_id", "bigint"), ("acquired_at", "timestamp_ntz")):
         files = files if c in files.columns else files.withColumn(c, F.lit(None).cast(kind))
     rows = files.select("file_id", "image_id", "acquired_at", "image_description", "ij_spacing", "ij_unit")
     kind = files.schema["acquired_at"].dataType.simpleString()
     ddl = f"file_id bigint, image_id bigint, acquired_at {kind}, axis string, place string, rank int, value double, number string, unit string"
-    return rows.mapInArrow(_readings, ddl).distinct()
+    out = rows.mapInArrow(_readings, ddl)
+    return out.distinct() if distinct else out
 
 
 def with_series(readings: DataFrame) -> DataFrame:
@@ -174,7 +176,7 @@ def voxel_sizes(files: DataFrame) -> DataFrame:
     """
     names = ("image_id", "acquired_at", "value", "number", "unit")
     first = F.min_by(F.struct(*names), F.struct("rank", "number", F.coalesce("unit", F.lit("")))).alias("r")
-    rows = with_series(size_readings(files).groupBy("file_id", "axis").agg(first).select("file_id", "axis", *(f"r.{c}" for c in names)))
+    rows = with_series(size_readings(files, distinct=False).groupBy("file_id", "axis").agg(first).select("file_id", "axis", *(f"r.{c}" for c in names)))
     out = decode_units(rows, "series", "acquired_at", "value", "unit", silent=DEFAULT, keep=["file_id", "axis"], untimed=True, number="number")
     return out.select("file_id", "axis", F.col("nm").alias("size_nm"))
 
