@@ -70,13 +70,15 @@ class Log:
         return log.select(*used).dropna(subset=list(self.keys)).withColumn("part", self.part(partitions))
 
     def states(self, rows: DataFrame) -> DataFrame:
-        """part, the keys and ``state`` (a struct of the payload) of the greatest row of each key.
+        """part, the keys, ``state`` and ``seen``: structs of the payload of the greatest row of each key, of all rows and of the seen ones (null without one).
 
         Nulls are least; on a tie of the order the greatest payload wins, so
         repeated rows change nothing. Partial aggregation first: a hot key
         costs one row per input task.
         """
-        return rows.groupBy("part", *self.keys).agg(F.max_by(F.struct(*self.payload), F.struct(*self.order, *self.payload)).alias("state"))
+        value, by = F.struct(*self.payload), F.struct(*self.order, *self.payload)
+        found = rows.groupBy("part", *self.keys).agg(F.max_by(value, by).alias("state"), F.max_by(value, F.when(F.col("_seen"), by)).alias("seen"), F.max("_seen").alias("_any"))
+        return found.withColumn("seen", F.when(F.col("_any"), F.col("seen"))).drop("_any")
 
 
 COUNTS = Log("counts", ("run_id", "tile_id"), ("updated_at", "arrived_at"), ("n", "batch"), (("run_id", 16), ("tile_id", 4096)))
@@ -157,9 +159,8 @@ class IncrementalRun:
         if not marked or marked["run"] < no:
             for name, (log, df) in logs.items():
                 work[name] = self._changed(log, df, plan, last["run"])
-                rows, _, parts = work[name]
-                before = self._state(name, parts)
-                after = log.states(rows)
+                after, _, parts = work[name]
+                before, after = self._state(name, parts), after.drop("seen")
                 found = changed_keys(before, after, log.keys) if before is not None else after.withColumnRenamed("state", "new").withColumn("old", F.lit(None).cast(after.schema["state"].dataType))
                 found.select(*log.keys, "old", "new").write.mode("overwrite").parquet(out[name])
             self._step("changes", fail_after)
@@ -167,8 +168,8 @@ class IncrementalRun:
         self._step("marked", fail_after)
         # From here on nothing depends on the old states: they may be replaced, in part and again.
         for name, (log, df) in logs.items():
-            rows, prints, parts = work.get(name) or self._changed(log, df, plan, last["run"])
-            stored = log.states(rows.filter(F.col("_seen")))
+            states, prints, _ = work.get(name) or self._changed(log, df, plan, last["run"])
+            stored = states.filter(F.col("seen").isNotNull()).select("part", *log.keys, F.col("seen").alias("state"))
             (
                 stored.hint("rebalance", "part")
                 .write.mode("overwrite")
@@ -186,7 +187,10 @@ class IncrementalRun:
         return {name: self.spark.read.parquet(path) for name, path in out.items()}
 
     def _changed(self, log: Log, df: DataFrame, plan: dict, last: int) -> tuple[DataFrame, DataFrame, list[int]]:
-        """The rows of the changed partitions with ``_seen``, the fingerprints of all seen rows, and the changed partitions.
+        """The states of the changed partitions, written; the fingerprints of all seen rows; and the changed partitions.
+
+        The log is scanned twice: for the fingerprints, and for the states of
+        the partitions whose fingerprint differs.
 
         A partition with rows that have no arrival time always counts as
         changed. The driver sees partition numbers alone, ``partitions`` at most.
@@ -203,7 +207,7 @@ class IncrementalRun:
             old = self.spark.read.parquet(path).select("part", F.col("n").alias("_n"), F.col("h").alias("_h"))
             differ = differ.join(old, "part", "left").filter("untimed > 0 or not (n <=> _n and h <=> _h)")
         parts = sorted(r["part"] for r in differ.select("part").collect())
-        return rows.filter(F.col("part").isin(parts)), prints, parts
+        return materialize(log.states(rows.filter(F.col("part").isin(parts))), "states"), prints, parts
 
     def _state(self, name: str, parts: list[int]) -> DataFrame | None:
         """The stored states of some partitions; only their folders are read."""
