@@ -130,6 +130,15 @@ def test_places_of_precedence(spark):
     assert units.voxel_sizes(df).count() == len(got) and units.voxel_sizes(df.limit(0)).count() == 0
 
 
+def test_sizes_are_those_of_the_text_without_a_decoder(spark, monkeypatch):
+    """A silent size is in micrometres whatever its series holds, so no series may be built, written or decoded."""
+    rows = [(i, 7, None, v, u, T0 + dt.timedelta(hours=i)) for i, (v, u) in enumerate([("2", "mm"), ("2", None), ("2000000", "nm"), ("2000000", ""), ("0.5", "px")])]
+    df = spark.createDataFrame(rows, "file_id bigint, image_id bigint, image_description string, ij_spacing string, ij_unit string, acquired_at timestamp_ntz")
+    for stage in ("decode_units", "with_series", "materialize"):
+        monkeypatch.setattr(units, stage, lambda *a, stage=stage, **k: pytest.fail(f"{stage} is called"))
+    assert {tuple(r) for r in units.voxel_sizes(df).collect()} == {(0, "z", 2_000_000), (1, "z", 2000), (2, "z", 2_000_000), (3, "z", 2_000_000_000)}
+
+
 def _series(n=40, seed=0, at=(12, 25)):
     rng = np.random.default_rng(seed)
     level, state, rows = 500.0, "um", []
