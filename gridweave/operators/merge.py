@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -106,12 +106,9 @@ def _star(edges: DataFrame, large: bool) -> Materialized:
     return out
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the edges of each chunk of a partition by stars around the least vertex of each piece; ``chunk`` tells them apart."""
-    from pyspark import TaskContext
-
+def _contract(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Replace the edges of each chunk of a partition by stars around the least vertex of each piece."""
     held: list[pa.RecordBatch] = []
-    task, count = TaskContext.get().partitionId(), 0
 
     def stars() -> pa.RecordBatch:
         edges = pa.Table.from_batches(held)
@@ -119,48 +116,57 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, at = np.unique(np.concatenate([v, u]), return_inverse=True)
         least = ids[kernels.least_linked(at[: len(v)], at[len(v) :], len(ids))]
         moved = ids != least
-        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(least[moved]), pa.array(np.full(moved.sum(), task << 20 | count))], names=["v", "u", "chunk"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(least[moved])], names=["v", "u"])
 
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-        if sum(b.num_rows for b in held) >= CHUNK_EDGES:
+        if sum(b.num_rows for b in held) >= chunk:
             yield stars()
-            held, count = [], count + 1
+            held = []
     if held:
         yield stars()
 
 
-def components(pairs: DataFrame, lo: str = "lo", hi: str = "hi", max_rounds: int = 50) -> DataFrame:
+def _linked(edges: Materialized, max_rounds: int) -> Materialized:
+    """Stars of whole components: large-star and small-star steps until no edge changes."""
+    state = None
+    for _ in range(max_rounds):
+        mid = _star(edges.df, True)
+        edges.drop()
+        edges = _star(mid.df, False)
+        mid.drop()
+        r = edges.df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+        if (before := state) == (state := (r["n"], r["h"])) and before is not None:
+            return edges
+    raise RuntimeError(f"components are not stable after {max_rounds} rounds")
+
+
+def components(pairs: DataFrame, lo: str = "lo", hi: str = "hi", max_rounds: int = 50, chunk: int = CHUNK_EDGES) -> DataFrame:
     """The least id that each paired id is linked with, directly or through others: old, rep.
 
     Ids that lie close together are mostly linked closely, so the edges are
     range-partitioned once and contracted within each partition, in chunks of
-    bounded size; what is left are few, short chains. Where no id lies in two
-    chunks, that is the result. Else alternating large-star and small-star steps
-    join the chains; both keep one row per edge, so a large component is spread
-    over many tasks. Ids without a pair are not in the result; they stand for
-    themselves.
+    bounded size. An id that lies in several chunks links its least ids there;
+    these links alone are left. If they fit one chunk, they are contracted as
+    one. Else alternating large-star and small-star steps join them; both keep
+    one row per edge, so a large component is spread over many tasks. Ids
+    without a pair are not in the result; they stand for themselves.
     """
+    contract = partial(_contract, chunk=chunk)
     edges = pairs.filter(F.col(lo) != F.col(hi)).select(F.greatest(lo, hi).alias("v"), F.least(lo, hi).alias("u")).select(F.col("v").cast("bigint"), F.col("u").cast("bigint")).distinct()
-    edges = edges.repartitionByRange("u", "v").mapInArrow(_contract, "v bigint, u bigint, chunk bigint")
-    now, state = Materialized(edges, "edges"), None
-    ends = now.df.select(F.explode(F.array("v", "u")).alias("id"), "chunk")
-    apart = now.df.select("chunk").distinct().limit(2).count() < 2 or ends.groupBy("id").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).filter("a < b").isEmpty()
-    for _ in range(0 if apart else max_rounds):
-        mid = _star(now.df, True)
-        now.drop()
-        now = _star(mid.df, False)
-        mid.drop()
-        r = now.df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if (before := state) == (state := (r["n"], r["h"])) and before is not None:
-            break
-    else:
-        if not apart:
-            raise RuntimeError(f"components are not stable after {max_rounds} rounds")
-    rows = now.df.select("v", "u")
-    least = rows.select(F.col("u").alias("old"), F.col("u").alias("rep")).distinct()
-    return rows.select(F.col("v").alias("old"), F.col("u").alias("rep")).unionByName(least)
+    rows = materialize(edges.repartitionByRange("u", "v").mapInArrow(contract, "v bigint, u bigint"), "stars")
+    ends = rows.select(F.explode(F.array("v", "u")).alias("id"), "u")
+    shared = Materialized(ends.groupBy("id").agg(F.min("u").alias("m"), F.max("u").alias("x")).filter("m < x").select("id", "m"), "shared")
+    links = Materialized(ends.join(small(shared.df), "id").filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), "links")
+    shared.drop()
+    n = links.df.count()
+    if not n:
+        return ends.select(F.col("id").alias("old"), F.col("u").alias("rep")).distinct()
+    found = Materialized(links.df.coalesce(1).mapInArrow(contract, "v bigint, u bigint"), "linked") if n <= chunk else _linked(links, max_rounds)
+    links.drop()
+    least = small(found.df.select(F.col("v").alias("_u"), F.col("u").alias("_rep")))
+    return ends.join(least, F.col("u") == F.col("_u"), "left").select(F.col("id").alias("old"), F.coalesce("_rep", "u").alias("rep")).distinct()
 
 
 def lookup_table(pairs: DataFrame, max_label: int | None = None) -> DataFrame:

@@ -162,6 +162,33 @@ def test_components_of_chains_stars_and_repeats(spark):
     assert merge.components(spark.createDataFrame([], "lo bigint, hi bigint")).count() == 0
 
 
+@pytest.fixture
+def small_partitions(spark):
+    """Small inputs stay in as many partitions as large ones have."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, old)
+
+
+@pytest.mark.parametrize("chunk", [merge.CHUNK_EDGES, 8])
+def test_components_across_partitions(spark, small_partitions, chunk):
+    """What links the partitions fits one chunk, or goes through the star steps."""
+    order = np.random.default_rng(3).permutation(np.arange(1, 81)).tolist()
+    pairs = [*zip(order, order[1:])] + [(k, 5000) for k in range(100, 140)] + [(200, 300), (300, 400), (400, 200), (2, 1), (900, 901)]
+    got = [tuple(r) for r in merge.components(spark.createDataFrame(pairs, "lo bigint, hi bigint"), chunk=chunk).select("old", "rep").collect()]
+    want = {i: 1 for i in range(1, 81)} | {k: 100 for k in [*range(100, 140), 5000]} | {200: 200, 300: 200, 400: 200, 900: 900, 901: 900}
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_components_name_an_id_of_several_partitions_once(spark, small_partitions):
+    """2 and 3 lie with the same least id in the first partition and in the last."""
+    pairs = [(1, k) for k in range(2, 82)] + [(2, 81), (3, 81)]
+    got = [tuple(r) for r in merge.components(spark.createDataFrame(pairs, "lo bigint, hi bigint")).select("old", "rep").collect()]
+    assert sorted(got) == [(k, 1) for k in range(1, 82)]
+
+
 def test_occupancy_is_exact_or_covers_more(spark):
     rng = np.random.default_rng(0)
     a = rng.integers(0, 7, (3, 48, 60))
