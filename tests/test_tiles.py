@@ -394,6 +394,11 @@ def test_remapped_ids_are_counted(spark):
     assert merge.remap_count(merge.lookup_table(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "lo bigint, hi bigint"), max_label=3)).first()["n_remapped"] == 2
 
 
+def test_remapped_ids_are_counted_once_across_partitions(spark, small_partitions):
+    pairs = [(1, k) for k in range(2, 82)] + [(2, 81), (3, 81)] + [(k, 5000) for k in range(100, 140)]
+    assert merge.remap_count(merge.lookup_table(spark.createDataFrame(pairs, "lo bigint, hi bigint"))).first()["n_remapped"] == 80 + 40
+
+
 @pytest.mark.parametrize("shape, tile, halo", [((5, 13, 17), (2, 6, 8), (1, 2, 2)), ((1, 20, 9), (1, 7, 4), 2)])
 def test_chunk_forms_agree_with_whole_images(spark, shape, tile, halo):
     from gridweave.operators import dense as d
